@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_store
+from . import quality_rules, sharding, token_store
 
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_decision_list": quality_rules.op10_decision_list,
+        "op3_virtual_slots": sharding.op3_virtual_slots,
         "op2_token_store": token_store.op2_token_store,
     }
 
