@@ -15,7 +15,6 @@ doc_id is not held out; repeated rows score alike; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,18 +36,22 @@ WORD_TERMS, SHAPE_TERMS = 4096, 1024
 TERMS = WORD_TERMS + SHAPE_TERMS + 4
 MEMO_LIMIT = 200_000
 
-_UPPER, _LOWER, _DIGIT, _REST = re.compile(r"[^\W\d_]+"), re.compile(r"a+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+")
-_MEMO: dict[str, tuple[int, int]] = {}
+_SIGNS = ".,!?#*$%&|<>()[]{}\"';:-+=_/\\~^@"
+_MEMO: dict[str, int] = {}
+_SHAPES: dict[str, int] = {}
 
 
-def _shape(word: str) -> str:
-    """Aa for Capital, A for UPPER, a for lower; digits 9; signs once."""
-    kind = lambda m: "Aa" if m[0][0].isupper() and not m[0].isupper() else "A" if m[0].isupper() and len(m[0]) > 1 else "a"
-    return _REST.sub(r"\1", _DIGIT.sub("9", _UPPER.sub(kind, word)))
-
-
-def _terms(word: str) -> tuple[int, int]:
-    return zlib.crc32(word.strip(".,!?#*$%&|").lower().encode()) % WORD_TERMS, WORD_TERMS + zlib.crc32(_shape(word).encode()) % SHAPE_TERMS
+def _terms(word: str) -> int:
+    """The word's own term, and 65536 times that of its shape: case, letters or digits, signs after it."""
+    low = word.lower()
+    core = low.strip(_SIGNS)
+    tail = low[low.find(core) + len(core) :]
+    case = "A" if len(core) > 1 and word.isupper() else "T" if word[:1].isupper() else "-"
+    shape = case + ("a" if core.isalpha() else "9" if core.isdigit() else "m" if core else "s") + tail[:1] + "+" * (len(tail) > 1)
+    at = _SHAPES.get(shape)
+    if at is None:
+        at = _SHAPES[shape] = WORD_TERMS + zlib.crc32(shape.encode()) % SHAPE_TERMS
+    return zlib.crc32(core.encode()) % WORD_TERMS + (at << 16)
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +64,8 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         _MEMO.clear()
         new = set(words)
     _MEMO.update((w, _terms(w)) for w in new)
-    found = np.array([_MEMO[w] for w in words], dtype=np.int64).ravel()
+    packed = np.array(list(map(_MEMO.__getitem__, words)), dtype=np.int64)
+    found = np.concatenate((packed & 0xFFFF, packed >> 16))
     windows = max(0, len(words) - 2)
     lines = [x for x in text.split("\n") if x.strip()]
     base = WORD_TERMS + SHAPE_TERMS

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sharding, token_store
+from . import packing, quality_classifier, quality_rules, sharding, token_store
 
 ORACLES: dict[str, str] = {}
 
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_decision_list": quality_rules.op10_decision_list,
+        "op8_neighbour_vote": quality_classifier.op8_neighbour_vote,
         "op7_linear_grouping": packing.op7_linear_grouping,
         "op3_virtual_slots": sharding.op3_virtual_slots,
         "op2_token_store": token_store.op2_token_store,
