@@ -44,6 +44,12 @@ SHINGLE = 4
 THRESHOLD = (17, 20)
 SUBSETS_UP_TO = 6
 SLICE_BYTES = 1 << 20
+#: Rounds of stars about other centres before the members still apart are paired.
+STAR_ROUNDS = 3
+#: Larger buckets aren't paired row by row: their vertices meet in blocks.
+SMALL_BUCKET = 32
+#: Vertices and shingles that a block holds, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 400, 400_000
 
 _U = np.uint64
 _WORD, _WORD_INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
@@ -256,29 +262,133 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
     texts = materialize(_texts(docs, holders, members, size), "texts", compression="zstd")
     links = materialize(verify(stars, texts, size, threshold), "links")
     roots = components(links)
-    # Members of one bucket that are still apart.
     label = lambda frame: frame.join(roots.withColumnRenamed("v", "_v"), frame["v"] == F.col("_v"), "left").withColumn("root", F.coalesce("root", "v")).drop("_v")
-    apart = label(buckets.select("sig", "v"))
-    split = apart.select("sig", "v", "root", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo < hi").select("sig", "v", "root")
-    sizes = members.groupBy("v").agg(F.first("n_shingles").alias("n"))
-    split = materialize(split.join(sizes, "v"), "apart")
     num, den = threshold
-    near = (F.col("x.n") * num <= F.col("y.n") * den) & (F.col("y.n") * num <= F.col("x.n") * den)
-    pairs = split.alias("x").join(split.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & near)
-    pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(pairs, "pairs"), texts, size, threshold), "links")
-    if not more.isEmpty():
-        roots = components(materialize(links.unionByName(more), "links"))
+    sizes = members.groupBy("v").agg(F.first("n_shingles").alias("n"))
+    apart = materialize(buckets.select("sig", "v").join(sizes, "v"), "apart")
+    done = stars
+    for turn in range(STAR_ROUNDS + 1):
+        # Members of one bucket that are still in different components.
+        split = label(apart).select("sig", "v", "n", "root", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo < hi").drop("lo", "hi")
+        split = materialize(split, "apart")
+        discard(apart)
+        apart = split.select("sig", "v", "n")
+        apart._stageledger_path = split._stageledger_path
+        if turn < STAR_ROUNDS:  # against another centre each time
+            hub = F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n", "root")).over(per)
+            pairs = split.withColumn("hub", hub).select(F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("hub.v").alias("yv"), F.col("hub.n").alias("yn"), F.col("hub.root").alias("yr"))
+        else:  # all that is left: small buckets as pairs, large ones in blocks
+            sized = materialize(split.withColumn("size", F.count("*").over(per)), "apart")
+            few = sized.where(F.col("size") <= SMALL_BUCKET)
+            other = few.select("sig", F.col("v").alias("yv"), F.col("n").alias("yn"), F.col("root").alias("yr"))
+            pairs = few.select("sig", F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("root").alias("xr")).join(other, "sig").where("xv < yv")
+            blocked = materialize(_blocked_links(sized.where(F.col("size") > SMALL_BUCKET), texts, size, threshold), "links")
+            links = materialize(links.unionByName(blocked), "links")
+        near = (F.col("xn") * num <= F.col("yn") * den) & (F.col("yn") * num <= F.col("xn") * den)
+        pairs = pairs.where((F.col("xr") != F.col("yr")) & near).select(F.least("xv", "yv").alias("a"), F.greatest("xv", "yv").alias("b")).distinct()
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(verify(pairs, texts, size, threshold), "links")
+        done = done.unionByName(pairs)
+        if turn == STAR_ROUNDS or not found.isEmpty():
+            links = materialize(links.unionByName(found), "links")
+            roots = components(links)
     rooted = label(rows.select("doc_id", "n_shingles", "v"))
     rooted = materialize(rooted, "rooted")
     least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     out = materialize(rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
-    for x in (rows, buckets, stars, texts, links, split, more, rooted, least):
+    for x in (rows, buckets, stars, texts, links, apart, sized, rooted, least):
         discard(x)
     _free(spark)
     return out
 
 
+def _blocked_links(rows: DataFrame, texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) among the vertices of large buckets (sig, v, n, root), enough to connect them.
+
+    Vertices that large buckets connect form a cluster. Its members of the commonest
+    root are never held against each other, only against the rest, block by block.
+    """
+    per = Window.partitionBy("sig")
+    edges = materialize(rows.select(F.min("v").over(per).alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "cluster-edges")
+    cluster = components(edges).select("v", F.col("root").alias("c"))
+    cluster = cluster.unionByName(cluster.select(F.col("c").alias("v"), "c").distinct())
+    own = materialize(rows.select("v", "n", "root").distinct().join(cluster, "v"), "clusters")
+    discard(edges)
+    by_root = own.groupBy("c", "root").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    blocks = lambda m, shingles: F.ceil(F.greatest(m / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("int")
+    main = by_root.groupBy("c").agg(
+        F.max(F.struct("m", "root", "shingles")).alias("top"), F.sum("m").alias("m"), F.sum("shingles").alias("shingles")
+    ).select("c", F.col("top.root").alias("top"), blocks(F.col("top.m"), F.col("top.shingles")).alias("nt"), blocks(F.col("m") - F.col("top.m"), F.col("shingles") - F.col("top.shingles")).alias("nr"))
+    dealt = own.join(main, "c").withColumn("is_top", F.col("root") == F.col("top"))
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("v", F.lit(11)), F.when(F.col("is_top"), F.col("nt")).otherwise(F.col("nr"))).cast("int")).where("nr > 0")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    against_top = lambda: F.transform(upto(F.col("nt")), lambda i: F.struct(i.alias("i"), (-1 - F.col("at")).alias("j")))
+    against_rest = lambda: F.transform(upto(F.col("nr")), lambda j: F.struct((-1 - F.greatest(F.col("at"), j)).alias("i"), (-1 - F.least(F.col("at"), j)).alias("j")))
+    groups = F.when(F.col("is_top"), F.transform(upto(F.col("nr")), lambda j: F.struct(F.col("at").alias("i"), (-1 - j).alias("j")))).otherwise(F.concat(against_top(), against_rest()))
+    sent = dealt.withColumn("g", F.explode(groups)).select("c", "g.i", "g.j", "v", "root", F.when(F.col("is_top"), F.col("at")).otherwise(-1 - F.col("at")).alias("block"))
+    sent = sent.join(texts, "v").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "block", "v")
+    return sent.select("c", "i", "j", "block", "v", "root", "text").mapInArrow(_block_links(size, threshold), "a long, b long").distinct()
+
+
+def _block_links(size: int, threshold: tuple[int, int]):
+    num, den = threshold
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        sets = list(shingle_sets([r[3] for r in rows], size))
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        grams, column = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        shared = np.bincount(column, minlength=len(grams)) > 1
+        place = np.cumsum(shared) - 1
+        keep = shared[column]
+        owner, column = owner[keep], place[column[keep]]
+        common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for lo in range(0, int(shared.sum()), 4096):
+            i, j = np.searchsorted(column, (lo, lo + 4096))
+            part = np.zeros((len(sets), 4096), dtype=np.float32)
+            part[owner[i:j], column[i:j] - lo] = 1
+            common += part @ part.T
+        both = common.astype(np.int64)
+        joint = sizes[:, None] + sizes[None, :] - both
+        found = np.triu(den * both >= num * joint, 1)
+        parent = {r[2]: r[2] for r in rows}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(found), strict=True):
+            p, q = top(rows[x][2]), top(rows[y][2])
+            if p != q:
+                parent[p] = q
+                out.append((min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def flush() -> pa.RecordBatch:
+            found = solve(rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for c, i, j, block, v, root, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (c, i, j) != key:
+                    if rows:
+                        yield flush()
+                    key, rows = (c, i, j), []
+                rows.append((block, v, root, text))
+        if rows:
+            yield flush()
+
+    return run
+
+
 def _texts(docs: DataFrame, holders: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(v, text) with one text for each vertex of ``holders``, by way of its least doc_id."""
 
