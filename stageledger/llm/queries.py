@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_store
+from . import decontamination, html_extraction, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_store
 
 ORACLES: dict[str, str] = {}
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_decision_list": quality_rules.op10_decision_list,
         "op8_neighbour_vote": quality_classifier.op8_neighbour_vote,
+        "op9_style_tree": html_extraction.op9_style_tree,
         "op5_pigeonhole": decontamination.op5_pigeonhole,
         "op6_part_enum": jaccard_join.op6_part_enum,
         "op7_linear_grouping": packing.op7_linear_grouping,
