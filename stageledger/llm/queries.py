@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_store
+from . import chat_format, decontamination, html_extraction, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, token_store
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_perspective_rotation": chat_format.ORACLE,
+    "op4_sentence_rules": license_scan.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decision_list": quality_rules.op10_decision_list,
         "op8_neighbour_vote": quality_classifier.op8_neighbour_vote,
         "op9_style_tree": html_extraction.op9_style_tree,
+        "op1_perspective_rotation": chat_format.op1_perspective_rotation,
+        "op4_sentence_rules": license_scan.op4_sentence_rules,
         "op5_pigeonhole": decontamination.op5_pigeonhole,
         "op6_part_enum": jaccard_join.op6_part_enum,
         "op7_linear_grouping": packing.op7_linear_grouping,
