@@ -1,13 +1,80 @@
-"""Corpus pipeline: the operators in a row over ``documents``."""
+"""Corpus pipeline over ``documents``: score, rule, deduplicate, decontaminate, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+all but the last return the columns of ``docs`` as they came, extra ones too.
+
+Defined cases: a stage judges null and empty texts as its operator does (kept by the
+classifier if its prior is 1 or more likely, rejected by the rules for want of
+words); rows of one doc_id are one document, of which the third stage keeps one row;
+rows without a doc_id stay there once for each equal text; an empty table stays
+empty; extra columns may have any names.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stageledger.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules
+from stageledger.llm.common import materialize, table
+
+#: Near duplicates here: five words, a similarity of 0.8 or more.
+SHINGLE, THRESHOLD = 5, (4, 5)
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside the untouched row."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def quality_vote(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbours' vote rejects go."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model, *docs.columns, name="_quality")
+    return scored.where("_quality >= 0.5").drop("_quality")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or the learned decision list go."""
+    # Written, so that no filter repeats the counting.
+    stats = materialize(quality_rules.base_statistics(_whole(docs), "_row"), "row-statistics", compression="zstd")
+    learned = quality_rules.fit(stats.drop("_row"), table(spark, sf_dir, "labels"))
+    return quality_rules.classify(stats, learned).where("kept").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked documents stays: that with the least doc_id."""
+    grouped = jaccard_join.jaccard_components(docs, SHINGLE, THRESHOLD)
+    first = grouped.where("doc_id = component_id").select("doc_id").distinct()
+    rows = _whole(docs)
+    kept = rows.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(rows.where("doc_id is null").dropDuplicates(["text"])).select("_row.*")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item within the error budget go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in the fewest sequences."""
+    return packing.pack_documents(docs).drop("uid")
+
+
+STAGES = [
+    ("quality classifier", quality_vote),
+    ("quality rules", rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
+
+#: Encoding, components and edit distances are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
