@@ -158,19 +158,19 @@ def _fit(found: list) -> Model:
     return Model(np.ascontiguousarray(idf[:, None] * space, dtype=np.float32), np.ascontiguousarray(vectors[there] / sizes[there, None], dtype=np.float32), labels[there], prior)
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns and ``score`` of every row."""
+def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """``keep`` columns and the score of every row, as ``name``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array(sent.value.scores(batch.column("text").to_pylist()), pa.float64())
-            yield batch.append_column("score", found).select([*keep, "score"])
+            yield batch.append_column(name, found).select([*keep, name])
 
     own = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    return own.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    return own.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", `{name}` double")
 
 
 def op8_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
