@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +48,8 @@ PACKS = "doc_id long, uid long, seq int, hash binary, n int, payload binary"
 RECIPES = "part int, pos long, doc_id long, uid long, n_tokens long, local_start long, hashes binary, lens binary, leaf binary, part_root binary"
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream (the last is its length)."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids asks for a cut."""
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
@@ -60,9 +58,17 @@ def cut_points(ids: np.ndarray) -> list[int]:
         for back in range(1, WINDOW):
             weight = np.uint64((int(weight) * int(_BASE)) & 0xFFFFFFFFFFFFFFFF)
             rolling[back:] += mixed[:-back] * weight
-        marks = np.flatnonzero(((rolling * _BASE) >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+        return np.flatnonzero(((rolling * _BASE) >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cut_points(found: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids, given the marks in them; the last is n.
+
+    Marks before MIN_CHUNK (over WINDOW) never cut, so those that the ids of an
+    earlier document took part in don't matter.
+    """
     ends, at = [], 0
-    for mark in [*marks.tolist(), n]:
+    for mark in [*found, n]:
         while mark - at > MAX_CHUNK:
             at += MAX_CHUNK
             ends.append(at)
@@ -92,17 +98,26 @@ def _encode(vocabulary: str, end_id: int, width: int):
                 part = batch.slice(lo, 256)
                 docs, uids = part.column("doc_id").to_pylist(), part.column("uid").to_pylist()
                 rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, uid, ids in zip(docs, uids, encoder.encode(part.column("text").to_pylist()), strict=True):
-                    ids += end
+                encoded = [ids + end for ids in encoder.encode(part.column("text").to_pylist())]
+                found, first = marks(np.frombuffer(b"".join(encoded), dtype=dtype)).tolist(), 0
+                docs_, uids_, seqs, digests, sizes, payloads = rows
+                for doc, uid, ids in zip(docs, uids, encoded, strict=True):
+                    n = len(ids) // width
+                    own = found[bisect_right(found, first) : bisect_left(found, first + n)]
                     at = 0
-                    for seq, stop in enumerate(cut_points(np.frombuffer(ids, dtype=dtype))):
+                    for seq, stop in enumerate(cut_points([x - first for x in own], n)):
                         payload = ids[at * width : stop * width]
                         digest = hashlib.blake2b(payload, digest_size=16).digest()
-                        for column, value in zip(rows, (doc, uid, seq, digest, stop - at, None if digest in seen else payload), strict=True):
-                            column.append(value)
+                        docs_.append(doc)
+                        uids_.append(uid)
+                        seqs.append(seq)
+                        digests.append(digest)
+                        sizes.append(stop - at)
+                        payloads.append(None if digest in seen else payload)
                         if len(seen) < 1_000_000:  # beyond, a copy more is sent; the next step still keeps one
                             seen.add(digest)
                         at = stop
+                    first += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.binary())],
                     names=["doc_id", "uid", "seq", "hash", "n", "payload"],
