@@ -45,7 +45,7 @@ THRESHOLD = (17, 20)
 SUBSETS_UP_TO = 6
 SLICE_BYTES = 1 << 20
 #: Rounds of stars about other centres before the members still apart are paired.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Larger buckets aren't paired row by row: their vertices meet in blocks.
 SMALL_BUCKET = 32
 #: Vertices and shingles that a block holds, about.
@@ -212,27 +212,28 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, threshold: t
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of ``links`` (a, b): the least vertex of its component.
+    """(v, root) for every vertex of ``links`` (a, b) but the roots: the least vertex of its component.
 
-    Large-star and small-star rounds; each round is a written table and sets of links
-    only shrink towards stars. ``links`` must be a written table; it is kept.
+    Large-star and small-star rounds; each is a written table, until every vertex
+    has one link, to a vertex that has none. ``links`` must be a written table; it
+    is kept.
     """
-    edges, first = links, True
+    edges = links
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large.where("a <> b"), "large-star")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(large, "large-star")
         # Each vertex now has only lesser neighbours.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e"))
         small = materialize(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), "small-star")
         discard(large)
-        same = edges.select("a", "b").exceptAll(small).isEmpty() and small.exceptAll(edges.select("a", "b")).isEmpty() if not first else False
-        if not first:
+        if edges is not links:
             discard(edges)
-        edges, first = small, False
-        if same:
+        edges = small
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
@@ -282,15 +283,16 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
             few = sized.where(F.col("size") <= SMALL_BUCKET)
             other = few.select("sig", F.col("v").alias("yv"), F.col("n").alias("yn"), F.col("root").alias("yr"))
             pairs = few.select("sig", F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("root").alias("xr")).join(other, "sig").where("xv < yv")
-            blocked = materialize(_blocked_links(sized.where(F.col("size") > SMALL_BUCKET), texts, size, threshold), "links")
-            links = materialize(links.unionByName(blocked), "links")
+            blocked = _blocked_links(sized.where(F.col("size") > SMALL_BUCKET), texts, size, threshold)
         near = (F.col("xn") * num <= F.col("yn") * den) & (F.col("yn") * num <= F.col("xn") * den)
         pairs = pairs.where((F.col("xr") != F.col("yr")) & near).select(F.least("xv", "yv").alias("a"), F.greatest("xv", "yv").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(verify(pairs, texts, size, threshold), "links")
+        found = verify(pairs, texts, size, threshold)
+        found = materialize(found.unionByName(blocked) if turn == STAR_ROUNDS else found, "links")
         done = done.unionByName(pairs)
         if turn == STAR_ROUNDS or not found.isEmpty():
-            links = materialize(links.unionByName(found), "links")
+            # What is connected already counts as stars.
+            links = materialize(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(found), "links")
             roots = components(links)
     rooted = label(rows.select("doc_id", "n_shingles", "v"))
     rooted = materialize(rooted, "rooted")
