@@ -39,7 +39,7 @@ def cell_path(base: str, axes: list[str]) -> Column:
 def expand(base: str, domains: dict[str, DataFrame]) -> DataFrame:
     """One row per cell: axis columns, name, path and position in declaration order."""
     named = [d.select(F.col("id").alias(a), F.col("ord").alias(f"_{a}")) for a, d in domains.items()]
-    cells = reduce(lambda left, right: left.join(F.broadcast(right), F.lit(True)), named)  # declared domains only
+    cells = reduce(lambda left, right: left.join(right, F.lit(True)), named)  # declared domains only
     axes = list(domains)
     place = (F.row_number().over(Window.orderBy(*[f"_{a}" for a in axes])) - 1).cast("long")
     return cells.select(*axes, cell_name(base, axes).alias("cell"), cell_path(base, axes).alias("path"), place.alias("position"))
@@ -50,7 +50,7 @@ def align(down: DataFrame, up: DataFrame, down_axes: list[str], up_axes: list[st
     shared = [a for a in down_axes if a in up_axes]
     left = down.select(*shared, "cell")
     right = up.select(*shared, F.col("cell").alias("need"), F.col("position").alias("_p"))
-    both = left.join(F.broadcast(right), shared) if shared else left.join(F.broadcast(right), F.lit(True))
+    both = left.join(right, shared) if shared else left.join(right, F.lit(True))
     place = (F.row_number().over(Window.partitionBy("cell").orderBy("_p")) - 1).cast("long")
     return both.select("cell", "need", place.alias("position"))
 
