@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--branch", default="main")
     p.add_argument("--config", default="{}", help="JSON over the branch's config")
     p.add_argument("--axes", default="{}", help="JSON: axis -> active ids")
+    p.add_argument("--args", default="null", help="JSON for ctx.args; never part of a key")
     p.add_argument("--force", action="store_true")
     p.add_argument("--rehash", action="store_true")
     p.add_argument("--upto", action="append", default=[])
@@ -35,6 +36,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def shorten(name: str, width: int = 32) -> str:
+    """A stage name for a table: cut in the middle beyond ``width``."""
+    return name if len(name) <= width else f"{name[: width // 2]}…{name[len(name) - (width - width // 2 - 1) :]}"
+
+
 def load(name: str) -> type[Pipeline]:
     module, _, cls = name.partition(":")
     return getattr(importlib.import_module(module), cls)
@@ -67,7 +73,7 @@ def _dispatch(a: argparse.Namespace, pipeline: type[Pipeline], spark) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.getOrCreate()
-    e = Engine(spark, pipeline, own.root, own.config, axes=own.axes)
+    e = Engine(spark, pipeline, own.root, own.config, json.loads(a.args), own.axes)
     if a.command == "run":
         slices = {k: v.split(",") for k, _, v in (s.partition("=") for s in a.slice)}
         down = a.targets if a.downstream else []
@@ -84,7 +90,7 @@ def _dispatch(a: argparse.Namespace, pipeline: type[Pipeline], spark) -> int:
         chosen = set(e.graph.select(upto=a.targets)) if a.targets else set(e.graph.order)
         for p in e.probe():
             if p["stage"] in chosen:
-                print(f"{p['stage']}\t{p['status']}\t<- {', '.join(e.graph.stages[p['stage']].concrete_needs) or '-'}")
+                print(f"{shorten(p['stage'])}\t{p['status']}\t<- {', '.join(e.graph.stages[p['stage']].concrete_needs) or '-'}")
         return 0
     if a.command in ("reuse", "invalidate"):
         for base, outcome in e.review(a.command, *a.targets).items():

@@ -7,6 +7,8 @@ Execution is serial; each artifact goes to a fresh folder, and its record flips
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -123,6 +125,8 @@ class Engine:
         self.name = f"{pipeline.__module__}.{pipeline.__qualname__}"
         self.config, self.args = config, args
         self._staged = {s.base for s in self.graph.stages.values()}
+        #: path -> stamp and hash of input files, kept between runs
+        self._stamps: dict[str, list[Any]] = (self.store.read("files", "stamps") or {"files": {}})["files"]
 
     # Keys
 
@@ -143,7 +147,7 @@ class Engine:
             found = []
             for path in dict.fromkeys(map(str, value if isinstance(value, (list, tuple)) else [value])):
                 if path not in inputs_memo:
-                    inputs_memo[path] = input_entries(path)
+                    inputs_memo[path] = input_entries(path, self._stamps)
                 found.append([path, inputs_memo[path]])
             inputs[name] = sorted(found)
         fan = any(len(c) > 1 for _, c in s.need_cells)
@@ -256,7 +260,9 @@ class Engine:
                 raise Blocked(f"can't evaluate {', '.join(wrong)}")
             if outside := [n for n, p in probes.items() if n not in chosen and p["status"] != "hit"]:
                 raise Blocked(f"stages outside the selection aren't current: {', '.join(outside)}")
-            return [self._execute(n, force) for n in chosen]
+            outcomes = [self._execute(n, force) for n in chosen]
+            self.store.write({"files": self._stamps}, "files", "stamps")
+            return outcomes
 
     def _execute(self, n: str, force: bool) -> dict[str, Any]:
         s = self.graph.stages[n]
@@ -265,6 +271,7 @@ class Engine:
             raise Blocked(f"{n}: {p['reason']}")
         invalidated = p["relationship"] == "changed" and p["decision"] == "invalidate"
         if p["execution"] == "hit" and not force and not invalidated:
+            self._refresh(n, p["record"])
             return {"stage": n, "status": "hit", "ran": False, "elapsed": 0.0}
         if force or invalidated:
             self.store.drop_partial(n)
@@ -291,6 +298,12 @@ class Engine:
         self.store.drop_partial(n)
         return {"stage": n, "status": p["execution"], "ran": True, "elapsed": elapsed}
 
+    def _refresh(self, n: str, record: dict[str, Any]) -> None:
+        """Same content under other files or stamps: only the listings are renewed."""
+        now = [listing(a["path"]) for a in record["artifacts"]]
+        if now != [a["listing"] for a in record["artifacts"]]:
+            self.store.write(record | {"artifacts": [a | {"listing": x} for a, x in zip(record["artifacts"], now, strict=True)]}, "stages", n)
+
     def _frames(self, made: Any, base: str) -> list[tuple[str, DataFrame]]:
         frames = made if isinstance(made, dict) else {base: made}
         for name, df in frames.items():
@@ -300,11 +313,13 @@ class Engine:
 
     def _single(self, n: str, s: Stage, ctx: Ctx) -> list[dict[str, Any]]:
         made, folder = s.func(ctx, **dict(s.cell)), self.store.fresh(n)
+        if inspect.iscoroutine(made):
+            made = asyncio.run(made)
         return [_write(self.spark, df, f"{folder}/{name}", name) for name, df in self._frames(made, s.base)]
 
     def _batch(self, n: str, s: Stage, ctx: Ctx, key: str) -> list[dict[str, Any]]:
         found = {i: r["artifacts"] for i, r in ctx.done.items()}
-        for count, made in enumerate(s.func(ctx, **dict(s.cell))):
+        for count, made in enumerate(_drive(s.func(ctx, **dict(s.cell)))):
             if ctx._resumed is None:  # a body that doesn't resume starts over
                 found = {} if not count else found
             index = count if ctx._resumed is None else ctx._resumed[count]
@@ -356,5 +371,21 @@ class Engine:
             return [n for n in self.graph.order if n in chosen]
 
 
+def _drive(items: Any) -> Iterable[Any]:
+    """A batch body's frames, one by one, also from an async generator."""
+    if not hasattr(items, "__anext__"):
+        yield from items
+        return
+    loop = asyncio.new_event_loop()
+    try:
+        while True:
+            try:
+                yield loop.run_until_complete(items.__anext__())
+            except StopAsyncIteration:
+                return
+    finally:
+        loop.close()
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()

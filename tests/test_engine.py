@@ -184,3 +184,32 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(source)
     append_new(spark, source, target, check)
     assert spark.read.parquet(target).count() == 8
+
+
+class Async(Pipeline):
+    @stage()
+    async def first(ctx):
+        return ctx.spark.range(2)
+
+    @batch_stage(needs=first)
+    async def many(ctx):
+        for i in ctx.resume([1, 2]):
+            yield ctx.spark.range(i)
+
+
+def test_async_bodies_and_renewed_listings(spark, tmp_path):
+    source = tmp_path / "in.txt"
+    source.write_text("x")
+
+    class Reads(Async):
+        depends = Dependencies(inputs={"src": str(source)})
+
+    e = Engine(spark, Reads, str(tmp_path / "out"))
+    assert [o["ran"] for o in e.run()] == [True, True]
+    artifact = e.store.read("stages", "first")["artifacts"][0]
+    spark.range(2).repartition(3).write.mode("overwrite").parquet(artifact["path"])
+    assert [o["ran"] for o in e.run()] == [False, False]
+    assert e.store.read("stages", "first")["artifacts"][0]["listing"] != artifact["listing"]
+    source.write_text("y")
+    assert statuses(e) == ["needs-run", "needs-run"]
+    assert e.probe()[0]["reason"].startswith("input: src")
