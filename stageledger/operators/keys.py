@@ -92,8 +92,8 @@ def _hashable(column: Column, kind: T.DataType) -> Column:
     return column
 
 
-def dataset_fingerprint(df: DataFrame) -> DataFrame:
-    """One row (n, a, b): a digest of the rows as a multiset, whatever their order or files.
+def fingerprint_aggregates(df: DataFrame) -> list[Column]:
+    """n, a, b: a digest of the rows as a multiset, whatever their order or files.
 
     Two seeded 64-bit hashes per row are summed as decimals, with a mask of nulls
     among what is hashed, so that swapped nulls and repeated rows show. One pass,
@@ -102,7 +102,12 @@ def dataset_fingerprint(df: DataFrame) -> DataFrame:
     columns = [_hashable(df[f.name], f.dataType) for f in df.schema.fields]
     mask = F.concat(F.lit(""), *[F.when(df[f.name].isNull(), "1").otherwise("0") for f in df.schema.fields])
     total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), mask, *columns).cast("decimal(38,0)")), F.lit(0)).cast("string")
-    return df.agg(F.count("*").alias("n"), total(17).alias("a"), total(42).alias("b"))
+    return [F.count(F.lit(1)).alias("n"), total(17).alias("a"), total(42).alias("b")]
+
+
+def dataset_fingerprint(df: DataFrame) -> DataFrame:
+    """One row of :func:`fingerprint_aggregates`."""
+    return df.agg(*fingerprint_aggregates(df))
 
 
 def null_safe_equal(pairs: list[tuple[Column, Column]]) -> Column:

@@ -16,7 +16,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import Dependencies, Graph, Pipeline, Stage
@@ -90,15 +90,22 @@ def _paths(record: dict[str, Any]) -> list[str]:
     return [a["path"] for a in record["artifacts"]]
 
 
+def _digest(df: DataFrame, row: dict[str, Any]) -> str:
+    return digest({"schema": df.schema.jsonValue(), "n": row["n"], "a": row["a"], "b": row["b"]})
+
+
 def fingerprint(df: DataFrame) -> str:
     """Content digest of a dataset: schema and its rows as a multiset."""
-    row = keys.dataset_fingerprint(df).first()
-    return digest({"schema": df.schema.jsonValue(), "n": row.n, "a": row.a, "b": row.b})
+    return _digest(df, keys.dataset_fingerprint(df).first().asDict())
 
 
 def _write(spark: SparkSession, df: DataFrame, path: str, name: str) -> dict[str, Any]:
-    df.write.parquet(path)
-    return {"name": name, "path": path, "fingerprint": fingerprint(spark.read.parquet(path)), "listing": listing(path)}
+    """Write an artifact and digest its rows on their way, in one pass."""
+    seen = Observation()
+    df.observe(seen, *keys.fingerprint_aggregates(df)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    found = seen.get
+    return {"name": name, "path": path, "fingerprint": _digest(stored, found) if found.keys() == {"n", "a", "b"} else fingerprint(stored), "listing": listing(path)}
 
 
 def _current(spark: SparkSession, artifact: dict[str, Any], rehash: bool) -> str | None:

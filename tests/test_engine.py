@@ -213,3 +213,16 @@ def test_async_bodies_and_renewed_listings(spark, tmp_path):
     source.write_text("y")
     assert statuses(e) == ["needs-run", "needs-run"]
     assert e.probe()[0]["reason"].startswith("input: src")
+
+
+def test_digest_on_the_way_equals_the_stored_one(spark, tmp_path):
+    from stageledger.plans.engine import _write, fingerprint
+
+    frames = [
+        spark.range(100).selectExpr("id", "cast(id as string) s", "if(id % 3 = 0, null, id / 7.0) d", "map('k', id) m", "array(id, null) a", "struct(id, 'x' as y) t", "timestamp_micros(id) ts", "date_add(date'2020-01-01', cast(id as int)) dt"),
+        spark.createDataFrame([], "a int"),
+        spark.range(10).repartition(3).groupBy((F.col("id") % 2).alias("k")).count(),
+    ]
+    for i, df in enumerate(frames):
+        made = _write(spark, df, str(tmp_path / str(i)), "x")
+        assert made["fingerprint"] == fingerprint(spark.read.parquet(made["path"]))
