@@ -247,11 +247,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
+    _free(spark)  # what earlier steps shuffled
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(docs.mapInArrow(_set_rows(size, threshold), "doc_id long, n_shingles long, v long, sigs array<long>"), "sets")
     members = rows.where("v is not null")
-    # Equal sets meet here: one row for each (signature, vertex).
-    signed = members.select(F.explode("sigs").alias("sig"), "v").distinct()
+    # Equal sets meet first, one row for each vertex; then signatures.
+    signed = members.select("v", "sigs").dropDuplicates(["v"]).select(F.explode("sigs").alias("sig"), "v")
     per = Window.partitionBy("sig")
     buckets = signed.select("sig", "v", F.min("v").over(per).alias("least"), F.max("v").over(per).alias("most")).where("least < most")
     buckets = materialize(buckets.select("sig", "v", "least"), "buckets")
