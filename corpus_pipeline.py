@@ -36,10 +36,14 @@ def quality_vote(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the learned decision list go."""
-    # Written, so that no filter repeats the counting.
-    stats = materialize(quality_rules.base_statistics(_whole(docs), "_row"), "row-statistics", compression="zstd")
-    learned = quality_rules.fit(stats.drop("_row"), table(spark, sf_dir, "labels"))
-    return quality_rules.classify(stats, learned).where("kept").select("_row.*")
+    labels = table(spark, sf_dir, "labels")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = own.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    learned = quality_rules.fit(quality_rules.base_statistics(marked), labels)
+    stats = quality_rules.base_statistics(_whole(docs), "_row")
+    # A generator stands between counting and filter, so that no filter repeats the counting.
+    once = stats.select("_row", F.explode(F.array(F.struct(*[c for c in stats.columns if c != "_row"]))).alias("_s")).select("_row", "_s.*")
+    return quality_rules.classify(once, learned).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
