@@ -74,6 +74,10 @@ class Branch:
     text: list[str] = field(default_factory=list)
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _role(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool, str]:
     """(boilerplate, article, name for the path) of an element; ``inside``: within an article."""
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
@@ -85,8 +89,11 @@ def _role(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, boo
         boiler = boiler or tag == "article" or not words & ARTICLE_NAMES
     if inside and boiler and (tag == "header" or "header" in words and not words & (BOILER_NAMES - {"header"})) and role not in BOILER_ROLES:
         boiler = False  # an article's own heading
-    kind = re.sub(r"\d+", "0", ".".join(sorted(names.split())))[:60]
-    return boiler, article, f"{tag}.{kind}" if kind else tag
+    kind = re.sub(r"\d+", "0", ".".join(sorted(names.split()))).replace("/", "\\")
+    if len(kind) > 60:
+        kind = f"{kind[:60]}~{_hash(kind):x}"
+    # The verdicts are part of the name, so that all elements at one path have the same.
+    return boiler, article, "-" * boiler + "+" * article + (f"{tag}.{kind}" if kind else tag)
 
 
 def segments(html: str | None) -> Iterator[tuple[Node | None, str, bool]]:
@@ -159,7 +166,7 @@ def segments(html: str | None) -> Iterator[tuple[Node | None, str, bool]]:
         else:
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])}
             boiler, article, name = _role(tag, attributes, top.article)
-            node = Node(tag, top.path if tag in INLINE and not boiler else f"{top.path}/{name}", top.boiler or boiler, top.article or article and not boiler)
+            node = Node(tag, top.path if tag in INLINE and not boiler and not article else f"{top.path}/{name}", top.boiler or boiler, top.article or article and not boiler)
         if tag not in INLINE:
             yield node, "", True
         if tag not in VOID and not m[3].endswith("/"):
@@ -196,10 +203,6 @@ def extract(html: str | None, kept: set[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 NODES = "page_id long, h long, host string, path string, boiler boolean, article boolean, has_article boolean, presentation long, content long"
 
 

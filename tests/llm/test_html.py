@@ -24,3 +24,19 @@ def test_odd_pages(spark):
     got = texts(spark, rows)
     assert got == {1: "", 2: "", 3: "a &am", 4: "x", None: "a < b <3 c", 5: "qv", 6: " ".join(["w"] * 50000), 7: ""}
     assert texts(spark, []) == {}
+
+
+def test_siblings_with_other_verdicts_are_other_nodes(spark):
+    long = " ".join(f"col{c}" * 4 for c in "abcdefgh")
+    rows = [
+        (1, "http://a", "<article><p hidden>gone</p><p>All the text</p></article>"),
+        (2, "http://b", "<article><p>All the text</p><p aria-hidden=true>gone</p></article>"),
+        (3, "http://c", "<div role=navigation>gone</div><div>Main text</div>"),
+        (4, "http://d", "<div>Main text</div><div role=navigation>gone</div>"),
+        (5, "http://e", '<article><p style="display: none">gone</p><p>All the text</p></article>'),
+        (6, "http://f", f'<div class="{long} sidebar">gone</div><div class="{long} solid">Main text</div>'),
+        (7, "http://g", '<p>beside <span role=main>Main text</span></p>'),
+        (8, "http://h", '<div class="w-1/2"><p hidden>gone</p><p>Main text</p></div>'),
+    ]
+    got = texts(spark, rows)
+    assert got == {1: "All the text", 2: "All the text", 3: "Main text", 4: "Main text", 5: "All the text", 6: "Main text", 7: "Main text", 8: "Main text"}
