@@ -6,13 +6,18 @@ and what they hold there (text); diverse nodes have high entropy and are importa
 nodes that look and read alike on page after page are not. Entropy alone can't tell
 a menu with other links on each page from an article, so a node's importance also
 has a prior from its element: branches of boilerplate elements (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) have none, branches of the
-article are kept whole, and where a page has an article the rest of it counts less.
+footers, sidebars, notices, adverts, forms, comments) have none whatever their
+entropy, branches of the article fall only if they are nearly the same on all pages
+(its own running text doesn't), and where a page has an article the rest of it passes
+only if it is very diverse.
 Branches under ``LEAST`` are removed from each page, and what stays is its text.
 
+Pages of a host that hold the same outside boilerplate are copies and count as one.
+
 Defined cases: a null or empty html gives an empty text; a url without a host puts
 the page into the host ''; repeated pages and null page_ids keep a row each; a node
-seen on one page only is important; html that ends inside a tag loses that tag;
+on fewer than ``REPEATED`` distinct pages isn't repeated, one on a single page beside
+an article isn't diverse; html that ends inside a tag loses that tag;
 other columns are not read.
 """
 
@@ -33,8 +38,12 @@ from .common import discard, materialize, ship, table
 LEAST = 0.5
 #: What presentation counts against content in a node's entropy.
 PRESENTATION = 0.1
-#: Importance of what is outside the article, on a page that has one.
-OUTSIDE = 0.4
+#: What an article's branch has besides its entropy.
+INSIDE = 0.4
+#: What entropy counts outside the article, on a page that has one.
+OUTSIDE = 0.6
+#: Distinct pages that it takes to call a branch repeated.
+REPEATED = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template noframes xmp svg math object".split())
@@ -47,6 +56,8 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 BOILER_NAMES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside widget ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup comment comments disqus respond reply replies share sharing social related recommended breadcrumb breadcrumbs pagination pager login search toolbar copyright".split()
 )
+#: Elements of an article's own running text, where they have no class or id.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ARTICLE_NAMES = frozenset("article post entry story content main body text".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
@@ -203,7 +214,21 @@ def extract(html: str | None, kept: set[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-NODES = "page_id long, h long, host string, path string, boiler boolean, article boolean, has_article boolean, presentation long, content long"
+NODES = "r long, h long, host string, lead boolean, page long, path string, place int, presentation long, content long"
+
+
+#: Places of a node: on a page without an article, beside one, inside one, its own running text.
+NOWHERE, BESIDE, INSIDE_IT, ITS_OWN = range(4)
+
+
+def _prose(path: str) -> bool:
+    """Whether only elements of running text stand between the innermost article and this node."""
+    for name in reversed(path.split("/")):
+        if name.startswith("+"):
+            return True
+        if name not in PROSE:
+            return False
+    return False
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +236,18 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             rows = []
-            for page, h, host, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "h", "host", "html")), strict=True):
+            for r, h, host, html in zip(*(part.column(c).to_pylist() for c in ("r", "h", "host", "html")), strict=True):
                 own = branches(html)
                 has = any(b.article for b in own.values())
+                found = []
                 for path, b in own.items():
                     text = " ".join(" ".join(b.text).split())
-                    if text:  # nodes without text of their own decide nothing
-                        rows.append((page, h, host, path, b.boiler, b.article, has, _hash(" ".join(b.children)), _hash(text)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+                    if text and not b.boiler:  # boilerplate and nodes without text of their own decide nothing
+                        place = INSIDE_IT + _prose(path) if b.article else BESIDE if has else NOWHERE
+                        found.append((path, place, _hash(" ".join(b.children)), _hash(text)))
+                same = _hash(repr(sorted(found)))
+                rows.extend((r, h, host, not i, same, *x) for i, x in enumerate(found))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODES.split(", ")])
 
@@ -228,20 +257,29 @@ def _identified(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("page_id", "url", "html").alias("h"), host.alias("host"))
 
 
+def copies(nodes: DataFrame) -> DataFrame:
+    """r of the pages that are copies of an earlier page of their host."""
+    pages = nodes.where("lead").select("r", "host", "page")
+    first = pages.groupBy("host", "page").agg(F.min("r").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return pages.join(first, ["host", "page"]).where("r > first").select("r")
+
+
 def style_tree(nodes: DataFrame) -> DataFrame:
-    """(host, path, entropy): 1 for nodes of one page, else the mix of both normalised entropies."""
+    """(host, path, pages, entropy): the mix of both normalised entropies, 1 for nodes of one page."""
 
     def entropy(what: str) -> DataFrame:
         each = nodes.groupBy("host", "path", what).agg(F.count("*").cast("double").alias("c"))
-        return each.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")).select("host", "path", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0).alias(f"e_{what}"))
+        return each.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")).select("host", "path", F.col("m").alias(f"m_{what}"), F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0).alias(f"e_{what}"))
 
     both = entropy("presentation").join(entropy("content"), ["host", "path"])
-    return both.select("host", "path", (PRESENTATION * F.col("e_presentation") + (1 - PRESENTATION) * F.col("e_content")).alias("entropy"))
+    return both.select("host", "path", F.col("m_content").alias("pages"), (PRESENTATION * F.col("e_presentation") + (1 - PRESENTATION) * F.col("e_content")).alias("entropy"))
 
 
 def importance() -> Column:
-    """A node's importance: entropy under the prior of its element."""
-    return F.when(F.col("boiler"), 0.0).when(F.col("article"), F.greatest(F.col("entropy"), F.lit(1.0))).when(F.col("has_article"), OUTSIDE * F.col("entropy")).otherwise(F.col("entropy"))
+    """The importance of a node that isn't boilerplate: entropy under the prior of its place."""
+    own = F.when(F.col("pages") < REPEATED, 1.0).otherwise(F.col("entropy"))
+    beside = F.when(F.col("pages") > 1, OUTSIDE * F.col("entropy")).otherwise(0.0)
+    return F.when(F.col("place") == ITS_OWN, 1.0).when(F.col("place") == INSIDE_IT, INSIDE + own).when(F.col("place") == BESIDE, beside).otherwise(own)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -252,8 +290,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     ship(pages.sparkSession)
     own = _identified(pages)
-    nodes = materialize(own.select("page_id", "h", "host", "html").mapInArrow(_nodes, NODES), "style-nodes")
-    tree = materialize(style_tree(nodes), "style-tree")
+    numbered = own.select(F.monotonically_increasing_id().alias("r"), "h", "host", "html")
+    nodes = materialize(numbered.mapInArrow(_nodes, NODES), "style-nodes")  # written, so that r stays
+    again = materialize(copies(nodes), "page-copies")
+    tree = materialize(style_tree(nodes.join(again, "r", "left_anti")), "style-tree")
     kept = nodes.join(tree, ["host", "path"]).where(importance() >= LEAST).groupBy("h").agg(F.collect_set("path").alias("kept"))
     kept = materialize(kept, "kept-paths")
 
@@ -263,7 +303,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     found = own.select("page_id", "url", "html", "h").join(kept, "h", "left").select("page_id", "url", "html", "kept")
-    for x in (nodes, tree):
+    for x in (nodes, again, tree):
         discard(x)
     return found.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

@@ -40,3 +40,15 @@ def test_siblings_with_other_verdicts_are_other_nodes(spark):
     ]
     got = texts(spark, rows)
     assert got == {1: "All the text", 2: "All the text", 3: "Main text", 4: "Main text", 5: "All the text", 6: "Main text", 7: "Main text", 8: "Main text"}
+
+
+def test_entropy_decides_on_both_sides_of_an_article(spark):
+    page = "<body><article><p>Story number {i}</p><div class=box>Follow us for more</div></article><section><p>Analysis number {i}</p></section><section class=same>Made in our office</section></body>"
+    rows = [(i, f"http://h.example/{i}", page.replace("{i}", str(i))) for i in range(8)]
+    assert texts(spark, rows) == {i: f"Story number {i} Analysis number {i}" for i in range(8)}
+
+
+def test_copies_of_a_page_count_once(spark):
+    same = "<body><nav>menu {i}</nav><p>The whole text</p></body>"
+    rows = [(i, f"http://h.example/{i}", same.replace("{i}", str(i))) for i in range(4)] + [(9, "http://a", same)] * 3
+    assert texts(spark, rows) == {i: "The whole text" for i in (0, 1, 2, 3, 9)}
