@@ -6,7 +6,8 @@ all but the last return the columns of ``docs`` as they came, extra ones too.
 Defined cases: a stage judges null and empty texts as its operator does (kept by the
 classifier if its prior is 1 or more likely, rejected by the rules for want of
 words); rows of one doc_id are one document, of which the third stage keeps one row;
-rows without a doc_id stay there once for each equal text; an empty table stays
+rows without a doc_id count there as documents of their own, those without words once
+for each equal text; an empty table stays
 empty; extra columns may have any names.
 """
 
@@ -47,12 +48,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents stays: that with the least doc_id."""
-    grouped = jaccard_join.jaccard_components(docs, SHINGLE, THRESHOLD)
-    first = grouped.where("doc_id = component_id").select("doc_id").distinct()
-    rows = _whole(docs)
-    kept = rows.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(rows.where("doc_id is null").dropDuplicates(["text"])).select("_row.*")
+    """One document of each component of linked documents stays: that with the least doc_id,
+    or one without a doc_id if no other is there."""
+    grouped = jaccard_join.labelled(docs, SHINGLE, THRESHOLD)
+    first = grouped.where("first").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
+    rows = _whole(docs).withColumn("t", jaccard_join.text_key())
+    kept = rows.join(first, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id is null").dropDuplicates(["text"])).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, ship, table
@@ -184,7 +184,7 @@ def _set_rows(size: int, threshold: tuple[int, int]):
                     own.append(signatures(grams, threshold).view(np.int64))
                 ends = np.concatenate((np.zeros(1, np.int32), np.cumsum([len(x) for x in own]))).astype(np.int32)
                 sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), sigs], names=["doc_id", "n_shingles", "v", "sigs"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), sigs], names=["doc_id", "t", "n_shingles", "v", "sigs"])
 
     return run
 
@@ -243,13 +243,24 @@ def _free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def text_key(text: str = "text") -> Column:
+    """What a row's text is known by where its doc_id doesn't tell rows apart."""
+    return F.xxhash64(text)
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    return labelled(docs, size, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, t (``text_key``), n_shingles, component_id of every row, and ``first``: whether the
+    row is its component's first, by least doc_id, null ids last, and by text; rows without shingles are."""
     spark = docs.sparkSession
     ship(spark)
     _free(spark)  # what earlier steps shuffled
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(docs.mapInArrow(_set_rows(size, threshold), "doc_id long, n_shingles long, v long, sigs array<long>"), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), "text")
+    rows = materialize(docs.mapInArrow(_set_rows(size, threshold), "doc_id long, t long, n_shingles long, v long, sigs array<long>"), "sets")
     members = rows.where("v is not null")
     # Equal sets meet first, one row for each vertex; then signatures.
     signed = members.select("v", "sigs").dropDuplicates(["v"]).select(F.explode("sigs").alias("sig"), "v")
@@ -260,8 +271,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
     _free(spark)
     # One text for each vertex in a bucket.
     wanted = buckets.select("v").distinct()
-    holders = members.join(wanted, "v").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"))
-    texts = materialize(_texts(docs, holders, members, size), "texts", compression="zstd")
+    holders = members.join(wanted, "v").groupBy("v").agg(_first()).select("v", "first.doc_id", "first.t")
+    texts = materialize(_texts(docs, holders, size), "texts", compression="zstd")
     links = materialize(verify(stars, texts, size, threshold), "links")
     roots = components(links)
     label = lambda frame: frame.join(roots.withColumnRenamed("v", "_v"), frame["v"] == F.col("_v"), "left").withColumn("root", F.coalesce("root", "v")).drop("_v")
@@ -295,10 +306,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, threshold: tuple[in
             # What is connected already counts as stars.
             links = materialize(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(found), "links")
             roots = components(links)
-    rooted = label(rows.select("doc_id", "n_shingles", "v"))
+    rooted = label(rows.select("doc_id", "t", "n_shingles", "v"))
     rooted = materialize(rooted, "rooted")
-    least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    out = materialize(rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    least = materialize(rooted.where("root is not null").groupBy("root").agg(_first()).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.t").alias("_t")), "least")
+    first = F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("_t"))
+    out = rooted.join(least, "root", "left").select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first"))
+    out = materialize(out, "components")
     for x in (rows, buckets, stars, texts, links, apart, sized, rooted, least):
         discard(x)
     _free(spark)
@@ -392,16 +405,22 @@ def _block_links(size: int, threshold: tuple[int, int]):
     return run
 
 
-def _texts(docs: DataFrame, holders: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(v, text) with one text for each vertex of ``holders``, by way of its least doc_id."""
+def _first() -> Column:
+    """The row that stands for others: least doc_id, null ids last, then least text key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")).alias("first")
+
+
+def _texts(docs: DataFrame, holders: DataFrame, size: int) -> DataFrame:
+    """(v, text) with one text for each vertex of ``holders`` (v, doc_id, t), null ids included."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [set_id(x) if len(x) else None for x in shingle_sets(batch.column("text").to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("text"), pa.array(ids, pa.int64())], names=["v", "text", "own"])
 
-    held = docs.where("doc_id is not null").join(holders.where("doc_id is not null").select("v", "doc_id"), "doc_id").select("v", "text")
-    return held.mapInArrow(own, "v long, text string, own long").where("v = own").dropDuplicates(["v"]).select("v", "text")
+    held = holders.select("v", F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
+    found = docs.join(held, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("v", "text")
+    return found.mapInArrow(own, "v long, text string, own long").where("v = own").dropDuplicates(["v"]).select("v", "text")
 
 
 def op6_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:

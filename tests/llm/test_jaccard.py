@@ -79,3 +79,29 @@ def test_odd_rows(spark, odd, none):
     assert by[0, 5] == by[1, 5] == by[2, 5] == 0 and by[9, 5] == 9
     assert by[4, 0] == 4 and by[5, 0] == 5 and by[6, 1] == 6 and by[None, 1] == 6 and by[None, 0] is None
     assert jj.jaccard_components(none).count() == 0
+
+
+@pytest.mark.parametrize("small_bucket", [32, 2])
+def test_null_ids_link_by_their_texts(spark, monkeypatch, small_bucket):
+    monkeypatch.setattr(jj, "SMALL_BUCKET", small_bucket)
+    words = [f"w{i}" for i in range(120)]
+    swap = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    # 1 and 2 are too far apart, and meet by way of the row between them only.
+    rows = [(1, swap(10, 60)), (2, swap(30, 90)), (None, swap()), (None, "p q r s t"), (7, "other words all along here")]
+    assert not jj.linked(*[next(jj.shingle_sets([t])) for _, t in rows[:2]])
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 117): 1, (2, 117): 1, (None, 117): 1, (None, 2): None, (7, 2): 7}
+
+
+def test_pipeline_keeps_one_row_of_each_group_of_null_ids(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(120)]
+    near = lambda head, i: " ".join([head, *words[:i], "x", *words[i:]])
+    other = lambda i: " ".join(f"{w}{'y' if k == i else 'z'}" for k, w in enumerate(words))
+    rows = [(None, near("a", 10)), (None, near("a", 50)), (None, near("a", 50)), (4, near("a", 90)), (5, near("a", 90))]
+    rows += [(None, other(i)) for i in (3, 60, 110)] + [(None, None), (None, None), (None, ""), (8, "")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [4, 8]
+    texts = [r.text for r in kept if r.doc_id is None]
+    assert len(texts) == 3 and None in texts and "" in texts and texts.count(None) == 1
