@@ -1,8 +1,11 @@
 """Licence scans by sentence rules (DataFrame functions only).
 
-A text is lower-cased, cut into sentences at line ends and at stops before white
-space, and each sentence is normalised (runs of signs become one space). Sentences
-in ``SENTENCES`` become their identifiers, others fall out. The identifiers in order
+A text is lower-cased, cut into lines and at stops before white space, and each piece
+is normalised (runs of signs become one space). A known sentence is one piece or, as
+notices are wrapped, several in a row with single line ends between them; blank lines
+(also those of signs only) and stops end it. Where two begin together the longer goes.
+Sentences in ``SENTENCES`` and ``HEADERS`` become their identifiers, others fall out;
+``n_sentences`` counts the pieces. The identifiers in order
 are matched against ``RULES``, in their order: an earlier rule takes its identifiers
 before a later one sees them, so whole texts go before single lines.
 
@@ -68,33 +71,62 @@ RULES = [
     ("all-rights-reserved", "Proprietary", ["all-rights"]),
 ]
 
+_USE = f"{SENTENCES['apache-2-line']} the license {SENTENCES['apache-2-use']}"
+_COPY = f"{SENTENCES['apache-2-copy']} {SENTENCES['apache-2-url']}"
+#: Sentences of the canonical headers, longer than a line; ``|`` is a stop within one.
+#: The SQL twin has neither these nor wrapped sentences.
+HEADERS = {
+    "apache-2-header": _USE,
+    "apache-2-copy-url": _COPY,
+    "apache-2-copy-as-is": f"{_COPY} {SENTENCES['apache-as-is']}",
+    "mpl-2-header": "this source code form is subject to the terms of the mozilla public license v|2 0",
+}
+
+#: As ``RULES``, and ahead of them.
+HEADER_RULES = [
+    *[
+        (f"apache-2-{name}", "Apache-2.0", ["apache-2-header", *middle, "apache-see"])
+        for name, middle in [
+            ("header", ["apache-2-copy", "apache-2-url", "apache-as-is"]),
+            ("header-two-lines", ["apache-2-copy-url", "apache-as-is"]),
+            ("header-one-line", ["apache-2-copy-as-is"]),
+        ]
+    ],
+    ("apache-2-header-line", "Apache-2.0", ["apache-2-header"]),
+    ("mpl-2-header", "MPL-2.0", ["mpl-2-header"]),
+]
+
 STOPS = r"[.!?]+([ \t\n\f\r]|$)"
 SIGNS = r"[^\p{L}\p{N}\n]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order."""
-    cut = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), STOPS, "\n"), SIGNS, " ")
-    return F.filter(F.transform(F.split(cut, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+def pieces(text: Column) -> Column:
+    """A text of normalised pieces: a line end between two lines, two or more where a sentence must end."""
+    cut = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), STOPS, "\n\n"), SIGNS, " ")
+    return F.trim(F.regexp_replace(cut, " ?\n ?", "\n"))
 
 
-def known(found: Column) -> Column:
-    """Identifiers of the known sentences, in order, as ``<id>`` joined."""
-    ids = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in SENTENCES.items()) for x in pair])
-    own = F.filter(found, lambda s: s.isin(*SENTENCES.values()))
-    return F.array_join(F.transform(own, lambda s: F.concat(F.lit("<"), F.element_at(ids, s), F.lit(">"))), "")
+def known(cut: Column) -> Column:
+    """Identifiers of the known sentences of ``pieces``, in order, as ``<id>`` joined."""
+    every = {s: i for i, s in (SENTENCES | HEADERS).items()}
+    ids = F.create_map(*[F.lit(x) for pair in every.items() for x in pair])
+    words = [s.replace(" ", "[ \n]").replace("|", "\n\n+") for s in sorted(every, key=len, reverse=True)]
+    found = F.regexp_extract_all(cut, F.lit(rf"(?<![^\n])({'|'.join(words)})(?![^\n])"), F.lit(1))
+    plain = lambda s: F.translate(F.regexp_replace(s, "\n\n+", "|"), "\n", " ")
+    return F.array_join(F.transform(found, lambda s: F.concat(F.lit("<"), F.element_at(ids, plain(s)), F.lit(">"))), "")
 
 
 def rules(sequence: Column) -> Column:
     """The sequence with each rule's identifiers taken by ``[rule]``, rules in order."""
-    return reduce(lambda left, r: F.replace(left, F.lit("".join(f"<{i}>" for i in r[2])), F.lit(f"[{r[0]}]")), RULES, sequence)
+    return reduce(lambda left, r: F.replace(left, F.lit("".join(f"<{i}>" for i in r[2])), F.lit(f"[{r[0]}]")), HEADER_RULES + RULES, sequence)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, identifiers, rules and licences of every row, in order of the text."""
-    licence = F.create_map(*[F.lit(x) for r in RULES for x in r[:2]])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("_s"))
-    rows = rows.select("doc_id", F.size("_s").cast("long").alias("n_sentences"), known(F.col("_s")).alias("identifiers"))
+    licence = F.create_map(*[F.lit(x) for r in HEADER_RULES + RULES for x in r[:2]])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text")).alias("_s"))
+    n = F.size(F.filter(F.split("_s", "\n"), lambda s: s != ""))
+    rows = rows.select("doc_id", n.cast("long").alias("n_sentences"), known(F.col("_s")).alias("identifiers"))
     rows = rows.withColumn("rules", F.regexp_extract_all(rules(F.col("identifiers")), F.lit(r"\[([^\]]+)\]"), F.lit(1)))
     return rows.withColumn("licences", F.array_distinct(F.transform("rules", lambda r: F.element_at(licence, r))))
 

@@ -43,3 +43,68 @@ def test_licences_by_hand(spark, odd, none):
         5: (["cc-by-nc-4", "cc-by-nc-4", "mit"], ["CC-BY-NC-4.0", "MIT"]),
     }
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Copyright (c) A. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_notices(spark):
+    notices = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (GPL, "GPL-3.0-or-later"), (BSD, "Proprietary,BSD-3-Clause"), (MPL, "MPL-2.0")]
+    ways = [
+        lambda t: t,
+        lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")),
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\nint x;",
+        lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n")),
+        lambda t: " ".join(t.split()),
+    ]
+    rows = [(100 * i + j, way(t)) for i, (t, _) in enumerate(notices) for j, way in enumerate(ways)]
+    rows.append((900, "Permission is hereby\n\ngranted, free of charge"))
+    rows.append((901, "words before\nAll rights reserved\nReleased under the MIT License\nwords after"))
+    got = {r.doc_id: (",".join(r.licences), r.rules) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one_line = 5  # there the MIT and BSD sentences of several paragraphs run into one
+    for i, (_, licence) in enumerate(notices):
+        for j in range(len(ways)):
+            if j != one_line or licence in ("Apache-2.0", "GPL-3.0-or-later", "MPL-2.0"):
+                assert got[100 * i + j][0] == licence, (i, j, got[100 * i + j])
+    assert all(len(got[j][1]) == 1 for j in range(len(ways))) and got[100][1] == ["mit-text"] and got[200][1] == ["gpl-3-notice"]
+    assert got[900] == ("", []) and got[901][1] == ["all-rights-reserved", "mit"]
