@@ -85,3 +85,21 @@ def test_altered_chunk_is_noticed(spark, odd):
         spark.read.parquet(f"{root}/{name}").write.parquet(f"{bad}/{name}")
     with pytest.raises(Exception, match="address"):
         ts.read_digests(spark, bad).count()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_a_fresh_tokenizer(name, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary_path(name))
+    ids = lambda t, text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    marked = ["one <|endoftext|> two", "<|endoftext|>", "a.<|endoftext|>b, c", "x<|startoftext|><|ENDOFTEXT|>", "it <| ends |>"]
+    for text in SAMPLES + marked:
+        assert Encoder.of(vocabulary_path(name)).encode([text]) == [ids(fresh, text)], text
+    fresh.add_special_tokens([AddedToken("[PAD]", special=True)])
+    fresh.add_tokens(["two words", "stop.stop"])
+    path = str(tmp_path / "more.json")
+    fresh.save(path)
+    fresh = Tokenizer.from_file(path)
+    for text in [*marked, "a [PAD] b", "some two words here", "full stop.stop x", "two  words"]:
+        assert Encoder(path).encode([text]) == [ids(fresh, text)], text
