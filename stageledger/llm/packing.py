@@ -191,8 +191,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[int, list[Run]]:
-    """Linear grouping at each of ``GROUPS``, then plain best-fit; the first with the fewest sequences."""
-    return min((plan(histogram, capacity, SMALL, g) for g in (*GROUPS, None)), key=lambda x: x[0])
+    """Linear grouping at each of ``GROUPS``; the first with the fewest sequences."""
+    return min((plan(histogram, capacity, SMALL, g) for g in GROUPS), key=lambda x: x[0])
 
 
 def ranks(rows: DataFrame, total: int) -> DataFrame:

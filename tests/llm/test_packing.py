@@ -59,3 +59,10 @@ def test_documents(spark, odd, none):
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == np.cumsum([0, *[r.length for r in own]])[:-1].tolist() and sum(r.length for r in own) <= 1024
     assert pk.pack_documents(none).count() == 0
+
+
+def test_best_plan_is_a_linear_grouping(monkeypatch):
+    histogram = {n: 1 + n * 7919 % 13 for n in range(1, 1025)}
+    plain, used, whole = pk.plan(histogram)[0], [], pk.plan
+    monkeypatch.setattr(pk, "plan", lambda h, c, s, g: used.append(g) or whole(h, c, s, g))
+    assert pk.best_plan(histogram)[0] <= 1.005 * plain + 1 and used == list(pk.GROUPS)
