@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import enum
+import inspect
 import itertools
 import re
 from collections.abc import Callable, Iterable
@@ -112,6 +113,14 @@ def matrix(*axes: Axis) -> Callable:
     return mark
 
 
+def _check_signature(s: Stage) -> None:
+    """After the context a stage takes its axes by name, each and no others."""
+    own = list(inspect.signature(s.func).parameters.values())
+    named = [p for p in own[1:] if p.kind in (p.POSITIONAL_OR_KEYWORD, p.KEYWORD_ONLY)]
+    if not own or len(named) != len(own) - 1 or {p.name for p in named} != {a.name for a in s.axes}:
+        raise TypeError(f"stage {s.name!r} must take the context and exactly its axes by name: {', '.join(a.name for a in s.axes) or 'none'}")
+
+
 class Pipeline:
     """Stages are collected from base classes first; ``depends`` holds for all of them."""
 
@@ -131,6 +140,7 @@ class Pipeline:
         for s in found.values():
             if unknown := [n for n in s.needs if n not in found]:
                 raise ValueError(f"stage {s.name!r} needs unknown {', '.join(unknown)}")
+            _check_signature(s)
         return found
 
 

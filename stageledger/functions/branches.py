@@ -32,8 +32,16 @@ def load(path: str) -> dict[str, dict[str, Any]]:
         found = json.loads(text)
     for name, own in found.items():
         check_name(name)
+        if not isinstance(own or {}, dict):
+            raise ValueError(f"branch {name!r}: not a mapping")
         if unknown := set(own or {}) - SECTIONS:
             raise ValueError(f"branch {name!r}: unknown section {', '.join(sorted(unknown))}")
+        for section, value in (own or {}).items():
+            if not isinstance(value or {}, dict):
+                raise ValueError(f"branch {name!r}: {section} isn't a mapping")
+        for axis, ids in ((own or {}).get("axes") or {}).items():
+            if not isinstance(ids, list):
+                raise ValueError(f"branch {name!r}: axis {axis!r} isn't a list")
     return {n: dict(own or {}) for n, own in found.items()}
 
 
@@ -75,6 +83,12 @@ class Branch:
     config: dict[str, Any]
     axes: dict[str, list[Any]]
     root: str
+    is_temporary: bool = False
+
+    @property
+    def temporary(self) -> dict[str, Any] | None:
+        """What a temporary branch's store is claimed for."""
+        return {"config": self.config, "axes": self.axes} if self.is_temporary else None
 
 
 def resolve(base: str, defaults: Mapping[str, Any], branches: Mapping[str, Any] | None = None, branch: str = "main", override: Mapping[str, Any] | None = None, axes: Mapping[str, Any] | None = None, env: Mapping[str, Any] | None = None) -> Branch:
@@ -90,4 +104,4 @@ def resolve(base: str, defaults: Mapping[str, Any], branches: Mapping[str, Any]
         return Branch(branch, config, chosen, f"{base}/{branch}")
     config, chosen = merge(config, override or {}), chosen | dict(axes or {})
     name = override_name(config, chosen)
-    return Branch(name, config, chosen, f"{base}/tmp/{name}")
+    return Branch(name, config, chosen, f"{base}/tmp/{name}", True)

@@ -3,32 +3,61 @@
 from __future__ import annotations
 
 import dataclasses
+import enum
+from collections.abc import Mapping
+from pathlib import PurePath
 from typing import Any
 
 
+def _plain(value: Any) -> Any:
+    """JSON values of what a typed config may hold."""
+    if isinstance(value, enum.Enum):
+        return _plain(value.value)
+    if isinstance(value, PurePath):
+        return str(value)
+    if isinstance(value, Mapping):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def as_dict(config: Any) -> dict[str, Any]:
+    """The config as JSON values: what keys are made of."""
+    return _plain(dataclasses.asdict(config) if dataclasses.is_dataclass(config) else dict(config or {}))
+
+
+def _top(config: Any) -> dict[str, Any]:
+    """Top-level fields with their values as they are."""
     if dataclasses.is_dataclass(config):
-        return dataclasses.asdict(config)
+        return {f.name: getattr(config, f.name) for f in dataclasses.fields(config)}
     return dict(config or {})
 
 
 class RecordingConfig:
-    """Attribute and item access by top-level field; pickling, iteration and equality latch all."""
+    """Attribute and item access by top-level field.
+
+    What can't be told apart latches all fields: a name that is no field (it may become
+    one), ``__dict__``, methods of the mapping, iteration, length, membership, equality,
+    text, copies and pickles.
+    """
+
+    __slots__ = ("_data", "_read")  # no instance dict, so that ``__dict__`` comes by __getattr__
 
     def __init__(self, config: Any):
-        object.__setattr__(self, "_data", as_dict(config))
+        object.__setattr__(self, "_data", _top(config))
         object.__setattr__(self, "_read", set())
 
     def __getattr__(self, name: str) -> Any:
-        if name.startswith("_") or name not in self._data:
-            raise AttributeError(name)
-        return self[name]
+        if name in self._data:
+            return self[name]
+        data = dict(self._all())
+        return data if name == "__dict__" else getattr(data, name)
 
     def __getitem__(self, name: str) -> Any:
-        value = self._data[name]
+        if name not in self._data:
+            return self._all()[name]
         if self._read is not None:
             self._read.add(name)
-        return value
+        return self._data[name]
 
     def __setattr__(self, name: str, value: Any) -> None:
         raise AttributeError("a config can't be changed")
@@ -40,6 +69,12 @@ class RecordingConfig:
     def __iter__(self):
         return iter(self._all())
 
+    def __len__(self) -> int:
+        return len(self._all())
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._all()
+
     def __eq__(self, other: object) -> bool:
         return self._all() == other
 
@@ -48,7 +83,7 @@ class RecordingConfig:
     def __repr__(self) -> str:
         return repr(self._all())
 
-    def __reduce__(self):
+    def __reduce_ex__(self, protocol: int):
         return dict, (self._all(),)
 
     def recorded(self) -> list[str] | None:

@@ -1,7 +1,9 @@
 """Stage graphs as relations: expansion, alignment, selection, closures, levels.
 
 Axis domains are small and declared, so products are between declared domains and
-never between data. Closures run as one recursive query; the engine's own stage
+never between data. Closures and levels run in rounds of ``HOPS`` steps over a frontier
+of distinct stages, each round one job that ends in a written table: paths that meet
+again are one row at every step, and depth only adds rounds. The engine's own stage
 graph, a few hundred stages, is walked on the driver (``stageledger.plans.engine``).
 """
 
@@ -12,6 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, materialize
+
+#: Steps of one round.
+HOPS = 8
 SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 SAFE_ID = r"^[A-Za-z0-9._-]+$"
 
@@ -60,27 +66,53 @@ def select_cells(cells: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
     return cells.where(reduce(lambda a, b: a & b, (F.col(a).isin(ids) for a, ids in wanted.items()), F.lit(True)))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, up: bool = True) -> DataFrame:
-    """(stage): the seeds and all that they need (``up``) or that needs them.
+def _walk(edges: DataFrame, frontier: DataFrame, here: str, there: str) -> DataFrame:
+    """(stage, hop): the stages that are 1 to HOPS steps from the frontier, a row for each number of steps."""
+    step = edges.select(F.col(here).alias("_h"), F.col(there).alias("_t"))
+    layers, at = [], frontier.select("stage")
+    for hop in range(1, HOPS + 1):
+        at = at.join(step, at["stage"] == F.col("_h")).select(F.col("_t").alias("stage")).distinct()
+        layers.append(at.select("stage", F.lit(hop).alias("hop")))
+    return reduce(DataFrame.unionByName, layers)
 
-    ``edges`` (stage, need) has no cycle. Paths that meet again are dropped after
-    the recursion, which can only be UNION ALL.
-    """
+
+def closure(edges: DataFrame, seeds: DataFrame, up: bool = True) -> DataFrame:
+    """(stage): the seeds and all that they need (``up``) or that needs them, on graphs of any depth, cycles too."""
     here, there = ("stage", "need") if up else ("need", "stage")
-    return edges.sparkSession.sql(
-        f"with recursive reach(stage) as (select stage from {{seeds}} union all select e.{there} from reach r join {{edges}} e on e.{here} = r.stage) select distinct stage from reach",
-        seeds=seeds.select("stage"),
-        edges=edges.select("stage", "need"),
-    )
+    edges = materialize(edges.select("stage", "need").distinct(), "edges")
+    reached = [materialize(seeds.select("stage").distinct(), "reached")]
+    frontier = reached[0]
+    while True:
+        found = _walk(edges, frontier, here, there).groupBy("stage").agg(F.max(F.col("hop") == HOPS).alias("last"))
+        new = materialize(found.join(reduce(DataFrame.unionByName, reached), "stage", "left_anti"), "reached")
+        if new.isEmpty():
+            discard(new)
+            discard(edges)
+            return reduce(DataFrame.unionByName, reached)
+        reached.append(new.select("stage"))
+        # What is farther than HOPS steps from the old frontier passes a stage exactly so far.
+        frontier = new.where("last").select("stage")
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """(stage, level): longest path from a stage without needs."""
-    found = edges.sparkSession.sql(
-        "with recursive walk(stage, level) as (select distinct need, cast(0 as bigint) from {edges} e where not exists (select 1 from {edges} u where u.stage = e.need) union all select e.stage, w.level + 1 from walk w join {edges} e on e.need = w.stage) select stage, max(level) as level from walk group by stage",
-        edges=edges.select("stage", "need"),
-    )
-    return found
+    """(stage, level): longest path from a stage without needs. A cycle is an error."""
+    edges = materialize(edges.select("stage", "need").distinct(), "edges")
+    roots = edges.select(F.col("need").alias("stage")).join(edges.select("stage"), "stage", "left_anti").distinct()
+    tables = [materialize(roots.select("stage", F.lit(0).cast("long").alias("level")), "levels")]
+    frontier, base, most = tables[0], 0, None
+    while True:
+        found = _walk(edges, frontier, "need", "stage")
+        new = materialize(found.select("stage", (F.lit(base) + F.col("hop")).cast("long").alias("level")), "levels")
+        if new.isEmpty():
+            discard(new)
+            discard(edges)
+            return reduce(DataFrame.unionByName, tables).groupBy("stage").agg(F.max("level").alias("level"))
+        tables.append(new)
+        base += HOPS
+        frontier = new.where(F.col("level") == base).select("stage")
+        most = edges.select("stage").distinct().count() if most is None else most
+        if base - HOPS > most:
+            raise ValueError("the stages form a cycle")
 
 
 def unknown_needs(edges: DataFrame, stages: DataFrame) -> DataFrame:

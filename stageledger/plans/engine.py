@@ -10,6 +10,7 @@ from __future__ import annotations
 import asyncio
 import inspect
 import time
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import Dependencies, Graph, Pipeline, Stage
-from ..functions import config_access, source_code
+from ..functions import config_access, source_code, typed
 from ..functions.config_access import RecordingConfig
 from ..operators import batch, decide, keys, rollup
 from ..sources.store import Store, canonical, digest, input_entries, listing
@@ -32,6 +33,10 @@ class PendingReview(RuntimeError):
     """Source changes that need a decision: reuse or invalidate."""
 
 
+class Unfingerprinted(RuntimeError):
+    """An artifact was written, but its content can't be read back: not its stage's failure."""
+
+
 class Blocked(RuntimeError):
     """A stage outside the selection isn't a hit, or can't be evaluated."""
 
@@ -47,6 +52,7 @@ class Ctx:
     artifacts: dict[str, dict[str, Any]]
     done: dict[int, Any] = field(default_factory=dict)
     _resumed: list[int] | None = None
+    _total: int | None = None
 
     @property
     def cell(self) -> dict[str, str]:
@@ -80,6 +86,7 @@ class Ctx:
     def resume(self, items: Iterable[Any]) -> Iterable[Any]:
         """Items whose index has no valid checkpoint yet, by anti-join on the index."""
         items = list(items)
+        self._total = len(items)
         rows = self.spark.createDataFrame([(i,) for i in range(len(items))], "index long")
         done = self.spark.createDataFrame([(i,) for i in self.done], "index long")
         self._resumed = sorted(r.index_ for r in batch.remaining(rows, done, ["index"]).withColumnRenamed("index", "index_").collect())
@@ -103,9 +110,12 @@ def _write(spark: SparkSession, df: DataFrame, path: str, name: str) -> dict[str
     """Write an artifact and digest its rows on their way, in one pass."""
     seen = Observation()
     df.observe(seen, *keys.fingerprint_aggregates(df)).write.parquet(path)
-    stored = spark.read.parquet(path)
-    found = seen.get
-    return {"name": name, "path": path, "fingerprint": _digest(stored, found) if found.keys() == {"n", "a", "b"} else fingerprint(stored), "listing": listing(path)}
+    try:
+        stored = spark.read.parquet(path)
+        found = seen.get
+        return {"name": name, "path": path, "fingerprint": _digest(stored, found) if found.keys() == {"n", "a", "b"} else fingerprint(stored), "listing": listing(path)}
+    except Exception as e:
+        raise Unfingerprinted(f"{name}: {type(e).__name__}: {e}") from e
 
 
 def _current(spark: SparkSession, artifact: dict[str, Any], rehash: bool) -> str | None:
@@ -125,13 +135,42 @@ def root_fingerprint(fingerprints: list[tuple[str, str]]) -> str:
     return digest([[i, n, f] for i, (n, f) in enumerate(fingerprints)])
 
 
+class Snapshot:
+    """What one session of probes has read: each record, artifact, source and input once.
+
+    A stage that ran is read anew, nothing else is.
+    """
+
+    def __init__(self, engine: "Engine", rehash: bool = False):
+        self.engine, self.rehash = engine, rehash
+        self.observed: dict[str, tuple[str, str]] = {}
+        self.inputs: dict[str, Any] = {}
+        self.sources = source_code.Sources()
+        self.records: dict[str, dict[str, Any] | None] = {}
+        self.now: dict[str, list[str | None]] = {}
+        self.roots: dict[str, str] = {}
+        for n in engine.graph.order:
+            self.read(n)
+
+    def read(self, n: str) -> None:
+        r = self.records[n] = self.engine.store.read("stages", n)
+        self.now.pop(n, None)
+        self.roots.pop(n, None)
+        if r:
+            self.now[n] = [_current(self.engine.spark, a, self.rehash) for a in r["artifacts"]]
+            self.roots[n] = root_fingerprint([(a["name"], c or a["fingerprint"]) for a, c in zip(r["artifacts"], self.now[n], strict=True)])
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, pipeline: type[Pipeline], root: str, config: Any = None, args: Any = None, axes: dict[str, list[Any]] | None = None):
+    def __init__(self, spark: SparkSession, pipeline: type[Pipeline], root: str, config: Any = None, args: Any = None, axes: dict[str, list[Any]] | None = None, temporary: dict[str, Any] | None = None):
         self.spark, self.store = spark, Store(root)
         self.graph = Graph(pipeline, axes)
         self.name = f"{pipeline.__module__}.{pipeline.__qualname__}"
-        self.config, self.args = config, args
-        self._staged = {s.base for s in self.graph.stages.values()}
+        #: Dataclasses ``Config`` and ``Args`` of the pipeline, where it has them, check what they are given.
+        typed_ = lambda name, value: typed.build(schema, value or {}) if (schema := getattr(pipeline, name, None)) else value
+        self.config, self.args = typed_("Config", config), typed_("Args", args)
+        self.temporary = temporary
+        self._staged = list({s.base: s.func for s in self.graph.stages.values()}.values())
         #: path -> stamp and hash of input files, kept between runs
         self._stamps: dict[str, list[Any]] = (self.store.read("files", "stamps") or {"files": {}})["files"]
 
@@ -140,11 +179,11 @@ class Engine:
     def _dependencies(self, s: Stage) -> Dependencies:
         return self.graph.pipeline.depends.merged(s.depends)
 
-    def _observed(self, memo: dict, s: Stage) -> tuple[str, str]:
-        if s.base not in memo:  # cells share their callable
+    def _observed(self, snapshot: Snapshot, s: Stage) -> tuple[str, str]:
+        if s.base not in snapshot.observed:  # cells share their callable
             d = self._dependencies(s)
-            memo[s.base] = source_code.observe(s.func, self._staged, d.sources, d.review_sources)
-        return memo[s.base]
+            snapshot.observed[s.base] = source_code.observe(s.func, self._staged, d.sources, d.review_sources, snapshot.sources)
+        return snapshot.observed[s.base]
 
     def _parts(self, s: Stage, access: list[str] | None, rerun: str, roots: dict[str, str], inputs_memo: dict) -> dict[str, Any]:
         d, call = self._dependencies(s), lambda v: v(self.config) if callable(v) else v
@@ -183,59 +222,73 @@ class Engine:
 
     # Probe
 
-    def probe(self, stages: Iterable[str] | None = None, rehash: bool = False) -> list[dict[str, Any]]:
+    def probe(self, stages: Iterable[str] | None = None, rehash: bool = False, snapshot: Snapshot | None = None, force: bool = False) -> list[dict[str, Any]]:
         """Statuses in topological order; one Spark plan for all stages."""
-        wanted = [n for n in self.graph.order if stages is None or n in set(stages)]
-        observed: dict = {}
-        inputs: dict = {}
-        records = {n: self.store.read("stages", n) for n in self.graph.order}
-        now: dict[str, list[str | None]] = {}
-        roots: dict[str, str] = {}
-        for n, r in records.items():
-            if r:
-                now[n] = [_current(self.spark, a, rehash) for a in r["artifacts"]]
-                roots[n] = root_fingerprint([(a["name"], c or a["fingerprint"]) for a, c in zip(r["artifacts"], now[n], strict=True)])
+        snapshot = snapshot or Snapshot(self, rehash)
+        only = None if stages is None else set(stages)
+        wanted = [n for n in self.graph.order if only is None or n in only]
         rows, extra = [], {}
         for at, n in enumerate(wanted):
-            s, r, error, reason, key, parts, review = self.graph.stages[n], records[n], None, "no-cache", None, None, None
-            orphan = any(u not in roots for u in s.concrete_needs)
-            try:
-                rerun, review = self._observed(observed, s)
-                if not orphan:
-                    access = r["access"] if r and r["rerun"] == rerun else None
-                    parts = self._parts(s, access, rerun, roots, inputs)
-                    key = digest(parts)
-                    if r and key != r["key"]:
-                        reason = self._reason(r["parts"], parts)
-            except Exception as e:
-                error = f"{type(e).__name__}: {e}"
-            failure, attempt = self.store.read("failures", n), self.store.read("attempts", n)
-            partial = {} if key is None or s.kind != "batch" else self._valid_partial(n, s, key)
-            gone = bool(r) and any(c is None for c in now[n])
-            differs = bool(r) and any(c is not None and c != a["fingerprint"] for a, c in zip(r["artifacts"], now[n], strict=True))
-            baseline = None
-            for mark in (attempt, failure):
-                if mark and baseline is None and mark["key"] == key:
-                    baseline = mark["review"]
-            if baseline is None and r and not gone and not differs and r["key"] == key:
-                baseline = r["review"]
-            decided = self.store.read("reviews", s.base)
-            decision = decided["decision"] if decided and decided["review"] == review else None
-            rows.append((n, s.base, bool(failure), bool(attempt), bool(partial), bool(r), bool(r) and r["key"] == key, gone, differs, reason, baseline, review, decision, error, orphan, r["elapsed"] if r else None, at))
-            extra[n] = {"key": key, "parts": parts, "review_fingerprint": review, "partial": partial, "rerun": observed.get(s.base, (None, None))[0], "record": r}
-        return [x | extra[x["stage"]] for x in map(lambda row: row.asDict(), self._decided(rows).orderBy("ord").collect())]
-
-    def _decided(self, rows: list[tuple]) -> DataFrame:
+            row, extra[n] = self._flags(n, snapshot)
+            rows.append((*row, at))
+        return [x | extra[x["stage"]] for x in map(lambda row: row.asDict(), self._decided(rows, force).orderBy("ord").collect())]
+
+    def _flags(self, n: str, snapshot: Snapshot) -> tuple[tuple, dict[str, Any]]:
+        """What a stage's decision is made of, and what its execution needs."""
+        s, r, error, reason, key, parts, rerun, review = self.graph.stages[n], snapshot.records[n], None, "no-cache", None, None, None, None
+        failure, attempt = self.store.read("failures", n), self.store.read("attempts", n)
+        if not r and self.store.outdated("stages", n):
+            reason = "schema-migration"
+        orphan, partial = any(u not in snapshot.roots for u in s.concrete_needs), {}
+        try:
+            rerun, review = self._observed(snapshot, s)
+            if not orphan:
+                access = r["access"] if r and r["rerun"] == rerun else None
+                parts = self._parts(s, access, rerun, snapshot.roots, snapshot.inputs)
+                key = digest(parts)
+                if s.kind == "batch":
+                    partial = self._valid_partial(n, s, key)
+                    mark = attempt or failure
+                    if access is not None and not partial and mark and mark["key"] != key:
+                        # What was begun under the whole config is taken up under it.
+                        whole = self._parts(s, None, rerun, snapshot.roots, snapshot.inputs)
+                        if mark["key"] == digest(whole) and (begun := self._valid_partial(n, s, digest(whole))):
+                            parts, key, partial = whole, digest(whole), begun
+                if r and key != r["key"]:
+                    reason = self._reason(r["parts"], parts)
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+        now = snapshot.now.get(n, [])
+        gone = any(c is None for c in now)
+        differs = bool(r) and any(c is not None and c != a["fingerprint"] for a, c in zip(r["artifacts"], now, strict=True))
+        baseline = None
+        for mark in (attempt, failure):
+            if mark and baseline is None and mark["key"] == key:
+                baseline = mark["review"]
+        if baseline is None and r and not gone and not differs and r["key"] == key:
+            baseline = r["review"]
+        decided = self.store.read("reviews", s.base)
+        decision = decided["decision"] if decided and decided["review"] == review else None
+        row = (n, s.base, bool(failure), bool(attempt), bool(partial), bool(r), bool(r) and r["key"] == key, gone, differs, reason, baseline, review, decision, error, orphan, r["elapsed"] if r else None)
+        return row, {"key": key, "parts": parts, "review_fingerprint": review, "partial": partial, "rerun": rerun, "record": r}
+
+    def _decided(self, rows: list[tuple], force: bool) -> DataFrame:
         c = F.col
         flags = self.spark.createDataFrame(rows, FLAGS)
         made = decide.decide(*[c(x) for x in ("failed", "attempted", "partial", "success", "key_match", "missing", "mismatch", "reason")])
         lost = F.struct(F.lit("needs-run").alias("status"), F.lit("no-cache").alias("reason"))
         wrong = F.struct(F.lit("error").alias("status"), c("error").alias("reason"))
-        d = flags.withColumn("d", F.when(c("error").isNotNull(), wrong).when(c("orphan"), lost).otherwise(made))
+        outdated = F.struct(F.lit("needs-run").alias("status"), F.lit("schema-migration").alias("reason"))
+        made = F.when(c("orphan"), lost).otherwise(made)
+        made = F.when((made["reason"] == "no-cache") & (c("reason") == "schema-migration"), outdated).otherwise(made)
+        d = flags.withColumn("d", F.when(c("error").isNotNull(), wrong).otherwise(made))
         d = d.withColumn("relationship", decide.relationship(c("baseline"), c("review")))
+        invalidated = (c("relationship") == "changed") & c("decision").eqNullSafe("invalidate")
+        d = d.withColumn("x", decide.overlay(c("d.status"), c("d.reason"), F.lit(force), invalidated, c("partial")))
         return d.select(
             "stage", "base", "ord", "elapsed", "relationship", "decision",
             c("d.status").alias("execution"), c("d.reason").alias("execution_reason"),
+            c("x.status").alias("action"), c("x.reason").alias("action_reason"),
             decide.effective(c("d.status"), c("relationship"), c("decision")).alias("status"),
             decide.effective_reason(c("d.reason"), c("relationship"), c("decision")).alias("reason"),
         )
@@ -244,10 +297,10 @@ class Engine:
         """Checkpoints whose every artifact still is what was recorded."""
         return {i: r for i, r in self.store.partial(n, key).items() if all(_current(self.spark, a, False) == a["fingerprint"] for a in r["artifacts"])}
 
-    def status(self, selector: str | None = None, rehash: bool = False) -> DataFrame:
-        """Per base stage: effective status, cells, recorded seconds. Probed whole, then filtered."""
+    def status(self, selector: str | None = None, rehash: bool = False, expand: bool = False) -> DataFrame:
+        """Per base stage, or per cell (``expand``): effective status, cells, recorded seconds. Probed whole, then filtered."""
         chosen = set(self.graph.resolve(selector)) if selector else set(self.graph.order)
-        rows = [(p["base"], p["stage"], p["status"], p["reason"], p["elapsed"], p["ord"]) for p in self.probe(rehash=rehash) if p["stage"] in chosen]
+        rows = [(p["stage" if expand else "base"], p["stage"], p["status"], p["reason"], p["elapsed"], p["ord"]) for p in self.probe(rehash=rehash) if p["stage"] in chosen]
         frame = self.spark.createDataFrame(rows, "base string, stage string, status string, reason string, duration double, ord long")
         total = rollup.durations(frame, "base")
         order = frame.groupBy("base").agg(F.min("ord").alias("ord"), F.count("*").alias("cells"))
@@ -258,52 +311,78 @@ class Engine:
     def run(self, force: bool = False, **selection: Any) -> list[dict[str, Any]]:
         """Execute what isn't a hit, in topological order; outcomes per stage."""
         with self.store.lock():
-            self.store.initialize(self.name)
+            self.store.initialize(self.name, self.temporary)
             chosen = self.graph.select(**selection)
-            probes = {p["stage"]: p for p in self.probe(self.graph.closure(chosen))}
+            snapshot = Snapshot(self)
+            probes = {p["stage"]: p for p in self.probe(self.graph.closure(chosen), snapshot=snapshot, force=force)}
             if pending := [n for n in chosen if probes[n]["status"] == "needs-review"]:
                 raise PendingReview(f"source changes need a review: {', '.join(pending)}")
             if wrong := [f"{n} ({p['reason']})" for n, p in probes.items() if p["status"] == "error"]:
                 raise Blocked(f"can't evaluate {', '.join(wrong)}")
             if outside := [n for n, p in probes.items() if n not in chosen and p["status"] != "hit"]:
                 raise Blocked(f"stages outside the selection aren't current: {', '.join(outside)}")
-            outcomes = [self._execute(n, force) for n in chosen]
+            outcomes, ran = [], set()
+            for n in chosen:
+                if ran & set(self.graph.stages[n].concrete_needs):  # only then is it another decision
+                    probes[n] = self.probe([n], snapshot=snapshot, force=force)[0]
+                outcomes.append(self._execute(n, probes[n], snapshot, force))
+                if outcomes[-1]["ran"]:
+                    ran.add(n)
+                    snapshot.read(n)
             self.store.write({"files": self._stamps}, "files", "stamps")
             return outcomes
 
-    def _execute(self, n: str, force: bool) -> dict[str, Any]:
+    def _execute(self, n: str, p: dict[str, Any], snapshot: Snapshot, force: bool) -> dict[str, Any]:
         s = self.graph.stages[n]
-        p = self.probe([n])[0]
         if p["status"] == "error":
             raise Blocked(f"{n}: {p['reason']}")
+        if p["status"] == "needs-review":
+            raise PendingReview(f"source changes need a review: {n}")
         invalidated = p["relationship"] == "changed" and p["decision"] == "invalidate"
-        if p["execution"] == "hit" and not force and not invalidated:
+        if p["action"] == "hit":
             self._refresh(n, p["record"])
-            return {"stage": n, "status": "hit", "ran": False, "elapsed": 0.0}
+            return {"stage": n, "status": "hit", "reason": "hit", "ran": False, "elapsed": 0.0}
         if force or invalidated:
             self.store.drop_partial(n)
             p["partial"] = {}
+        elif p["relationship"] == "changed" and p["record"] and p["record"]["access"] is not None:
+            p = self._whole_config(n, s, p, snapshot)
         began = time.monotonic()
         mark = {"key": p["key"], "rerun": p["rerun"], "review": p["review_fingerprint"], "at": _now()}
         self.store.write(mark, "attempts", n)
         config = RecordingConfig(self.config)
-        ctx = Ctx(self.spark, config, self.args, s, {u: self.store.read("stages", u) for u in s.concrete_needs}, p["partial"])
+        ctx = Ctx(self.spark, config, self.args, s, {u: snapshot.records[u] for u in s.concrete_needs}, p["partial"])
         try:
             artifacts = self._batch(n, s, ctx, p["key"]) if s.kind == "batch" else self._single(n, s, ctx)
+        except Unfingerprinted:  # the attempt's mark stays: interrupted
+            raise
         except Exception as e:
             self.store.write(mark | {"exception": type(e).__name__, "message": str(e)[:2000]}, "failures", n)
             self.store.drop("attempts", n)
             raise
         previous = p["record"]
         access = config_access.merge(config.recorded(), previous["access"] if previous else None, bool(previous), bool(previous) and previous["rerun"] == p["rerun"])
-        roots = {u: root_fingerprint([(a["name"], _current(self.spark, a, False) or a["fingerprint"]) for a in ctx.artifacts[u]["artifacts"]]) for u in s.concrete_needs}
-        parts = self._parts(s, access, p["rerun"], roots, {})
+        parts = self._parts(s, access, p["rerun"], snapshot.roots, {})
         elapsed = time.monotonic() - began
         self.store.write({"key": digest(parts), "parts": parts, "access": access, "rerun": p["rerun"], "review": p["review_fingerprint"], "artifacts": artifacts, "elapsed": elapsed, "at": _now()}, "stages", n)
         for kind in ("attempts", "failures"):
             self.store.drop(kind, n)
         self.store.drop_partial(n)
-        return {"stage": n, "status": p["execution"], "ran": True, "elapsed": elapsed}
+        return {"stage": n, "status": p["action"], "reason": p["action_reason"], "ran": True, "elapsed": elapsed}
+
+    def _whole_config(self, n: str, s: Stage, p: dict[str, Any], snapshot: Snapshot) -> dict[str, Any]:
+        """Under reused source that changed, execution starts from the whole config; a batch's
+        checkpoints of the projected key are adopted there, those of the whole key win."""
+        parts = self._parts(s, None, p["rerun"], snapshot.roots, snapshot.inputs)
+        key = digest(parts)
+        if key == p["key"]:
+            return p
+        partial = p["partial"]
+        if s.kind == "batch":
+            partial = partial | self._valid_partial(n, s, key)
+            for i, r in partial.items():
+                self.store.write(r, "partial", n, key, str(i))
+        return p | {"parts": parts, "key": key, "partial": partial}
 
     def _refresh(self, n: str, record: dict[str, Any]) -> None:
         """Same content under other files or stamps: only the listings are renewed."""
@@ -328,13 +407,20 @@ class Engine:
         found = {i: r["artifacts"] for i, r in ctx.done.items()}
         for count, made in enumerate(_drive(s.func(ctx, **dict(s.cell)))):
             if ctx._resumed is None:  # a body that doesn't resume starts over
+                if not count:
+                    warnings.warn(f"batch stage {n} yields without ctx.resume: nothing of it is resumed", stacklevel=2)
                 found = {} if not count else found
             index = count if ctx._resumed is None else ctx._resumed[count]
             folder = self.store.fresh(n)
             found[index] = [_write(self.spark, df, f"{folder}/index={index}/{name}", name) for name, df in self._frames(made, s.base)]
-            self.store.write({"artifacts": found[index], "at": _now()}, "partial", n, key, str(index))
+            self.store.write({"artifacts": found[index], "at": _now(), "total": ctx._total}, "partial", n, key, str(index))
         return [a | {"name": f"{i}/{a['name']}"} for i in sorted(found) for a in found[i]]
 
+    def progress(self) -> DataFrame:
+        """stage, done, total, progress of every batch stage with checkpoints under its current key."""
+        rows = [(p["stage"], i, r.get("total")) for p in self.probe() for i, r in p["partial"].items()]
+        return batch.progress(self.spark.createDataFrame(rows, "stage string, index long, total long"), "stage")
+
     # Reviews and cleaning
 
     def review(self, decision: str, *targets: str) -> dict[str, str]:

@@ -7,6 +7,7 @@ import fcntl
 import hashlib
 import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -73,17 +74,39 @@ class Store:
     def drop(self, kind: str, *names: str) -> None:
         self._path(kind, *names).unlink(missing_ok=True)
 
-    def initialize(self, pipeline: str) -> None:
-        """Claim the root, or check the claim; records of another schema are dropped but for the data."""
+    def manifest(self) -> dict[str, Any] | None:
         path = self.root / "manifest.json"
-        if path.exists():
+        try:
             found = json.loads(path.read_text())
-            if found.get("pipeline") != pipeline:
-                raise ValueError(f"{self.root} belongs to pipeline {found.get('pipeline')!r}")
+        except FileNotFoundError:
+            return None
+        except ValueError as e:
+            raise CorruptStore(f"{path}: {e}") from e
+        if not isinstance(found, dict) or "pipeline" not in found:
+            raise CorruptStore(f"{path}: not a store's manifest")
+        return found
+
+    def initialize(self, pipeline: str, temporary: dict[str, Any] | None = None) -> None:
+        """Claim the root, or check the claim: the pipeline, and of a temporary branch its config and axes.
+
+        Of another schema the data and its records stay (they count as outdated), the rest is dropped.
+        """
+        found = self.manifest()
+        if found is not None:
+            if found["pipeline"] != pipeline:
+                raise ValueError(f"{self.root} belongs to pipeline {found['pipeline']!r}")
+            if temporary is not None and found.get("temporary") != temporary:
+                raise ValueError(f"{self.root} is of another temporary branch")
             if found.get("schema") != SCHEMA:
                 for kind in ("reviews", "failures", "attempts", "partial"):
                     shutil.rmtree(self.root / kind, ignore_errors=True)
-        self.write({"pipeline": pipeline}, "", "manifest")
+        kept = temporary if temporary is not None else (found or {}).get("temporary")
+        self.write({"pipeline": pipeline, "temporary": kept}, "", "manifest")
+
+    def outdated(self, kind: str, *names: str) -> bool:
+        """Whether there is a record, but of another schema."""
+        path = self._path(kind, *names)
+        return path.exists() and json.loads(path.read_text()).get("schema") != SCHEMA
 
     @property
     def known(self) -> bool:
@@ -147,15 +170,18 @@ def input_entries(path: str, cache: dict[str, list[Any]] | None = None) -> list[
     return found
 
 
-def discover(base: str) -> list[dict[str, str]]:
-    """Stores under a folder, by their manifests; below a valid root nothing is looked for."""
+_BRANCH = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
+
+
+def discover(base: str) -> list[dict[str, Any]]:
+    """Stores under a folder, by their manifests in folders named as branches; below a valid root nothing is looked for."""
     found = []
     for folder, below, files in os.walk(base):
         below.sort()
         if "manifest.json" in files:
             with contextlib.suppress(ValueError, OSError):
                 record = json.loads((Path(folder) / "manifest.json").read_text())
-                if isinstance(record, dict) and "pipeline" in record:
-                    found.append({"pipeline": record["pipeline"], "branch": Path(folder).name, "root": folder})
+                if isinstance(record, dict) and isinstance(record.get("pipeline"), str) and _BRANCH.fullmatch(Path(folder).name):
+                    found.append({"pipeline": record["pipeline"], "branch": Path(folder).name, "root": folder, "temporary": record.get("temporary")})
                     below.clear()
     return sorted(found, key=lambda x: (x["pipeline"], x["branch"], x["root"]))

@@ -1,9 +1,10 @@
+import dataclasses
 import json
 
 import pytest
 
 from stageledger import Pipeline, stage
-from stageledger.cli import main
+from stageledger.cli import main, shorten, table
 from stageledger.functions import branches
 from stageledger.functions.config_access import RecordingConfig, merge
 
@@ -65,3 +66,62 @@ def test_config_reads():
     assert c.recorded() is None
     assert merge(["a"], ["b"], True, True) == ["a", "b"]
     assert merge(["a"], None, True, True) is None and merge(["a"], ["b"], True, False) == ["a"] and merge(None, ["b"], True, True) is None
+
+
+@dataclasses.dataclass
+class Deep:
+    rows: int = 1
+
+
+@dataclasses.dataclass
+class SmallArgs:
+    fast: bool = False
+    seed: int | None = 1
+    deep: Deep = dataclasses.field(default_factory=Deep)
+
+
+class WithArgs(Pipeline):
+    Args = SmallArgs
+    seen = []
+
+    @stage()
+    def one(ctx):
+        WithArgs.seen.append(ctx.args)
+        return ctx.spark.range(ctx.args.deep.rows)
+
+
+def test_typed_flags(spark, tmp_path, capsys):
+    out, name = ["--out", str(tmp_path)], f"{__name__}:WithArgs"
+    assert main([name, "run", *out, "--fast", "--seed", "null", "--deep.rows", "3"], spark) == 0
+    assert WithArgs.seen == [SmallArgs(True, None, Deep(3))]
+    assert main([name, "run", *out, "--force", "--no-fast", "--args", '{"seed": 7}'], spark) == 0
+    assert WithArgs.seen[1:] == [SmallArgs(False, 7)]
+    assert main([name, "run", *out, "--force", "--args", '{"sed": 7}'], spark) == 1
+    with pytest.raises(SystemExit):
+        main([name, "run", *out, "--deep.rows", "x"], spark)
+
+
+def test_many_stores(spark, tmp_path, capsys):
+    out = ["--out", str(tmp_path)]
+    assert main([f"{__name__}:Small", "run", *out], spark) == 0
+    assert main([f"{__name__}:Small", "run", "--config", '{"n": 5}', *out], spark) == 0
+    capsys.readouterr()
+    assert main(["stores", str(tmp_path), "status"], spark) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == 1
+    assert main(["stores", str(tmp_path), "status", "--include-temp"], spark) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == 2
+    assert main([f"{__name__}:Small", "clean", "two", *out], spark) == 0
+    assert main(["stores", str(tmp_path), "status", "--include-temp"], spark) == 1
+    assert main(["stores", str(tmp_path), "reuse", "--status", "needs-run"], spark) == 0
+    assert "unchanged=2" in capsys.readouterr().out
+    assert main(["stores", str(tmp_path), "run", "--include-temp"], spark) == 0
+    assert main(["stores", str(tmp_path), "status", "--include-temp"], spark) == 0
+    assert main(["stores", str(tmp_path), "status", "--module-prefix", "nothing"], spark) == 0
+    assert main(["stores", str(tmp_path), "dance"], spark) == 1
+
+
+def test_rendering():
+    assert shorten("short") == "short"
+    assert shorten("a_name_with_many-parts_of_some_length", 12) == "a_name_with_\nmany-parts_\nof_some_\nlength"
+    assert shorten("x" * 40, 11) == "xxxxx…xxxxx"
+    assert table([("a\nb", "1"), ("ccc", "22")]) == "a    1\nb\nccc  22"

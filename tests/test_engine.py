@@ -1,3 +1,9 @@
+import dataclasses
+import enum
+import json
+from collections import Counter
+from typing import Literal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +232,162 @@ def test_digest_on_the_way_equals_the_stored_one(spark, tmp_path):
     for i, df in enumerate(frames):
         made = _write(spark, df, str(tmp_path / str(i)), "x")
         assert made["fingerprint"] == fingerprint(spark.read.parquet(made["path"]))
+
+
+def test_a_run_reads_each_record_once(spark, tmp_path, monkeypatch):
+    from stageledger.plans import engine as module
+
+    e = Engine(spark, Chain, str(tmp_path / "out"), {"n": 10, "title": "x"})
+    e.run()
+    reads, probes, prints, read, probe, current = Counter(), [], Counter(), Store.read, Engine.probe, module._current
+    monkeypatch.setattr(Store, "read", lambda self, kind, *names: reads.update([(kind, names)]) or read(self, kind, *names))
+    monkeypatch.setattr(Engine, "probe", lambda self, *a, **k: probes.append(a) or probe(self, *a, **k))
+    monkeypatch.setattr(module, "_current", lambda spark, a, rehash: prints.update([a["path"]]) or current(spark, a, rehash))
+    assert [o["ran"] for o in e.run()] == [False] * 3
+    assert len(probes) == 1 and all(reads["stages", (n,)] == 1 for n in ("numbers", "small", "report")) and set(prints.values()) == {1}
+    probes.clear()
+    e.config = {"n": 20, "title": "x"}
+    assert [o["ran"] for o in e.run()] == [True, True, False]
+    assert len(probes) == 3  # only stages below one that ran are decided again
+
+
+def test_reasons_of_an_execution(spark, tmp_path):
+    e = Engine(spark, Batches, str(tmp_path / "out"))
+    Batches.fail_at = 2
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            e.run()
+    assert e.probe()[0]["action_reason"] == "resume-after-failure"
+    assert [(r.done, r.total, r.progress) for r in e.progress().collect()] == [(2, 4, "2/4")]
+    Batches.fail_at = 0
+    e.store.drop_partial("parts")
+    with pytest.raises(RuntimeError):
+        e.run()
+    Batches.fail_at = None
+    assert [(o["status"], o["reason"]) for o in e.run()] == [("needs-run", "retry-failed"), ("needs-run", "no-cache")]
+    assert [o["reason"] for o in e.run(force=True)] == ["forced", "forced"]
+
+
+class Takes(Pipeline):
+    depends = Dependencies(review_sources=("HELPER",))
+    fail_at = None
+
+    @batch_stage()
+    def parts(ctx):
+        for i in ctx.resume(range(3)):
+            if i == Takes.fail_at:
+                raise RuntimeError("stop")
+            yield ctx.spark.range(ctx.config["n"] + i)
+
+
+def test_checkpoints_of_a_reused_source_are_adopted(spark, tmp_path, monkeypatch):
+    helper = tmp_path / "helper.py"
+    helper.write_text("x = 1\n")
+    monkeypatch.setattr(Takes, "depends", Dependencies(review_sources=(str(helper),)))
+    root = str(tmp_path / "out")
+    Engine(spark, Takes, root, {"n": 1, "other": 1}).run()
+    e = Engine(spark, Takes, root, {"n": 2, "other": 1})
+    Takes.fail_at = 2
+    with pytest.raises(RuntimeError):
+        e.run()  # two checkpoints under the key of the fields that were read
+    projected = e.probe()[0]
+    assert sorted(projected["partial"]) == [0, 1] and projected["parts"]["config"] == {"n": 2}
+    helper.write_text("x = 2\n")
+    assert e.probe()[0]["status"] == "needs-review"
+    e.review("reuse")
+    made, Takes.fail_at = [], None
+    monkeypatch.setattr(Store, "fresh", lambda self, n, fresh=Store.fresh: made.append(n) or fresh(self, n))
+    assert [o["ran"] for o in e.run()] == [True]
+    record = e.store.read("stages", "parts")
+    assert len(made) == 1 and len(record["artifacts"]) == 3 and [spark.read.parquet(a["path"]).count() for a in record["artifacts"]] == [2, 3, 4]
+
+
+def test_unreadable_artifacts_are_not_the_stages_failure(spark, tmp_path, monkeypatch):
+    from stageledger.plans import engine as module
+
+    e = Engine(spark, Chain, str(tmp_path / "out"), {"n": 10, "title": "x"})
+    monkeypatch.setattr(module, "listing", lambda path: 1 / 0)
+    with pytest.raises(module.Unfingerprinted):
+        e.run()
+    monkeypatch.undo()
+    assert e.store.read("failures", "numbers") is None and e.probe()[0]["reason"] == "interrupted"
+
+
+def test_another_schema_is_a_migration(spark, tmp_path):
+    e = Engine(spark, Chain, str(tmp_path / "out"), {"n": 10, "title": "x"})
+    e.run()
+    for path in [e.store.root / "manifest.json", *(e.store.root / "stages").glob("*.json")]:
+        path.write_text(json.dumps(json.loads(path.read_text()) | {"schema": 0}))
+    e.store.write({"review": "x", "decision": "reuse"}, "reviews", "small")
+    assert {p["reason"] for p in e.probe()} == {"schema-migration"}
+    assert [o["ran"] for o in e.run()] == [True] * 3
+    assert e.store.read("reviews", "small") is None and statuses(e) == ["hit"] * 3
+
+
+def test_a_temporary_root_is_claimed_for_its_config(spark, tmp_path):
+    claim = {"config": {"n": 1}, "axes": {}}
+    s = Store(str(tmp_path / "t"))
+    s.initialize("p", claim)
+    s.initialize("p", claim)
+    s.initialize("p")
+    assert s.manifest()["temporary"] == claim
+    with pytest.raises(ValueError, match="temporary"):
+        s.initialize("p", {"config": {"n": 2}, "axes": {}})
+
+
+class Size(enum.Enum):
+    small = "s"
+    large = "l"
+
+
+@dataclasses.dataclass
+class Inner:
+    depth: int = 1
+
+
+@dataclasses.dataclass
+class Typed:
+    rate: float
+    size: Size = Size.small
+    mode: Literal["fast", "slow"] = "fast"
+    names: list[str] = dataclasses.field(default_factory=list)
+    inner: Inner = dataclasses.field(default_factory=Inner)
+    limit: int | None = None
+
+
+def test_typed_configs(spark, tmp_path):
+    from stageledger.functions.typed import build
+
+    assert build(Typed, {"rate": 1, "size": "l", "inner": {"depth": 3}, "limit": None}) == Typed(1.0, Size.large, inner=Inner(3))
+    for bad, match in [({}, "missing field rate"), ({"rate": 1, "more": 2}, "unknown field more"), ({"rate": "x"}, "rate: not float"), ({"rate": 1, "inner": {"depth": True}}, "inner.depth"), ({"rate": 1, "size": "m"}, "size"), ({"rate": 1, "mode": "x"}, "mode"), ({"rate": 1, "names": "x"}, "names: not a list")]:
+        with pytest.raises(ValueError, match=match):
+            build(Typed, bad)
+
+    class Uses(Pipeline):
+        Config = Typed
+
+        @stage()
+        def one(ctx):
+            return ctx.spark.range(ctx.config.inner.depth)
+
+    e = Engine(spark, Uses, str(tmp_path / "out"), {"rate": 2, "inner": {"depth": 4}})
+    e.run()
+    assert e.store.read("stages", "one")["access"] == ["inner"]
+    assert statuses(Engine(spark, Uses, str(tmp_path / "out"), {"rate": 3, "inner": {"depth": 4}})) == ["hit"]
+
+
+def test_signatures_of_cells():
+    class Bad(Pipeline):
+        @matrix(BENCH)
+        @stage()
+        def one(ctx, model):
+            return None
+
+    class Plain(Pipeline):
+        @stage()
+        def one(ctx, extra):
+            return None
+
+    for pipeline in (Bad, Plain):
+        with pytest.raises(TypeError, match="exactly its axes"):
+            Graph(pipeline)

@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from stageledger.operators import batch, decide, graph, keys, rollup
@@ -70,3 +71,25 @@ def test_current_partial_records_win(spark):
     one = spark.createDataFrame([("s", 0, "mine")], "stage string, index int, origin string")
     two = spark.createDataFrame([("s", 0, "theirs"), ("s", 1, "theirs")], "stage string, index int, origin string")
     assert {(r.i, r.origin) for r in map(lambda x: x, batch.adopt(one, two, ["stage", "index"]).selectExpr("index as i", "origin").collect())} == {(0, "mine"), (1, "theirs")}
+
+
+def test_paths_that_meet_again(spark):
+    layers = [(f"{i}.{a}", f"{i - 1}.{b}") for i in range(1, 11) for a in range(4) for b in range(4)]  # 4 ** 10 paths
+    edges = spark.createDataFrame([*layers, *[(f"c{i}", f"c{i - 1}") for i in range(1, 21)]], "stage string, need string")
+    top = dict(map(tuple, graph.levels(edges).collect()))
+    assert len(top) == 44 + 21 and top["c20"] == 20 and all(top[f"{i}.{a}"] == i for i in range(11) for a in range(4))
+    up = {r.stage for r in graph.closure(edges, spark.createDataFrame([("10.2",)], "stage string")).collect()}
+    assert up == {"10.2", *(f"{i}.{a}" for i in range(10) for a in range(4))}
+
+
+def test_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(1, 201)], "stage string, need string")
+    seeds = spark.createDataFrame([("c150",)], "stage string")
+    assert {r.stage for r in graph.closure(edges, seeds).collect()} == {f"c{i}" for i in range(151)}
+
+
+def test_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "x"), ("x", "e")], "stage string, need string")
+    assert {r.stage for r in graph.closure(edges, spark.createDataFrame([("a",)], "stage string")).collect()} == {"a", "b", "c"}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.levels(spark.createDataFrame([("a", "root"), ("a", "b"), ("b", "a")], "stage string, need string"))
