@@ -169,7 +169,7 @@ def _(s, d):
 
 @query("upstream_fallback", sql("man") + "select o.path, coalesce(n.content_hash, o.content_hash) as fingerprint, n.path is null as recorded from man_old o left join man_new n using (path)")
 def _(s, d):
-    old, new = R.snapshot(s, d, False), R.snapshot(s, d, True).select("path", F.col("content_hash").alias("current"))
+    old, new = R.snapshot(s, d, False, False), R.snapshot(s, d, True, False).select("path", F.col("content_hash").alias("current"))
     return old.join(new, "path", "left").select("path", F.coalesce("current", "content_hash").alias("fingerprint"), F.col("current").isNull().alias("recorded"))
 
 
@@ -198,18 +198,18 @@ def _(s, d):
     return R.read(s, d, "documents").select("doc_id", keys.sha256(F.col("text")).alias("content_hash"))
 
 
-@query("input_manifest", sql("man") + "select distinct name, path, kind, content_hash from (select name, path, kind, content_hash from man_old union all select name, path, kind, content_hash from man_old where path % 2 = 0)")
+@query("input_manifest", sql("whole") + "select distinct name, path, kind, content_hash from (select name, path, kind, content_hash from whole_old union all select name, path, kind, content_hash from whole_old where path % 2 = 0)")
 def _(s, d):
     old = R.snapshot(s, d, False)
     return keys.manifest(old.unionByName(old.where("path % 2 = 0")))
 
 
-@query("file_digest_view", sql("man") + "select name, 'sha256:' || sha256(string_agg(path || '|' || kind || '|' || content_hash, chr(10) order by path)) as fingerprint, count(*) as members from man_old group by name")
+@query("file_digest_view", sql("whole") + "select name, 'sha256:' || sha256(string_agg(path || '|' || kind || '|' || content_hash, chr(10) order by path)) as fingerprint, count(*) as members from whole_old group by name")
 def _(s, d):
     return keys.digest_view(R.snapshot(s, d, False))
 
 
-@query("artifact_tree_hash", sql("man") + "select name, 'sha256:' || sha256(string_agg(path || ':' || content_hash, chr(10) order by path)) as fingerprint, count(*) as members from man_new group by name")
+@query("artifact_tree_hash", sql("whole") + "select name, 'sha256:' || sha256(string_agg(path || ':' || content_hash, chr(10) order by path)) as fingerprint, count(*) as members from whole_new group by name")
 def _(s, d):
     return keys.ordered_hash(R.snapshot(s, d, True), ["name"], ["path"], F.concat_ws(":", F.col("path").cast("string"), "content_hash"))
 
@@ -221,17 +221,17 @@ def _(s, d):
 
 @query("component_diff", sql("man") + "select coalesce(o.name, n.name) as name, coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' else 'changed' end as change from man_old o full join man_new n on o.name = n.name and o.path = n.path where o.path is null or n.path is null or o.content_hash is distinct from n.content_hash")
 def _(s, d):
-    return keys.component_diff(R.snapshot(s, d, False), R.snapshot(s, d, True), ["name", "path"], "content_hash")
+    return keys.component_diff(R.snapshot(s, d, False, False), R.snapshot(s, d, True, False), ["name", "path"], "content_hash")
 
 
 @query("stat_shortcut", sql("man") + "select n.path, case when o.path is null then 'new' when o.stamp = n.stamp and o.size = n.size then 'cached' else 'rehash' end as action, case when o.stamp = n.stamp and o.size = n.size then o.content_hash end as reused from man_new n left join man_old o using (path)")
 def _(s, d):
-    return keys.stat_shortcut(R.snapshot(s, d, True), R.snapshot(s, d, False))
+    return keys.stat_shortcut(R.snapshot(s, d, True, False), R.snapshot(s, d, False, False))
 
 
 @query("policy_precedence", sql("man") + "select path, content_hash from man_new where path not in (select path from man_old)")
 def _(s, d):
-    return keys.without_rerun(R.snapshot(s, d, True), R.snapshot(s, d, False), "path").select("path", "content_hash")
+    return keys.without_rerun(R.snapshot(s, d, True, False), R.snapshot(s, d, False, False), "path").select("path", "content_hash")
 
 
 def _config(s: SparkSession, d: str) -> DataFrame:
@@ -315,7 +315,7 @@ def _(s, d):
 @query("invalidation_reason", sql("man") + ", sides as (select coalesce(o.name, n.name) as stage, case coalesce(o.path, n.path) % 5 when 0 then 'source' when 1 then 'config' when 2 then 'value' when 3 then 'input' else 'upstream' end as kind, coalesce(o.path, n.path) as name, o.stamp as o, n.stamp as n from man_old o full join man_new n on o.path = n.path), d as (select *, row_number() over (partition by stage order by list_position(['source', 'config', 'value', 'input', 'upstream'], kind), name::varchar) r from sides where o is distinct from n) select stage, kind || ': ' || name || ' ' || coalesce(o::varchar, 'absent') || ' -> ' || coalesce(n::varchar, 'absent') as reason from d where r = 1")
 def _(s, d):
     kind = F.element_at(F.array(*[F.lit(x) for x in decide.PRIORITY]), (F.col("path") % 5).cast("int") + 1)
-    side = lambda new: R.snapshot(s, d, new).select(F.col("name").alias("stage"), kind.alias("kind"), F.col("path").cast("string").alias("name"), F.col("stamp").cast("string").alias("value"))
+    side = lambda new: R.snapshot(s, d, new, False).select(F.col("name").alias("stage"), kind.alias("kind"), F.col("path").cast("string").alias("name"), F.col("stamp").cast("string").alias("value"))
     return decide.first_difference(side(False), side(True))
 
 

@@ -33,12 +33,16 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshot(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
-    """Two manifests of documents: name, path, kind, size, stamp, version, text, content_hash."""
+def snapshot(spark: SparkSession, sf_dir: str, new: bool, whole: bool = True) -> DataFrame:
+    """Two manifests of documents: name, path, kind, size, stamp, version, content_hash.
+
+    Not ``whole``, each lacks some documents that the other has: for comparisons of the two.
+    """
     d = read(spark, sf_dir, "documents")
     touched = F.lit(new) & (F.col("doc_id") % 11 == 0)
     text = F.when(touched, F.concat("text", F.lit("#"))).otherwise(F.col("text"))
-    return d.where(F.col("doc_id") % (5 if new else 7) != 0).select(
+    d = d if whole else d.where(F.col("doc_id") % (5 if new else 7) != 0)
+    return d.select(
         F.col("source").alias("name"),
         F.col("doc_id").alias("path"),
         F.lit("file").alias("kind"),
@@ -89,7 +93,9 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", *[bit(i).alias(n) for i, n in enumerate(names)], F.concat(F.lit("config: f"), (F.col("doc_id") % 3).cast("string")).alias("reason"))
 
 
-_SNAPSHOT = "select source as name, doc_id as path, 'file' as kind, n_chars as size, n_chars + {stamp} as stamp, sha256({text}) as content_hash from documents where doc_id % {m} <> 0"
+_SNAPSHOT = "select source as name, doc_id as path, 'file' as kind, n_chars as size, n_chars + {stamp} as stamp, sha256({text}) as content_hash from documents"
+_OLD = _SNAPSHOT.format(stamp="0", text="text")
+_NEW = _SNAPSHOT.format(stamp="case when doc_id % 11 = 0 then 1 else 0 end", text="case when doc_id % 11 = 0 then text || '#' else text end")
 
 SQL = {
     "runs": """runs as (select user_id, cast(ts as date) as day, ts, event_id, case when event_id % 5 <> 0 then value end as duration,
@@ -99,7 +105,8 @@ SQL = {
     leveled as (select *, case status when 'hit' then 0 when 'needs-run' then 1 when 'resume' then 2 when 'failed' then 3 when 'error' then 4 end as sev from runs),
     gated as (select user_id, day, case when bool_or(status = 'needs-review') then 'needs-review' else
       coalesce((['hit', 'needs-run', 'resume', 'failed', 'error'])[max(sev) + 1], 'hit') end as status from leveled group by all)""",
-    "man": "man_old as (" + _SNAPSHOT.format(stamp="0", text="text", m=7) + "), man_new as (" + _SNAPSHOT.format(stamp="case when doc_id % 11 = 0 then 1 else 0 end", text="case when doc_id % 11 = 0 then text || '#' else text end", m=5) + ")",
+    "whole": f"whole_old as ({_OLD}), whole_new as ({_NEW})",
+    "man": f"man_old as ({_OLD} where doc_id % 7 <> 0), man_new as ({_NEW} where doc_id % 5 <> 0)",
     "axes": """lang as (select lang as id, row_number() over (order by lang) - 1 as ord from (select distinct lang from documents where lang is not null)),
     source as (select source as id, row_number() over (order by source) - 1 as ord from (select distinct source from documents where source is not null)),
     cells as (select l.id as lang, s.id as source, 'score@lang=' || l.id || ',source=' || s.id as cell, 'matrix/score/lang=' || l.id || '/source=' || s.id as path,
