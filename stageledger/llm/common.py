@@ -1,17 +1,20 @@
-"""Shared plumbing: tables, the shared folder, code shipping, partition counts."""
+"""Shared plumbing: tables, code shipping, partition counts."""
 
 from __future__ import annotations
 
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, fresh_path, materialize, shared_dir
+
+__all__ = ["discard", "fresh_path", "materialize", "shared_dir"]
+
 #: The white space that separates words in every contract of this package.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -20,44 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and kept in the session's own settings.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("stageledger.shared.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="stageledger-")
-        spark.conf.set("stageledger.shared.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/stageledger/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stageledger_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`materialize` once nothing reads it."""
-    path = getattr(df, "_stageledger_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context."""
     sc = spark.sparkContext
@@ -75,6 +40,14 @@ def ship(spark: SparkSession) -> None:
     sc._stageledger_shipped = True
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,14 +6,14 @@ joint size. Sets are put into size bands; a band's instance holds its own sets a
 the smaller ones that can still link with them, so two linked sets meet in the
 instance of the larger one, where their distance is at most some k.
 
-* k = 0: the whole set is the signature.
-* k <= SUBSETS_UP_TO: the domain is hashed into k + 2 partitions, and every pair of
-  partitions is a signature: at most k are touched by a difference, so two aren't.
-* larger k: the domain is hashed into P > k partitions, each a signature. A set of r
-  elements differs from any partner in h(r) partitions at most, so it may drop the
-  partitions with c elements or fewer as long as more than h(r) remain. Of two
-  linked sets the one with the larger c is sure to share a partition with more than
-  c elements with the other, which keeps that one too. Weak signatures go, no link.
+The scheme has two levels at every k. The domain is hashed into k // 2 + 1 groups, so
+that one group at least has at most one of the k differences, and each group into
+three partitions; the three pairs of a group's partitions are signatures, and one
+difference leaves one pair untouched. A set that differs from any partner in h
+elements at most keeps only the ``touched`` + 1 pairs with the most elements (ties by
+their place): so many that one is untouched. Of two linked sets, such a pair is kept
+by the one whose least kept pair is the larger, and as it is the same in both, the
+other keeps it too. Weak signatures go, no link does.
 
 Equal sets are one vertex. Signatures with two vertices or more are buckets; all
 members are verified against the bucket's least vertex, the links are closed to
@@ -21,6 +21,10 @@ components, and only then are members of one bucket that are still in different
 components paired and verified. Links between different sets that are already
 connected need no check, so thousands of near copies cost a star each, not a square.
 
+What is known of a bucket, a vertex or a hub is an aggregate with map-side sums,
+written and joined back, never a window: a signature or a text that a third of all
+rows share is a skewed join key, which AQE splits.
+
 Defined cases: null, empty and wordless texts have no shingles and stand alone; rows
 of one doc_id count as one document with several texts; a null doc_id takes part
 through its text, and alone has a null component; other columns are not read.
@@ -28,13 +32,13 @@ through its text, and alone has a null component; other columns are not read.
 
 from __future__ import annotations
 
-import gc
+import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, ship, table
@@ -42,8 +46,11 @@ from .common import discard, materialize, ship, table
 SHINGLE = 4
 #: Link when NUMERATOR * union <= DENOMINATOR * intersection.
 THRESHOLD = (17, 20)
-SUBSETS_UP_TO = 6
+#: A band's largest size is so many times its least; few sets are then in two instances.
+BAND = 2
 SLICE_BYTES = 1 << 20
+#: Slices of the signatures' domain, shuffled one after the other: what a slice shuffles is gone before the next one's.
+SLICES = 2
 #: Rounds of stars about other centres before the members still apart are paired.
 STAR_ROUNDS = 1
 #: Larger buckets aren't paired row by row: their vertices meet in blocks.
@@ -54,7 +61,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 400, 400_000
 _U = np.uint64
 _WORD, _WORD_INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _PLACE = [_U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
-_POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,12 +71,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    while len(_POWERS[0]) < n:
-        m = len(_POWERS[0])
-        for i, base in enumerate((_WORD, _WORD_INVERSE)):
-            _POWERS[i] = np.concatenate((_POWERS[i], _POWERS[i] * _U(pow(base, m, 1 << 64))))
-    return _POWERS[0][:n], _POWERS[1][:n]
+    found = []
+    for base in (_WORD, _WORD_INVERSE):
+        powers = np.full(n, base, dtype=_U)
+        powers[0] = 1
+        found.append(np.cumprod(powers, dtype=_U))
+    return found[0], found[1]
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -87,16 +96,39 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.nd
         yield from _slice_sets(pending, size)
 
 
+def _segments(data: bytes) -> Iterator[bytes]:
+    """A long run of bytes cut before white space, about every SLICE_BYTES."""
+    at = 0
+    while len(data) - at > SLICE_BYTES:
+        found = _SPACES.search(data, at + SLICE_BYTES)
+        if not found:
+            break
+        yield data[at : found.start()]
+        at = found.start()
+    yield data[at:]
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word; the temporary arrays are those of one segment."""
+    words, starts, base = [], [], 0
+    for part in _segments(data):
+        codes = np.frombuffer(part + b"\n", dtype=np.uint8)
+        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
+        start, stop = edge[::2], edge[1::2]
+        low = codes + ((codes >= 65) & (codes <= 90)).astype(np.uint8) * np.uint8(32)
+        # Powers are kept for segments of the usual size only.
+        up, down = (_powers if len(codes) <= 2 * SLICE_BYTES else _powers.__wrapped__)(max(len(codes) + 1, 2 * SLICE_BYTES))
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(low.astype(_U) * up[: len(codes)], dtype=_U)))
+        words.append(_mix((sums[stop] - sums[start]) * down[start]))
+        starts.append(start + base)
+        base += len(part)
+    return np.concatenate(words), np.concatenate(starts)
+
+
 def _slice_sets(rows: list[bytes], size: int) -> Iterator[np.ndarray]:
-    data = np.frombuffer(b"\n".join(rows) + b"\n", dtype=np.uint8)
     ends = np.cumsum([len(r) + 1 for r in rows])
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
-    start, stop = edge[::2], edge[1::2]
-    low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(low.astype(_U) * up[: len(data)], dtype=_U)))
-    words = _mix((sums[stop] - sums[start]) * down[start])
+    words, start = _word_hashes(b"\n".join(rows))
     n = len(words)
     if n >= size:
         grams = words[: n - size + 1] * _PLACE[0]
@@ -132,35 +164,37 @@ def instances(n: int, threshold: tuple[int, int]) -> tuple[tuple[int, int, int],
     num, den = threshold
     found, i, low = [], 0, 1
     while num * low <= den * n:
-        high = max(low, low * 3 // 2)
+        high = BAND * low
         if n <= high:
             found.append((i, farthest(2 * high, threshold), farthest(n + min(high, den * n // num), threshold)))
         i, low = i + 1, high + 1
     return tuple(found)
 
 
+def touched(differences: int, groups: int) -> int:
+    """Pairs that so many differences touch at most: two pairs each alone in a group, one more as a group's second."""
+    return min(2 * differences, differences + groups)
+
+
 def signatures(grams: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """All PartEnum signatures of one set, as unsigned 64-bit hashes."""
+    """All PartEnum signatures of one set, as unsigned 64-bit hashes; none where only equal sets link."""
     out = []
     spread = _mix(grams * _PLACE[6])
     for instance, k, own in instances(len(grams), threshold):
-        salt = _U((instance + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
-        if k == 0:
-            out.append(_mix(spread.sum(dtype=_U, keepdims=True) ^ salt))
+        if not own:
             continue
-        parts = k + 2 if k <= SUBSETS_UP_TO else k + 1 + k // 5
-        at = ((_mix(grams ^ salt) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-        sums = np.zeros(parts, dtype=_U)
+        salt = _U((instance + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        groups = k // 2 + 1
+        at = ((_mix(grams ^ salt) >> _U(32)) * _U(3 * groups) >> _U(32)).astype(np.int64)
+        sums = np.zeros(3 * groups, dtype=_U)
         np.add.at(sums, at, spread)
-        number = np.arange(parts, dtype=_U)
-        if k <= SUBSETS_UP_TO:
-            i, j = np.triu_indices(parts, 1)
-            out.append(_mix(_mix(sums[i] ^ salt) + sums[j] * _PLACE[4] + number[i] * _U(1024) + number[j]))
-            continue
-        counts = np.bincount(at, minlength=parts)
-        least = np.sort(counts)[::-1][own] if own < parts else 0  # more than ``own`` have this many
-        keep = counts >= least
-        out.append(_mix(_mix(sums[keep] ^ salt) + number[keep] * _PLACE[4]))
+        sums, counts = sums.reshape(groups, 3), np.bincount(at, minlength=3 * groups).reshape(groups, 3)
+        i, j = [0, 0, 1], [1, 2, 2]
+        number = np.arange(3 * groups, dtype=_U).reshape(groups, 3)
+        pairs = _mix(_mix(sums[:, i] ^ salt) + sums[:, j] * _PLACE[4] + number).ravel()
+        order = (counts[:, i] + counts[:, j]).ravel() * len(pairs) + np.arange(len(pairs))
+        keep = touched(own, groups) + 1
+        out.append(pairs[np.argpartition(order, -keep)[-keep:]] if keep < len(pairs) else pairs)
     return np.unique(np.concatenate(out)) if out else np.empty(0, _U)
 
 
@@ -214,21 +248,23 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, threshold: t
 def components(links: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``links`` (a, b) but the roots: the least vertex of its component.
 
-    Large-star and small-star rounds; each is a written table, until every vertex
-    has one link, to a vertex that has none. ``links`` must be a written table; it
-    is kept.
+    Large-star and small-star rounds, until every vertex has one link, to a vertex
+    that has none. Each step is a written table, so that a hub is a skewed join key,
+    which AQE splits. ``links`` must be a written table; it is kept.
     """
     edges = links
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        rising = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        both = rising.unionByName(rising.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = rising.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
         # Each vertex now has only lesser neighbours.
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e"))
         small = materialize(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), "small-star")
-        discard(large)
+        for x in (least, large, down):
+            discard(x)
         if edges is not links:
             discard(edges)
         edges = small
@@ -237,12 +273,6 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are gone."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def text_key(text: str = "text") -> Column:
     """What a row's text is known by where its doc_id doesn't tell rows apart."""
     return F.xxhash64(text)
@@ -258,51 +288,56 @@ def labelled(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     row is its component's first, by least doc_id, null ids last, and by text; rows without shingles are."""
     spark = docs.sparkSession
     ship(spark)
-    _free(spark)  # what earlier steps shuffled
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), "text")
-    rows = materialize(docs.mapInArrow(_set_rows(size, threshold), "doc_id long, t long, n_shingles long, v long, sigs array<long>"), "sets")
-    members = rows.where("v is not null")
+    signed = materialize(docs.mapInArrow(_set_rows(size, threshold), "doc_id long, t long, n_shingles long, v long, sigs array<long>"), "signed")
     # Equal sets meet first, one row for each vertex; then signatures.
-    signed = members.select("v", "sigs").dropDuplicates(["v"]).select(F.explode("sigs").alias("sig"), "v")
-    per = Window.partitionBy("sig")
-    buckets = signed.select("sig", "v", F.min("v").over(per).alias("least"), F.max("v").over(per).alias("most")).where("least < most")
-    buckets = materialize(buckets.select("sig", "v", "least"), "buckets")
-    stars = materialize(buckets.where("v > least").select(F.col("least").alias("a"), F.col("v").alias("b")).distinct(), "stars")
-    _free(spark)
-    # One text for each vertex in a bucket.
-    wanted = buckets.select("v").distinct()
-    holders = members.join(wanted, "v").groupBy("v").agg(_first()).select("v", "first.doc_id", "first.t")
+    vertices = materialize(signed.where("v is not null").select("v", "sigs").dropDuplicates(["v"]), "vertices")
+    rows = materialize(signed.drop("sigs"), "sets")
+    discard(signed)
+    members = rows.where("v is not null")
+    slices = [_buckets(vertices, k) for k in range(SLICES)]
+    discard(vertices)
+    buckets = reduce(DataFrame.unionByName, slices)
+    centres = materialize(buckets.groupBy("sig").agg(F.min("v").alias("a")), "centres")
+    stars = materialize(buckets.join(centres, "sig").where("v > a").select("a", F.col("v").alias("b")).distinct(), "stars")
+    discard(centres)
+    # One text, and the size, of each vertex in a bucket.
+    once = members.groupBy("v").agg(_first(), F.first("n_shingles").alias("n"))
+    holders = materialize(once.join(buckets.select("v").distinct(), "v", "left_semi").select("v", "first.doc_id", "first.t", "n"), "holders")
     texts = materialize(_texts(docs, holders, size), "texts", compression="zstd")
     links = materialize(verify(stars, texts, size, threshold), "links")
     roots = components(links)
     label = lambda frame: frame.join(roots.withColumnRenamed("v", "_v"), frame["v"] == F.col("_v"), "left").withColumn("root", F.coalesce("root", "v")).drop("_v")
     num, den = threshold
-    sizes = members.groupBy("v").agg(F.first("n_shingles").alias("n"))
-    apart = materialize(buckets.select("sig", "v").join(sizes, "v"), "apart")
+    apart = materialize(buckets.select("sig", "v").join(holders.select("v", "n"), "v"), "apart")
     done = stars
     for turn in range(STAR_ROUNDS + 1):
         # Members of one bucket that are still in different components.
-        split = label(apart).select("sig", "v", "n", "root", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo < hi").drop("lo", "hi")
-        split = materialize(split, "apart")
-        discard(apart)
+        rooted = materialize(label(apart), "rooted")
+        centre = F.min(F.struct(F.xxhash64("v", F.lit(turn)), F.col("v").alias("yv"), F.col("n").alias("yn"), F.col("root").alias("yr")))
+        found = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), centre.alias("hub"))
+        mixed = materialize(found.where("lo < hi").select("sig", "size", "hub"), "mixed")
+        split = materialize(rooted.join(mixed, "sig").select("sig", "v", "n", "root", "size", "hub"), "apart")
+        for x in (apart, rooted, mixed):
+            discard(x)
         apart = split.select("sig", "v", "n")
         apart._stageledger_path = split._stageledger_path
         if turn < STAR_ROUNDS:  # against another centre each time
-            hub = F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n", "root")).over(per)
-            pairs = split.withColumn("hub", hub).select(F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("hub.v").alias("yv"), F.col("hub.n").alias("yn"), F.col("hub.root").alias("yr"))
+            pairs = split.select(F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("root").alias("xr"), "hub.yv", "hub.yn", "hub.yr")
         else:  # all that is left: small buckets as pairs, large ones in blocks
-            sized = materialize(split.withColumn("size", F.count("*").over(per)), "apart")
+            sized = split
             few = sized.where(F.col("size") <= SMALL_BUCKET)
             other = few.select("sig", F.col("v").alias("yv"), F.col("n").alias("yn"), F.col("root").alias("yr"))
             pairs = few.select("sig", F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("root").alias("xr")).join(other, "sig").where("xv < yv")
-            blocked = _blocked_links(sized.where(F.col("size") > SMALL_BUCKET), texts, size, threshold)
+            large = sized.where(F.col("size") > SMALL_BUCKET)
+            blocked = None if large.isEmpty() else _blocked_links(large, texts, size, threshold)
         near = (F.col("xn") * num <= F.col("yn") * den) & (F.col("yn") * num <= F.col("xn") * den)
         pairs = pairs.where((F.col("xr") != F.col("yr")) & near).select(F.least("xv", "yv").alias("a"), F.greatest("xv", "yv").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         found = verify(pairs, texts, size, threshold)
-        found = materialize(found.unionByName(blocked) if turn == STAR_ROUNDS else found, "links")
+        found = materialize(found.unionByName(blocked) if turn == STAR_ROUNDS and blocked is not None else found, "links")
         done = done.unionByName(pairs)
-        if turn == STAR_ROUNDS or not found.isEmpty():
+        if not found.isEmpty():
             # What is connected already counts as stars.
             links = materialize(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(found), "links")
             roots = components(links)
@@ -312,9 +347,18 @@ def labelled(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     first = F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("_t"))
     out = rooted.join(least, "root", "left").select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first"))
     out = materialize(out, "components")
-    for x in (rows, buckets, stars, texts, links, apart, sized, rooted, least):
+    for x in (rows, *slices, stars, holders, texts, links, apart, rooted, least):
         discard(x)
-    _free(spark)
+    return out
+
+
+def _buckets(vertices: DataFrame, k: int) -> DataFrame:
+    """(sig, v) of the signatures in the k-th slice that two vertices or more have."""
+    signed = vertices.select(F.explode("sigs").alias("sig"), "v").where(F.pmod("sig", F.lit(SLICES)) == k)
+    shared = materialize(signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "shared")
+    # Not broadcast unless Spark finds it small; else built in parts, a part for each partition of the join.
+    out = materialize(signed.join(shared.hint("shuffle_hash"), "sig").select("sig", "v"), "buckets")
+    discard(shared)
     return out
 
 
@@ -324,8 +368,9 @@ def _blocked_links(rows: DataFrame, texts: DataFrame, size: int, threshold: tupl
     Vertices that large buckets connect form a cluster. Its members of the commonest
     root are never held against each other, only against the rest, block by block.
     """
-    per = Window.partitionBy("sig")
-    edges = materialize(rows.select(F.min("v").over(per).alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "cluster-edges")
+    first = materialize(rows.groupBy("sig").agg(F.min("v").alias("a")), "centres")
+    edges = materialize(rows.join(first, "sig").select("a", F.col("v").alias("b")).where("a <> b").distinct(), "cluster-edges")
+    discard(first)
     cluster = components(edges).select("v", F.col("root").alias("c"))
     cluster = cluster.unionByName(cluster.select(F.col("c").alias("v"), "c").distinct())
     own = materialize(rows.select("v", "n", "root").distinct().join(cluster, "v"), "clusters")
