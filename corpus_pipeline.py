@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stageledger.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules
-from stageledger.llm.common import materialize, table
+from stageledger.llm.common import discard, free_name, materialize, table
 
 #: Near duplicates here: five words, a similarity of 0.8 or more.
 SHINGLE, THRESHOLD = 5, (4, 5)
+#: Labelled rows that the quality rules are learned from, at most.
+RULE_SAMPLE = 20_000
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -31,20 +33,25 @@ def _whole(docs: DataFrame) -> DataFrame:
 def quality_vote(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' vote rejects go."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, model, *docs.columns, name="_quality")
-    return scored.where("_quality >= 0.5").drop("_quality")
+    name = free_name("_quality", docs)
+    scored = quality_classifier.score(docs, model, *docs.columns, name=name)
+    return scored.where(F.col(name) >= 0.5).drop(name)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or the learned decision list go."""
-    labels = table(spark, sf_dir, "labels")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = own.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """Documents that fail the base rule or the learned decision list go.
+
+    The list is learned from labelled rows of the table ``documents``, those among them
+    that an earlier stage took away too: what is left has next to no bad ones to learn
+    from. At most ``RULE_SAMPLE`` labelled rows are counted for it, those with the least
+    hashes of their id.
+    """
+    labels = table(spark, sf_dir, "labels").where("quality in (0, 1)").withColumn("doc_id", F.col("doc_id").cast("long"))
+    sample = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(RULE_SAMPLE)
+    marked = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left_semi")
     learned = quality_rules.fit(quality_rules.base_statistics(marked), labels)
     stats = quality_rules.base_statistics(_whole(docs), "_row")
-    # A generator stands between counting and filter, so that no filter repeats the counting.
-    once = stats.select("_row", F.explode(F.array(F.struct(*[c for c in stats.columns if c != "_row"]))).alias("_s")).select("_row", "_s.*")
-    return quality_rules.classify(once, learned).where("kept").select("_row.*")
+    return quality_rules.classify(stats, learned).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,5 +90,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
-    return STAGES[-1][1](spark, docs, sf_dir)
+        done = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        discard(docs)  # a table that this run wrote
+        docs = done
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)  # the pieces are written
+    return packed

@@ -3,7 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from stageledger.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules
+from stageledger.llm import decontamination, quality_classifier, quality_rules
 from stageledger.llm.common import materialize, table
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -42,4 +42,23 @@ def test_odd_rows_pass(spark, odd, none):
             got = stage(spark, docs, SF)
             assert got.columns == docs.columns, name
             assert got.count() <= n, name
-    assert packing and jaccard_join and quality_rules
+
+
+def test_names_that_clash(spark):
+    names = ["_quality", "_Quality_", "_row", "_s", "_t", "_w", "_h", "kept", "t", "v", "first", "uid", "n_words", "base_failed", "symbol_share", "score"]
+    docs = table(spark, SF, "documents").limit(40).selectExpr("*", *[f"'{n}' as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert all(r[n] == n for r in got.collect() for n in names), name
+
+
+def test_rules_are_learned_from_rows_that_the_classifier_took_away(spark, monkeypatch):
+    docs, learned, fit = table(spark, SF, "documents"), [], quality_rules.fit
+    monkeypatch.setattr(quality_rules, "fit", lambda *a: learned.append(fit(*a)) or learned[-1])
+    good = docs.join(table(spark, SF, "labels").where("quality = 1"), "doc_id", "left_semi")
+    kept = {r.doc_id for r in corpus_pipeline.rules(spark, good, SF).select("doc_id").collect()}
+    assert learned[0] and kept
+    base = quality_rules.base_statistics(good).where(~quality_rules.base_failed())
+    gone = {r.doc_id for r in base.select("doc_id").collect()} - kept
+    assert len(gone) <= 0.02 * good.count()
