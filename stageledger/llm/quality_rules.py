@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table, words
+from .common import discard, free_name, materialize, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -29,8 +29,10 @@ MAX_REPEAT_PERCENT = 50
 BINS = 6
 MAX_RULES = 12
 MAX_CONDITIONS = 3
-MIN_COVER = 20
-MIN_PRECISION = 0.9
+#: A rule must reject this share of the labelled bad rows.
+MIN_COVER_SHARE = 0.01
+#: Of what a rule rejects, this share must be bad; and, few rows counting less, as Laplace estimates it.
+MIN_PRECISION, MIN_LAPLACE = 0.9, 0.8
 
 #: Features of the learned list, as SQL over the base statistics.
 FEATURES = {
@@ -43,38 +45,45 @@ FEATURES = {
 }
 
 
-def repeated_words(w: Column) -> Column:
-    """Words that stand in a 3-word window found twice or more, given the words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.lit("\0"), F.element_at(w, i + 1), F.lit("\0"), F.element_at(w, i + 2)).alias("h"), i.alias("p")))
-    return F.when(F.size(w) >= 3, F.array_sort(grams)).otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))
+def windows(w: Column) -> Column:
+    """A hash of every 3-word window, in order."""
+    grams = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.slice(grams, 1, F.greatest(F.size(w) - 2, F.lit(0)))
 
 
 def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_upper, n_marks."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t")).select(*keep, "doc_id", "_t", words(F.col("_t")).alias("_w"))
+    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t"))
+    rows = rows.select(*keep, "doc_id", "_t", F.translate("_t", "\t\n\x0b\x0c\r", "     ").alias("_s"))
+    rows = rows.select(*keep, "doc_id", "_t", F.length(F.replace("_s", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"), F.array_remove(F.split("_s", " "), "").alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     rows = rows.select(
         *keep,
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length("_t") - F.length(F.translate("_t", "!?", ""))).cast("long").alias("n_marks"),
+        "word_chars",
+        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_t", F.lit("[!?]")).cast("long").alias("n_marks"),
         F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         lines.alias("_l"),
-        repeated_words(F.col("_w")).alias("_g"),
+        windows(F.col("_w")).alias("_h"),
     )
-    # Neighbours with one hash are repeats; their windows' starts, in order.
-    pairs = F.zip_with(F.col("_g"), F.slice(F.col("_g"), 2, F.greatest(F.size("_g") - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
-    rows = rows.select(
-        *keep, "doc_id", "n_words", "word_chars", "n_symbols", "n_marks", "n_upper",
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))).alias("_p"),
-    )
-    ahead = F.zip_with(F.col("_p"), F.slice(F.col("_p"), 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    covered = F.aggregate(ahead, F.lit(0), lambda total, x: total + x)
-    return rows.withColumn("n_repeat_words", covered.cast("long")).drop("_p")
+    counted = [*keep, "doc_id", "n_words", "word_chars", "n_symbols", "n_marks", "n_upper"]
+    # Where a window is repeated (most texts have none): windows sorted by hash, of which
+    # neighbours with one hash are repeats; the places of these, in order; words that they cover.
+    z = F.sort_array(F.arrays_zip(F.col("_h").alias("h"), F.sequence(F.lit(1), F.size("_h")).alias("p")))
+    rows = rows.select(*counted, (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.when(F.size(F.array_distinct("_h")) < F.size("_h"), z).alias("_z"))
+    pairs = F.zip_with("_z", F.slice("_z", 2, F.size("_z")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
+    places = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
+    rows = rows.select(*counted, "n_dup_lines", F.when(F.col("_z").isNotNull(), places).alias("_p"))
+    ahead = F.zip_with("_p", F.slice("_p", 2, F.size("_p")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    covered = F.when(F.col("_p").isNotNull(), F.aggregate(ahead, F.lit(0), lambda total, x: total + x)).otherwise(F.lit(0))
+    rows = rows.select(*counted, "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    # A generator stands between counting and what follows, so that no filter repeats the counting.
+    found = free_name("_f", docs)
+    one = F.array(F.struct(*[c for c in rows.columns if c not in keep]))
+    return rows.select(*keep, F.explode(one).alias(found)).select(*keep, f"{found}.*")
 
 
 def base_failed() -> Column:
@@ -147,11 +156,12 @@ def learn(cells: list[tuple[tuple[int, ...], int, int, int]], cuts: dict[str, li
 
     rules: list[Rule] = []
     left = list(cells)
+    least = MIN_COVER_SHARE * sum(b for _, _, b, _ in cells)
     while len(rules) < MAX_RULES:
         rule: list[Condition] = []
         best = (laplace(*count([], left, (0,))), 0)
         while len(rule) < MAX_CONDITIONS:
-            tried = [((laplace(b, g), b), c) for c in options if c not in rule for b, g in [count([*rule, c], left, (0,))] if b >= MIN_COVER]
+            tried = [((laplace(b, g), b), c) for c in options if c not in rule for b, g in [count([*rule, c], left, (0,))] if b and b >= least * 2 / 3]
             if not tried or max(t[0] for t in tried) <= best:
                 break
             best, found = max(tried, key=lambda t: (t[0], t[1].feature, t[1].bin if t[1].above else -t[1].bin))
@@ -159,7 +169,7 @@ def learn(cells: list[tuple[tuple[int, ...], int, int, int]], cuts: dict[str, li
         while len(rule) > 1 and laplace(*count(rule[:-1], left, (2,))) >= laplace(*count(rule, left, (2,))):
             rule.pop()
         bad, good = count(rule, left, (0, 2))
-        if not rule or bad < MIN_COVER or bad / max(1, bad + good) < MIN_PRECISION:
+        if not rule or bad < least or bad / max(1, bad + good) < MIN_PRECISION or laplace(bad, good) < MIN_LAPLACE:
             break
         rules.append(Rule(tuple(rule), False, bad / (bad + good), bad + good))
         left = [x for x in left if not all(c.holds(x[0], names) for c in rule)]
