@@ -4,16 +4,17 @@ Documents become pieces of at most ``CAPACITY`` tokens; a longer document's firs
 piece holds the remainder. The plan works on the histogram of piece lengths alone
 (``CAPACITY`` entries at most, whatever the input):
 
-1. lengths over ``SMALL`` are sorted falling and cut into groups of equal
-   cardinality; a group counts as its largest length;
+1. lengths over ``SMALL`` are sorted falling and cut into ``GROUPS`` groups of equal
+   cardinality (a length isn't divided); a group counts as its largest length left;
 2. configurations of these few sizes are optimised, the largest size left with the
    subset of the others that fills the rest best (exact subset-sum bitsets);
-3. actual lengths take the places of the rounded ones, run by run;
+3. actual lengths take the places of the rounded ones, for as many sequences at once
+   as there are equal ones; the last place goes to the largest length that fits the
+   room which is really left, so rounding costs nothing there;
 4. small lengths fall best-fit into what room is left, then into new sequences.
 
-Several group counts are planned, and plain best-fit with them; the plan with the
-fewest sequences is used. A plan is a table of runs (length, first rank, count,
-first sequence, offset); a piece finds its place by its rank among its length.
+A plan is a table of runs (length, first rank, count, first sequence, offset); a
+piece finds its place by its rank among its length.
 
 Defined cases: a null or empty text is its end id alone; null and repeated doc_ids
 and repeated rows are packed as documents of their own; an empty table packs into
@@ -23,7 +24,7 @@ nothing; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ from .tokens import Encoder, vocabulary_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 CAPACITY = 1024
-SMALL = 128
-GROUPS = (96, 400, 896)
+SMALL = 256
+GROUPS = 64
 
 PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
 Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequence, offset
@@ -136,65 +137,78 @@ def _best_rest(rest: int, sizes: list[int], left: list[int], start: int) -> list
     return chosen
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int | None = None) -> tuple[int, list[Run]]:
-    """(number of sequences, runs) for a histogram of lengths; ``groups`` None is plain best-fit."""
+def _groups(large: list[tuple[int, int]], groups: int) -> list[list[int]]:
+    """Lengths, falling, in groups of near equal cardinality."""
+    each = max(1, -(-sum(c for _, c in large) // groups))
+    members: list[list[int]] = [[]]
+    have = 0
+    for n, c in large:
+        members[-1].append(n)
+        have += c
+        if have >= each:
+            members.append([])
+            have = 0
+    return [m for m in members if m]
+
+
+def _substitute(chosen: list[int], members: list[list[int]], left: dict[int, int], rising: list[int], capacity: int) -> dict[int, int]:
+    """Actual lengths and their uses for a configuration of groups, and for the room that rounding left."""
+    uses: dict[int, int] = {}
+    rest = capacity
+
+    def put(n: int) -> None:
+        nonlocal rest
+        uses[n] = uses.get(n, 0) + 1
+        rest -= n
+
+    def fitting() -> int | None:
+        at = bisect_right(rising, rest) - 1
+        while at >= 0 and left[rising[at]] <= uses.get(rising[at], 0):
+            at -= 1
+        return rising[at] if at >= 0 else None
+
+    for g in chosen[: max(1, len(chosen) - 1)]:
+        n = next((n for n in members[g] if left[n] > uses.get(n, 0)), None)
+        if n is not None:
+            put(n)
+    while (n := fitting()) is not None:
+        put(n)
+    return uses
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int | None = GROUPS) -> tuple[int, list[Run]]:
+    """(number of sequences, runs) for a histogram of lengths; ``groups`` None is plain best-fit, a bound for tests."""
     runs: list[Run] = []
     room = _Room()
     falling = sorted(((n, c) for n, c in histogram.items() if c), reverse=True)
     if groups is None:
         return _best_fit([(n, 0, c) for n, c in falling], room, 0, capacity, runs), runs
-    large = [(n, c) for n, c in falling if n > small]
-    # Groups of equal cardinality, each a list of [length, next rank, count].
-    each = max(1, -(-sum(c for _, c in large) // groups))
-    members: list[list[list[int]]] = [[]]
-    space = each
-    for n, c in large:
-        rank = 0
-        while c:
-            if not space:
-                members.append([])
-                space = each
-            take = min(c, space)
-            members[-1].append([n, rank, take])
-            rank, c, space = rank + take, c - take, space - take
-    members = [m for m in members if m]
-    sizes, left = [m[0][0] for m in members], [sum(x[2] for x in m) for m in members]
+    left = {n: c for n, c in falling if n > small}
+    rank = dict.fromkeys(left, 0)
+    rising = sorted(left)
+    members = _groups(list(left.items()), groups)
     sequences = 0
-    for g in range(len(sizes)):
-        while left[g]:
-            left[g] -= 1
-            chosen = [g, *_best_rest(capacity - sizes[g], sizes, left, g)]
-            left[g] += 1
-            uses = {x: chosen.count(x) for x in chosen}
-            times = min(left[x] // k for x, k in uses.items())
-            for x, k in uses.items():
-                left[x] -= times * k
-            while times:  # as long as every place is inside one run of equal lengths
-                now = times
-                for x, k in uses.items():
-                    now = min(now, max(1, members[x][0][2] // k))
-                offset = 0
-                for x in sorted(chosen):
-                    n, rank, count = members[x][0]
-                    step = min(now, count)
-                    assert step == now
-                    runs.append((n, rank, now, sequences, offset))
-                    offset += n
-                    members[x][0][1] += now
-                    members[x][0][2] -= now
-                    if not members[x][0][2]:
-                        members[x].pop(0)
-                room.put(capacity - offset, sequences, now)
-                sequences += now
-                times -= now
+    while rising:
+        members = [m for g in members if (m := [n for n in g if left[n]])]
+        sizes, counts = [m[0] for m in members], [sum(left[n] for n in m) for m in members]
+        counts[0] -= 1
+        chosen = [0, *sorted(_best_rest(capacity - sizes[0], sizes, counts, 0))]
+        uses = _substitute(chosen, members, left, rising, capacity)
+        times = min(left[n] // k for n, k in uses.items())
+        offset = 0
+        for n in sorted(uses, reverse=True):
+            for _ in range(uses[n]):
+                runs.append((n, rank[n], times, sequences, offset))
+                rank[n] += times
+                offset += n
+            left[n] -= times * uses[n]
+            if not left[n]:
+                rising.remove(n)
+        room.put(capacity - offset, sequences, times)
+        sequences += times
     return _best_fit([(n, 0, c) for n, c in falling if n <= small], room, sequences, capacity, runs), runs
 
 
-def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[int, list[Run]]:
-    """Linear grouping at each of ``GROUPS``; the first with the fewest sequences."""
-    return min((plan(histogram, capacity, SMALL, g) for g in GROUPS), key=lambda x: x[0])
-
-
 def ranks(rows: DataFrame, total: int) -> DataFrame:
     """Rank of each piece among its length, 0 first.
 
@@ -228,7 +242,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``. ``rows`` is read several times: a written table."""
     spark = rows.sparkSession
     histogram = {x.length: x.n for x in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    _, runs = best_plan(histogram, capacity)
+    _, runs = plan(histogram, capacity)
     runs.sort()
     table_ = np.array(runs or [(0, 0, 0, 0, 0)], dtype=np.int64)
     keys = (table_[:, 0] << 48) + table_[:, 1]

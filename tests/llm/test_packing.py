@@ -1,8 +1,10 @@
+import os
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from stageledger.llm import packing as pk
@@ -29,13 +31,36 @@ def test_plans_hold_every_item_once(groups):
         assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and own[-1][0] + own[-1][1] <= 1024
 
 
-def test_best_plan_is_near_the_bound():
+def test_plan_is_near_the_bound():
     rng = random.Random(5)
     histogram = defaultdict(int)
     for _ in range(20000):
         histogram[rng.randint(1, 700)] += 1
     total = sum(n * c for n, c in histogram.items())
-    assert pk.best_plan(dict(histogram))[0] <= 1.005 * -(-total // 1024) + 1
+    assert pk.plan(dict(histogram))[0] <= 1.005 * -(-total // 1024) + 1
+
+
+def test_grouping_needs_no_more_sequences_than_best_fit():
+    rng = random.Random(6)
+    kinds = [lambda: rng.randint(257, 400), lambda: rng.randint(300, 700), lambda: rng.randint(200, 500), lambda: rng.randint(1, 1024), lambda: rng.choice([rng.randint(500, 530), rng.randint(330, 345), rng.randint(240, 270)])]
+    for kind in kinds:
+        for n in (300, 5000):
+            histogram = Counter(kind() for _ in range(n))
+            assert pk.plan(histogram)[0] <= pk.plan(histogram, groups=None)[0]
+
+
+@pytest.mark.parametrize("sf, grouped", [("0.001", 193), ("0.01", 964), ("0.1", 9872)])
+def test_sequences_of_the_tables(sf, grouped):
+    """Plain best-fit needs as many there; the bound by bytes is 192, 962 and 9871."""
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    e, histogram = Encoder.of(vocabulary_path(pk.VOCABULARY)), Counter()
+    for ids in e.encode(pq.read_table(path, columns=["text"]).column("text").to_pylist()):
+        n = len(ids) // 4 + 1
+        histogram[(n - 1) % 1024 + 1] += 1
+        histogram[1024] += (n - 1) // 1024
+    assert pk.plan(histogram)[0] == grouped
 
 
 def test_documents(spark, odd, none):
@@ -59,10 +84,3 @@ def test_documents(spark, odd, none):
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == np.cumsum([0, *[r.length for r in own]])[:-1].tolist() and sum(r.length for r in own) <= 1024
     assert pk.pack_documents(none).count() == 0
-
-
-def test_best_plan_is_a_linear_grouping(monkeypatch):
-    histogram = {n: 1 + n * 7919 % 13 for n in range(1, 1025)}
-    plain, used, whole = pk.plan(histogram)[0], [], pk.plan
-    monkeypatch.setattr(pk, "plan", lambda h, c, s, g: used.append(g) or whole(h, c, s, g))
-    assert pk.best_plan(histogram)[0] <= 1.005 * plain + 1 and used == list(pk.GROUPS)
