@@ -6,9 +6,10 @@ base) deals whole slots to shards: the largest slot first, each to the lightest
 shard. The map is written as ``<root>/version=<n>``; rebalancing edits it, moving
 the fewest slots from shards above the mean to shards below it, and writes the
 next version. A record's place in its shard is its slot's ``base`` (rows of the
-shard's earlier slots) plus its rank within the slot, so no window spans a shard.
+shard's earlier slots) plus its rank within the slot, so no window spans a shard; a
+slot of more than 1 / ``N_SLOTS`` of all rows (repeated rows) is ranked in strips.
 
-Only the map is broadcast: ``N_SLOTS`` rows at any input size.
+Only the map and the strips' bases are broadcast: at most 3 ``N_SLOTS`` rows.
 
 Defined cases: a null text has no bytes and checksum 0; a null doc_id hashes by its
 text; repeated rows keep a place each; an empty table gives an empty result and a
@@ -30,12 +31,13 @@ MAP = "version int, virtual_slot int, shard int, bytes long, n_rows long, base l
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32 and the record's virtual slot."""
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32, uid (any, for strips) and the record's virtual slot."""
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         crc.alias("text_crc32"),
+        F.monotonically_increasing_id().alias("uid"),
     )
     return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(N_SLOTS)).cast("int"))
 
@@ -101,10 +103,16 @@ def store_map(slot_map: DataFrame, root: str, version: int) -> DataFrame:
 
 
 def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """Shard and gapless place of every record under a stored map."""
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(within).cast("long") - 1)
-    return ranked.join(F.broadcast(slot_map), "virtual_slot").select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).alias("slot"), "virtual_slot", "version")
+    """Shard and gapless place of every record under a stored map. ``rows`` is read twice: a written table."""
+    everything = Window.partitionBy()  # N_SLOTS rows
+    strips = F.ceil(F.col("n_rows") * N_SLOTS / F.greatest(F.sum("n_rows").over(everything), F.lit(1))).cast("long")
+    mapped = rows.join(F.broadcast(slot_map.withColumn("strips", F.greatest(strips, F.lit(1)))), "virtual_slot")
+    mapped = mapped.withColumn("strip", F.pmod(F.xxhash64("uid"), F.col("strips")))
+    before = Window.partitionBy("virtual_slot").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+    bases = mapped.groupBy("virtual_slot", "strip").agg(F.count("*").alias("n")).select("virtual_slot", "strip", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("virtual_slot", "strip").orderBy("doc_id", "text_crc32", "uid")
+    ranked = mapped.withColumn("rank", F.row_number().over(within).cast("long") - 1).join(F.broadcast(bases), ["virtual_slot", "strip"])
+    return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("earlier") + F.col("rank")).alias("slot"), "virtual_slot", "version")
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

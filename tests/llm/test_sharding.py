@@ -26,6 +26,16 @@ def test_places_are_gapless_and_shards_even(spark, odd, none):
     assert placed(none)[0] == []
 
 
+def test_a_hot_slot_is_ranked_in_strips(spark):
+    docs = spark.range(900).selectExpr("if(id < 600, null, id) as doc_id", "if(id < 600, 'same', cast(id as string)) as text", "'x' as uid", "1 as strip")
+    got, m = placed(docs)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == 900 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(r.n_rows for r in m.collect()) >= 600
+
+
 def test_an_edit_moves_few_slots(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(id % 97 as int)) as text")
     totals = materialize(sh.slot_totals(sh.digests(docs)), "t")
