@@ -8,11 +8,17 @@ File format (all tables are Parquet under one root in the shared folder):
 ``recipes``   part, pos, doc_id, uid, n_tokens, local_start, hashes, lens, leaf,
               part_root. Documents in ascending (doc_id, uid) order, cut into parts
               by range; ``hashes`` joins the 16-byte chunk hashes in order, ``leaf``
-              is their SHA-256, ``part_root`` (last row of a part) the Merkle root
-              of the part's leaves.
+              is the SHA-256 of doc_id, uid, lengths and hashes, ``part_root`` (last
+              row of a part) the Merkle root of the part's leaves.
 ``manifest``  part, n_docs, n_tokens, base, root: one row per part; ``base`` counts
               the ids of all parts before it.
 
+Reading verifies all of it, and fails otherwise: bytes against their address, recipes
+against their leaf, each part's places, counts and root against the manifest, and
+that no chunk, recipe, part or manifest row is missing. ``store_root`` is the one
+hash to keep elsewhere: given as ``expected``, a manifest that was rewritten to fit
+altered recipes fails too.
+
 Chunk ends are content-defined: a rolling polynomial hash of the last ``WINDOW``
 ids picks them, so equal runs of ids are cut alike wherever they stand.
 
@@ -25,6 +31,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, partitions, ship, table
@@ -87,6 +94,12 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+def leaf(doc: int | None, uid: int, lens: bytes, hashes: bytes) -> bytes:
+    """What a recipe is known by: each field has a fixed size or a length before it."""
+    head = struct.pack("<?qqq", doc is None, doc or 0, uid, len(lens))
+    return hashlib.sha256(head + lens + hashes).digest()
+
+
 def _encode(vocabulary: str, end_id: int, width: int):
     dtype = f"<u{width}"
 
@@ -151,10 +164,9 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> list:
         nonlocal pos, start
-        joined = b"".join(hashes)
-        leaf = hashlib.sha256(joined).digest()
-        leaves.append(leaf)
-        row = [part, pos, open_key[0], open_key[1], sum(lens), start, joined, np.array(lens, dtype="<u4").tobytes(), leaf, None]
+        joined, packed = b"".join(hashes), np.array(lens, dtype="<u4").tobytes()
+        leaves.append(leaf(*open_key, packed, joined))
+        row = [part, pos, open_key[0], open_key[1], sum(lens), start, joined, packed, leaves[-1], None]
         pos, start = pos + 1, start + sum(lens)
         return row
 
@@ -264,10 +276,10 @@ def _read_chunks(width: int):
 def _open_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: tuple[list, ...] = ([], [], [], [])
-        for uid, hashes, lens, leaf in zip(*(batch.column(c).to_pylist() for c in ("uid", "hashes", "lens", "leaf")), strict=True):
-            if hashlib.sha256(hashes).digest() != leaf:
-                raise ValueError(f"a recipe doesn't match its leaf {leaf.hex()}")
+        for doc, uid, n_tokens, hashes, lens, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "n_tokens", "hashes", "lens", "leaf")), strict=True):
             n = np.frombuffer(lens, dtype="<u4").astype(np.int64)
+            if leaf(doc, uid, lens, hashes) != own or n.sum() != n_tokens or 16 * len(n) != len(hashes) or not len(n):
+                raise ValueError(f"a recipe doesn't match its leaf {own.hex()}")
             after = (n.sum() - np.cumsum(n)) * 4
             rows[0].extend([uid] * len(n))
             rows[1].extend(hashes[16 * i : 16 * i + 16] for i in range(len(n)))
@@ -278,28 +290,69 @@ def _open_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if batch.column("size").null_count:
+            raise ValueError("a chunk is missing")
         if (batch.column("n").to_numpy() != batch.column("size").to_numpy()).any():
             raise ValueError("a recipe's lengths don't match its chunks")
         crc = shift_crc(batch.column("crc").to_numpy(), batch.column("after").to_numpy()).astype(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(crc, pa.int64())], names=["uid", "crc"])
 
 
-def read_digests(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32, after every check of addresses and leaves.
+def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole parts in (part, pos) order -> part, its counts and the root of its leaves."""
+    part, leaves, tokens = None, [], 0
+
+    def close() -> pa.RecordBatch:
+        values = ((part, pa.int32()), (len(leaves), pa.int64()), (tokens, pa.int64()), (merkle_root(leaves), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["part", "found_docs", "found_tokens", "found_root"])
+
+    for batch in batches:
+        for p, pos, n_tokens, start, own in zip(*(batch.column(c).to_pylist() for c in ("part", "pos", "n_tokens", "local_start", "leaf")), strict=True):
+            if p != part:
+                if part is not None:
+                    yield close()
+                part, leaves, tokens = p, [], 0
+            if pos != len(leaves) or start != tokens:
+                raise ValueError(f"a recipe of part {p} is missing or out of place")
+            leaves.append(own)
+            tokens += n_tokens
+    if part is not None:
+        yield close()
+
+
+def verified_parts(spark: SparkSession, root: str) -> DataFrame:
+    """part, base: a row per part of the manifest; fails where its recipes aren't those it was written for.
+
+    A part's leaves (32 bytes a document) meet in one task, as when it was written.
+    """
+    recipes = spark.read.schema(RECIPES).parquet(f"{root}/recipes").select("part", "pos", "n_tokens", "local_start", "leaf")
+    ordered = recipes.repartition(partitions(spark), "part").sortWithinPartitions("part", "pos")
+    found = ordered.mapInArrow(_part_roots, "part int, found_docs long, found_tokens long, found_root binary")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part: at most the writer's shuffle partitions
+    manifest = spark.read.parquet(f"{root}/manifest").withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    same = F.col("root").eqNullSafe(F.col("found_root")) & F.col("n_docs").eqNullSafe(F.col("found_docs")) & F.col("n_tokens").eqNullSafe(F.col("found_tokens")) & F.col("base").eqNullSafe(F.col("before"))
+    wrong = F.raise_error(F.concat(F.lit("the manifest doesn't match part "), F.col("part").cast("string")))
+    # A filter, which no pruning of columns takes away.
+    return manifest.join(found, "part", "full_outer").where(F.when(same, True).otherwise(wrong.cast("boolean"))).select("part", "base")
+
+
+def read_digests(spark: SparkSession, root: str, width: int = 2, expected: bytes | None = None) -> DataFrame:
+    """From the files, verified: doc_id, start, n_tokens, ids_crc32.
 
     Chunk bytes are read where they lie; only 16-byte hashes and checksums move.
     A chunk that many documents share is a skewed join key, which AQE splits.
     """
     ship(spark)
+    if expected is not None and store_root(spark, root) != expected:
+        raise ValueError("the store's root isn't the expected one")
     packs = spark.read.schema(PACKS).parquet(f"{root}/packs")
     recipes = spark.read.schema(RECIPES).parquet(f"{root}/recipes")
-    manifest = spark.read.parquet(f"{root}/manifest")
     chunks = packs.where("payload is not null").select("hash", "payload").mapInArrow(_read_chunks(width), "hash binary, crc long, size long")
-    refs = recipes.select("uid", "hashes", "lens", "leaf").mapInArrow(_open_recipes, "uid long, hash binary, n long, after long")
-    shifted = refs.join(chunks, "hash").select("uid", "n", "size", "crc", "after").mapInArrow(_shift, "uid long, crc long")
+    refs = recipes.select("doc_id", "uid", "n_tokens", "hashes", "lens", "leaf").mapInArrow(_open_recipes, "uid long, hash binary, n long, after long")
+    shifted = refs.join(chunks, "hash", "left").select("uid", "n", "size", "crc", "after").mapInArrow(_shift, "uid long, crc long")
     whole = shifted.groupBy("uid").agg(F.bit_xor("crc").alias("ids_crc32"))
-    # The manifest has a row per part, at most as many as the writer's shuffle partitions.
-    rows = recipes.select("part", "uid", "doc_id", "n_tokens", "local_start").join(F.broadcast(manifest.select("part", "base")), "part")
+    # A row per part, at most as many as the writer's shuffle partitions; a part of recipes that the manifest lacks has failed there.
+    rows = recipes.select("part", "uid", "doc_id", "n_tokens", "local_start").join(F.broadcast(verified_parts(spark, root)), "part")
     return rows.join(whole, "uid").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -314,10 +367,13 @@ def read_ids(spark: SparkSession, root: str, width: int = 2) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(x["payload"], dtype=f"<u{width}") for x in parts]).astype(np.int32) for parts in batch.column("parts").to_pylist()]
+            found = batch.column("parts").to_pylist()
+            if any(x["payload"] is None for parts in found for x in parts):
+                raise ValueError("a chunk is missing")
+            ids = [np.concatenate([np.frombuffer(x["payload"], dtype=f"<u{width}") for x in parts]).astype(np.int32) for parts in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "uid", "ids"])
 
-    grouped = refs.join(chunks, "hash").groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
+    grouped = refs.join(chunks, "hash", "left").groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
     return grouped.mapInArrow(build, "doc_id long, uid long, ids array<int>")
 
 

@@ -103,3 +103,42 @@ def test_ids_are_those_of_a_fresh_tokenizer(name, tmp_path):
     fresh = Tokenizer.from_file(path)
     for text in [*marked, "a [PAD] b", "some two words here", "full stop.stop x", "two  words"]:
         assert Encoder(path).encode([text]) == [ids(fresh, text)], text
+
+
+def altered(spark, root, **changes):
+    """A copy of the store with some tables changed by a function of the frame."""
+    bad = fresh_path(spark, "t")
+    for name in ("packs", "recipes", "manifest"):
+        changes.get(name, lambda f: f)(spark.read.parquet(f"{root}/{name}")).coalesce(1).write.parquet(f"{bad}/{name}")
+    return bad
+
+
+def test_losses_and_alterations_fail(spark, odd):
+    from pyspark.sql import functions as F
+
+    root = fresh_path(spark, "t")
+    rows = [(i, " ".join(f"word{(i * 7 + j) % 900} of{j}" for j in range(i % 5 * 90))) for i in range(60)]
+    ts.write_store(odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")), root, vocabulary_path(ts.VOCABULARY))
+    whole = altered(spark, root)
+    n = ts.read_digests(spark, whole, expected=ts.store_root(spark, root)).count()
+    assert n == 60 + odd.count()
+    some = spark.read.parquet(f"{root}/packs").where("payload is not null").orderBy("hash").first()
+    one = spark.read.parquet(f"{root}/recipes").where("doc_id = 44").first()
+    last = spark.read.parquet(f"{root}/manifest").agg(F.max("part")).first()[0]
+    swap = F.when(F.col("doc_id") == 43, 44).when(F.col("doc_id") == 44, 43).otherwise(F.col("doc_id"))
+    bad = {
+        "a chunk is missing": {"packs": lambda f: f.where(F.col("payload").isNull() | (F.col("hash") != some.hash))},
+        "missing or out of place|match part": {"recipes": lambda f: f.where(F.col("uid") != one.uid)},
+        "match its leaf": {"recipes": lambda f: f.withColumn("doc_id", swap)},
+        "match part": {"recipes": lambda f: f.where(F.col("part") != last)},
+        "doesn't match part": {"manifest": lambda f: f.withColumn("n_tokens", F.col("n_tokens") + 1)},
+        "the manifest doesn't match": {"manifest": lambda f: f.where(F.col("part") != last)},
+    }
+    for match, change in bad.items():
+        with pytest.raises(Exception, match=match):
+            ts.read_digests(spark, altered(spark, root, **change)).collect()
+    lost = altered(spark, root, packs=lambda f: f.where("payload is null"))
+    with pytest.raises(Exception, match="a chunk is missing"):
+        ts.read_ids(spark, lost).collect()
+    with pytest.raises(ValueError, match="root"):
+        ts.read_digests(spark, root, expected=b"other")
