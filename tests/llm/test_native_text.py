@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import pytest
 from oracle import database, same
 
@@ -17,14 +18,30 @@ def test_query_matches_its_sql(spark, name):
 def test_rotation_by_hand(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo <|im_end|>"), (1, 70, "ann", None), (1, 1, "ann", "hi"), (None, None, None, "x"), (2, 1, "system", "alone")]
     got = {(r.conv_id, r.perspective, r.chunk): r for r in chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got.keys() == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "unknown", -1)}
+    assert got.keys() == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0)}
     ann = got[1, "ann", 0]
-    assert ann.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo < |im_end|><|im_end|>\n"
-    assert [ann.text[s.start : s.stop] for s in ann.spans] == ["hi<|im_end|>"] and ann.n_turns == 3 and ann.n_own == 1
+    assert ann.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    assert [ann.text[s.start : s.stop] for s in ann.spans] == ["hi<|im_end|>", "<|im_end|>"] and ann.n_turns == 4 and ann.n_own == 2
     assert [got[1, "bob", 0].text[s.start : s.stop] for s in got[1, "bob", 0].spans] == ["yo < |im_end|><|im_end|>"]
     assert chat_format.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_conversations_and_ties(spark, tmp_path):
+    rows = [(1, None, f"s{i % 3}", f"text {i}", "x") for i in range(500)] + [(1, None, "s0", "text 0", "y")] + [(None, 7, "a", "" if i else None, "x") for i in range(3)]
+    rows += [(2, i % 4, "b", f"t{i}", "x") for i in range(200)] + [(3, 0, None, "w " * 50_000, "x"), (3, 1, "system", None, "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chunk string")
+    found = chat_format.rotate(frame).collect()
+    assert max(r.n_turns for r in found) == chat_format.CHUNK
+    for conv, speaker, n in [(1, "s0", 500), (2, "b", 200), (None, "a", 1), (3, "unknown", 2)]:
+        own = sorted((r for r in found if r.conv_id == conv and r.perspective == speaker), key=lambda r: r.chunk)
+        assert [r.chunk for r in own] == list(range(len(own))) and sum(r.n_turns for r in own) == n
+        assert "".join(r.text for r in own).count("<|im_start|>") == n
+    frame.toPandas().to_parquet(f"{tmp_path}/conversations.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet'")
+    assert same(chat_format.op1_perspective_rotation(spark, str(tmp_path)), connection, chat_format.ORACLE)
+
+
 def test_licences_by_hand(spark, odd, none):
     full = "Permission is hereby granted, free of charge"
     rows = [
@@ -108,3 +125,67 @@ def test_wrapped_notices(spark):
                 assert got[100 * i + j][0] == licence, (i, j, got[100 * i + j])
     assert all(len(got[j][1]) == 1 for j in range(len(ways))) and got[100][1] == ["mit-text"] and got[200][1] == ["gpl-3-notice"]
     assert got[900] == ("", []) and got[901][1] == ["all-rights-reserved", "mit"]
+
+
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ENDORSE = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+def test_more_notices_and_the_sql_twin(spark, tmp_path):
+    lesser = lambda v: GPL2.replace("GNU General", "GNU Lesser General").replace("This program", "This library").replace("version 2", f"version {v}")
+    notices = [
+        (GPL2, "GPL-2.0-or-later"), (GPL2.replace("\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.", "\nversion 2 as published by the Free Software Foundation."), "GPL-2.0-only"),
+        (GPL.replace("GNU General Public License as", "GNU Affero General Public License as"), "AGPL-3.0-or-later"), (lesser("2.1"), "LGPL-2.1-or-later"), (lesser("3"), "LGPL-3.0-or-later"),
+        (BSD3, "BSD-2-Clause"), (BSD3 + ENDORSE, "BSD-3-Clause"), (ISC, "ISC"), (EPL, "EPL-2.0"), (UNLICENSE, "Unlicense"), (ZLIB, "Zlib"), (" ".join(MIT.split()), "MIT"),
+        ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", "GPL-2.0-only"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        (APACHE, "Apache-2.0"), (MIT, "MIT"), (GPL, "GPL-3.0-or-later"), (MPL, "MPL-2.0"), (None, ""), ("", ""), ("All rights reserved\n\n\nAll rights reserved", "Proprietary"),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(notices)] + [(100 + i, t and "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */") for i, (t, _) in enumerate(notices)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.licences) for r in license_scan.scan(docs).collect()}
+    assert got == {100 * k + i: n for k in (0, 1) for i, (_, n) in enumerate(notices)}
+    docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert same(license_scan.op4_sentence_rules(spark, str(tmp_path)), connection, license_scan.ORACLE) == len(rows)
