@@ -464,7 +464,8 @@ def _texts(docs: DataFrame, holders: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("text"), pa.array(ids, pa.int64())], names=["v", "text", "own"])
 
     held = holders.select("v", F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
-    found = docs.join(held, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("v", "text")
+    # Shuffled at every size: a small table of holders, broadcast, would only make small runs look cheaper than large ones.
+    found = docs.join(held.hint("merge"), (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("v", "text")
     return found.mapInArrow(own, "v long, text string, own long").where("v = own").dropDuplicates(["v"]).select("v", "text")
 
 
