@@ -317,6 +317,10 @@ def labelled(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
         centre = F.min(F.struct(F.xxhash64("v", F.lit(turn)), F.col("v").alias("yv"), F.col("n").alias("yn"), F.col("root").alias("yr")))
         found = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), centre.alias("hub"))
         mixed = materialize(found.where("lo < hi").select("sig", "size", "hub"), "mixed")
+        if mixed.isEmpty():  # each bucket is within one component
+            for x in (rooted, mixed):
+                discard(x)
+            break
         split = materialize(rooted.join(mixed, "sig").select("sig", "v", "n", "root", "size", "hub"), "apart")
         for x in (apart, rooted, mixed):
             discard(x)
@@ -345,11 +349,9 @@ def labelled(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     rooted = materialize(rooted, "rooted")
     least = materialize(rooted.where("root is not null").groupBy("root").agg(_first()).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.t").alias("_t")), "least")
     first = F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("_t"))
-    out = rooted.join(least, "root", "left").select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first"))
-    out = materialize(out, "components")
-    for x in (rows, *slices, stars, holders, texts, links, apart, rooted, least):
+    for x in (rows, *slices, stars, holders, texts, links, apart):
         discard(x)
-    return out
+    return rooted.join(least, "root", "left").select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first.alias("first"))
 
 
 def _buckets(vertices: DataFrame, k: int) -> DataFrame:
