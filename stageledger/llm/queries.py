@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, html_extraction, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, token_store
+from . import chat_format, decontamination, embedding_whitening, filter_audit, html_extraction, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, token_store
 
 ORACLES: dict[str, str] = {
     "op1_perspective_rotation": chat_format.ORACLE,
     "op4_sentence_rules": license_scan.ORACLE,
+    "op13_permutation_trie": filter_audit.ORACLE,
 }
 
 
@@ -26,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_linear_grouping": packing.op7_linear_grouping,
         "op3_virtual_slots": sharding.op3_virtual_slots,
         "op2_token_store": token_store.op2_token_store,
+        "op11_welford_qr": embedding_whitening.op11_welford_qr,
+        "op13_permutation_trie": filter_audit.op13_permutation_trie,
     }
 
 
