@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, embedding_whitening, filter_audit, html_extraction, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, token_store
+from . import chat_format, decontamination, embedding_whitening, filter_audit, html_extraction, jaccard_join, license_scan, packing, pii_bootstrap, quality_classifier, quality_rules, sharding, token_store
 
 ORACLES: dict[str, str] = {
     "op1_perspective_rotation": chat_format.ORACLE,
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_virtual_slots": sharding.op3_virtual_slots,
         "op2_token_store": token_store.op2_token_store,
         "op11_welford_qr": embedding_whitening.op11_welford_qr,
+        "op12_bootstrapped_pii": pii_bootstrap.op12_bootstrapped_pii,
         "op13_permutation_trie": filter_audit.op13_permutation_trie,
     }
 
