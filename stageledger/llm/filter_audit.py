@@ -130,9 +130,9 @@ def audit(failures: DataFrame, names: Iterable[str], by: str = "part", counts: d
         F.sum(F.when(F.length("state") == len(names) - 1, F.col("removed"))).alias("unique_fails"),
         F.sum(F.col("removed") * shapley_weight(F.col("state"), len(names))).cast("long").alias("shapley"),
     )
-    # Spark plans n * n! rows as a local table, broadcast; the edges are spread by part and state.
+    # n * n! steps are broadcast. A state that none of a part's rows reach has no edge: nothing enters it there.
     steps = F.broadcast(orders(failures.sparkSession, names))
-    rows = edges.join(per_filter, [by, "filter"]).join(steps, ["state", "filter"])
+    rows = per_filter.join(steps, "filter").join(edges, [by, "state", "filter"], "left").na.fill(0)
     kept, redundant = F.col("entered") - F.col("removed"), F.col("failing") - F.col("removed")
     return rows.select(by, "filter_order", "step", kept.alias("kept"), "removed", redundant.alias("redundant"), "unique_fails", *(counts or {}), "shapley")
 

@@ -63,7 +63,7 @@ def runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id) of every row, and (uid, pos, start, run, before, after) of its runs; both written."""
     text = F.coalesce(F.col("text"), F.lit(""))
     pieces = F.when(text.rlike("[0-9@]"), F.arrays_zip(F.split(text, RUN).alias("gap"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("run")))
-    cut = F.transform(pieces, lambda p: F.struct(F.length(p["gap"]).alias("n"), F.substring(p["gap"], -AROUND, AROUND).alias("tail"), F.substring(p["gap"], 1, AROUND).alias("head"), p["run"].alias("run")))
+    cut = F.transform(pieces, lambda p: F.struct(F.length(p["gap"]).alias("n"), tail(p["gap"]).alias("tail"), head(p["gap"]).alias("head"), p["run"].alias("run")))
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), cut.alias("pieces")), "runs-of-rows")
     flat = rows.select("uid", F.posexplode("pieces").alias("pos", "p")).select("uid", "pos", "p.*")
     order = Window.partitionBy("uid").orderBy("pos")
@@ -103,45 +103,75 @@ def could_be(kind: str, text: Column) -> Column:
     }[kind]
 
 
+def tail(text: Column) -> Column:
+    return F.substring(text, -AROUND, AROUND)
+
+
+def head(text: Column) -> Column:
+    return F.substring(text, 1, AROUND)
+
+
 def base_spans(found: DataFrame) -> DataFrame:
-    """(uid, pos, kind, at, start, stop, text, run, before, after): base matches that pass, ``at`` within the run."""
+    """(uid, kind, start, stop, text, before, after): base matches that pass.
+
+    No row repeats its run: what stands around a match is read off the matches beside it.
+    """
     each = F.array(*[
         F.struct(F.lit(i).alias("kind"), F.arrays_zip(F.split("run", e).alias("gap"), F.regexp_extract_all(F.col("run"), F.lit(e), F.lit(0)).alias("text")).alias("parts"))
         for i, e in enumerate(EXPRESSIONS.values())
     ])
     needed = reduce(lambda a, b: a | b, [(F.lit(i) == F.col("e.kind")) & (F.col("run").contains(NEEDS[k]) if NEEDS[k] else F.lit(True)) for i, k in enumerate(KINDS)])
-    parts = found.select("*", F.explode(each).alias("e")).where(needed).select("uid", "pos", "start", "run", "before", "after", "e.kind", F.posexplode("e.parts").alias("k", "p"))
+    parts = found.select("*", F.explode(each).alias("e")).where(needed)
+    parts = parts.select("uid", "pos", "start", "before", "after", "e.kind", F.posexplode("e.parts").alias("k", "p")).select("uid", "pos", "start", "before", "after", "kind", "k", "p.gap", "p.text")
     order = Window.partitionBy("uid", "pos", "kind").orderBy("k")
-    size = F.coalesce(F.length("p.text"), F.lit(0))
-    at = F.sum(F.length("p.gap") + size).over(order) - size
-    placed = parts.withColumn("at", at).where("p.text is not null").withColumn("text", F.col("p.text"))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    parts = parts.select(
+        "uid",
+        "kind",
+        (F.col("start") + F.sum(F.length("gap") + size).over(order) - size).alias("start"),
+        "text",
+        tail(F.concat(F.coalesce(F.lag("text").over(order), "before", F.lit("")), "gap")).alias("before"),
+        head(F.concat(F.lead("gap").over(order), F.coalesce(F.lead("text").over(order), "after", F.lit("")))).alias("after"),
+    ).where("text is not null")
     valid = reduce(lambda a, b: a | b, [(F.col("kind") == i) & passes(k, F.col("text")) for i, k in enumerate(KINDS)])
-    return placed.where(valid).select("uid", "pos", "kind", "at", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + F.length("text")).alias("stop"), "text", "run", "before", "after")
+    return parts.where(valid).select("uid", "kind", "start", (F.col("start") + F.length("text")).alias("stop"), "text", "before", "after")
 
 
 def candidates(found: DataFrame, base: DataFrame) -> DataFrame:
-    """(uid, pos, kinds, at, start, stop, text, run, before, after): stretches outside base matches that could be of a kind."""
+    """(uid, kinds, start, stop, text, before, after): stretches outside base matches that could be of a kind."""
     order = Window.partitionBy("uid", "pos").orderBy("k")
-    split = found.select("*", F.posexplode(F.split("run", " ")).alias("k", "w"))
+    split = found.select("uid", "pos", "start", "before", "after", F.posexplode(F.split("run", " ")).alias("k", "w"))
     size = F.length("w") + 1
-    split = split.withColumn("at", F.sum(size).over(order) - size)
-    ahead = [F.lead("w", i).over(order) for i in range(1, LONGEST)]
-    split = split.select("uid", "pos", "start", "run", "before", "after", "at", F.array("w", *ahead).alias("ws")).where("ws[0] <> ''")
-    stretches = [F.when(F.col("ws")[n].isNotNull() & (F.col("ws")[n] != ""), F.array_join(F.slice("ws", 1, n + 1), " ")) for n in range(LONGEST)]
-    raw = split.select("uid", "pos", "start", "run", "before", "after", "at", F.explode(F.array(*stretches)).alias("raw")).where(F.length("raw") <= MAX_LENGTH)
-    left = F.regexp_replace("raw", "^[^0-9A-Za-z+(]+", "")
-    raw = raw.select("*", left.alias("cut")).select("*", F.regexp_replace("cut", "[^0-9A-Za-z)]+$", "").alias("text"))
+    short = F.when((F.length("w") <= MAX_LENGTH) & (F.col("w") != ""), F.col("w"))
+    near = lambda i: F.lead("w", i).over(order)
+    split = split.select(
+        "uid",
+        (F.col("start") + F.sum(size).over(order) - size).alias("at"),
+        F.array(short, *[F.lead(short, i).over(order) for i in range(1, LONGEST)]).alias("ws"),
+        tail(F.concat_ws(" ", F.when(F.col("k") < 2, F.col("before")), tail(F.lag("w", 2).over(order)), tail(F.lag("w", 1).over(order)))).alias("l"),
+        F.array(*[head(F.coalesce(near(i), "after", F.lit(""))) for i in range(1, LONGEST + 1)]).alias("rs"),
+    )
+    stretches = []
+    for n in range(LONGEST):
+        words = [F.col("ws")[i] for i in range(n + 1)]
+        between = [x for w in words[1:] for x in (F.lit(" "), w)]
+        stretches.append(F.struct(F.concat(words[0], *between).alias("raw"), F.col("rs")[n].alias("r")))  # null if a word is
+    raw = split.select("uid", "at", "l", F.explode(F.array(*stretches)).alias("s")).select("uid", "at", "l", "s.*").where(F.length("raw") <= MAX_LENGTH)
+    raw = raw.select("*", F.regexp_replace("raw", "^[^0-9A-Za-z+(]+", "").alias("cut")).select("*", F.regexp_replace("cut", "[^0-9A-Za-z)]+$", "").alias("text"))
     kinds = F.array_compact(F.array(*[F.when(could_be(k, F.col("text")), i) for i, k in enumerate(KINDS)]))
-    at = F.col("at") + F.length("raw") - F.length("cut")
-    raw = raw.select("uid", "pos", kinds.alias("kinds"), at.alias("at"), (F.col("start") + at).alias("start"), (F.col("start") + at + F.length("text")).alias("stop"), "text", "run", "before", "after").where(F.size("kinds") > 0)
+    start = F.col("at") + F.length("raw") - F.length("cut")
+    before = F.concat(F.col("l"), F.lit(" "), F.substring("raw", F.lit(1), F.length("raw") - F.length("cut")))
+    after = F.concat(F.substring("cut", F.length("text") + 1, F.lit(MAX_LENGTH)), F.lit(" "), F.col("r"))
+    raw = raw.select("uid", kinds.alias("kinds"), start.alias("start"), (start + F.length("text")).alias("stop"), "text", before.alias("before"), after.alias("after")).where(F.size("kinds") > 0)
     # Outside base matches: by running bounds over starts, whatever their number.
     none = F.lit(None)
-    marks = base.select("uid", "pos", none.cast("array<int>").alias("kinds"), none.cast("long").alias("at"), "start", "stop", none.cast("string").alias("text"), none.cast("string").alias("run"), none.cast("string").alias("before"), none.cast("string").alias("after"))
-    by = Window.partitionBy("uid").orderBy("start")
+    marks = base.select("uid", none.cast("array<int>").alias("kinds"), "start", "stop", *[none.cast("string").alias(c) for c in ("text", "before", "after")])
+    # Both frames grow from one end, so a row costs the same wherever it stands.
+    by = lambda order: Window.partitionBy("uid").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.col("kinds").isNull()
     both = raw.unionByName(marks).withColumns({
-        "_to": F.max(F.when(mark, F.col("stop"))).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_from": F.min(F.when(mark, F.col("start"))).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        "_to": F.max(F.when(mark, F.col("stop"))).over(by(F.col("start"))),
+        "_from": F.min(F.when(mark, F.col("start"))).over(by(F.col("start").desc())),
     })
     clear = (F.coalesce(F.col("_to"), F.lit(-1)) <= F.col("start")) & (F.col("_from").isNull() | (F.col("_from") >= F.col("stop")))
     return both.where(~mark & clear).drop("_to", "_from")
@@ -159,11 +189,7 @@ def _edge_words(text: Column) -> Column:
 
 def patterns(occurrences: DataFrame) -> DataFrame:
     """(instance, type, pattern, kinds): an edge for each pattern that an occurrence stands in, once."""
-    end = F.col("at") + F.length("text")
-    lead = F.least(F.col("at"), F.lit(AROUND)).cast("int")
-    left = _edge_words(F.concat(F.coalesce("before", F.lit("")), F.substring(F.col("run"), (F.col("at") - lead + 1).cast("int"), lead)))
-    right = _edge_words(F.concat(F.substring(F.col("run"), (end + 1).cast("int"), F.lit(AROUND)), F.coalesce("after", F.lit(""))))
-    rows = occurrences.select("kinds", "text", F.lower("text").alias("instance"), left.alias("l"), F.get(right, F.lit(0)).alias("r"))
+    rows = occurrences.select("kinds", "text", F.lower("text").alias("instance"), _edge_words(F.col("before")).alias("l"), F.get(_edge_words(F.col("after")), F.lit(0)).alias("r"))
     one, two = F.element_at(F.slice("l", -1, 1), 1), F.array_join(F.slice("l", -2, 2), " ")
     edges = F.array_compact(F.array(
         F.struct(F.lit("shape").alias("type"), shape(F.col("text")).alias("pattern")),
@@ -235,8 +261,12 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def counted(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op12_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [counted("base", at).alias(f"n_{name}") for at, name in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
