@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import materialize
+
 
 def sha256(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
@@ -44,10 +47,47 @@ def input_key(config: Column, inputs: Column, values: Column, upstreams: Column,
     return sha256(F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), c) for n, c in parts]), F.lit("}")))
 
 
-def ordered_hash(rows: DataFrame, by: list[str], order: list[str], item: Column) -> DataFrame:
-    """One digest of each group's items in order: of a group's handles, never of its rows' data."""
-    entries = F.array_sort(F.collect_list(F.struct(*order, item.alias("_i"))))
-    return rows.groupBy(*by).agg(sha256(F.array_join(F.transform(entries, lambda x: x["_i"]), "\n")).alias("fingerprint"), F.count("*").alias("members"))
+#: Members of a node of a digest tree.
+FAN = 1024
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rank``: each row's place in its group, from 0, without a group in one task.
+
+    Rows are dealt by ranges of (group, order); a row's place is its place in its part,
+    plus what the parts before it have of its group.
+    """
+    dealt = materialize(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
+    before = counts.select(F.col("_part").alias("_b"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], so_far.alias("_before"))
+    same = null_safe_equal([(F.col("_part"), F.col("_b")), *[(F.col(c), F.col(f"_b{i}")) for i, c in enumerate(by)]])
+    placed = dealt.join(before, same).select(*dealt.columns, "_before")
+    own = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
+    return placed.withColumn("rank", (F.col("_before") + own).cast("long")).drop("_before", "_part")
+
+
+def ordered_hash(rows: DataFrame, by: list[str], order: list[str], item: Column, fan: int = FAN) -> DataFrame:
+    """(*by, fingerprint, members): one digest of each group's items in order, as a tree.
+
+    ``fan`` items in a row make a leaf, ``fan`` digests in a row the node above, until a
+    group has one node. A row of any step holds ``fan`` digests at most, and a group's
+    leaves are made wherever its ranges lie. ``order`` places each item of a group;
+    items that it leaves tied are in order of their text.
+    """
+    items = rows.select(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], item.alias("_i"))
+    placed = ranked(items, by, [f"_o{i}" for i in range(len(order))] + ["_i"])
+    nodes = placed.select(*by, "rank", F.coalesce("_i", F.lit("")).alias("_i"), F.lit(1).cast("long").alias("_m"))
+    most = fan
+    at = F.floor(F.col("rank") / fan).cast("long")
+    fold = lambda frame, digest: frame.groupBy(*by, at.alias("_at")).agg(F.array_sort(F.collect_list(F.struct("rank", "_i"))).alias("_e"), F.sum("_m").alias("_m")).select(*by, F.col("_at").alias("rank"), digest.alias("_i"), "_m")
+    joined = sha256(F.array_join(F.transform("_e", lambda x: x["_i"]), "\n"))
+    nodes = materialize(fold(nodes, joined), "leaves")
+    largest = nodes.agg(F.max("rank")).first()[0]
+    while largest is not None and largest * fan >= most:  # a lone node is its group's digest already
+        nodes = fold(nodes, F.when(F.size("_e") == 1, F.get("_e", F.lit(0))["_i"]).otherwise(joined))
+        most *= fan
+    return nodes.select(*by, F.col("_i").alias("fingerprint"), F.col("_m").alias("members"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -55,9 +95,9 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.dropDuplicates(["name", "path"]).select("name", "path", "kind", "content_hash")
 
 
-def digest_view(files: DataFrame) -> DataFrame:
+def digest_view(files: DataFrame, fan: int = FAN) -> DataFrame:
     """What of a file enters a key: path, kind and content, never its stat."""
-    return ordered_hash(manifest(files), ["name"], ["path"], F.concat_ws("|", "path", "kind", "content_hash"))
+    return ordered_hash(manifest(files), ["name"], ["path"], F.concat_ws("|", "path", "kind", "content_hash"), fan)
 
 
 def stat_shortcut(listing: DataFrame, cache: DataFrame) -> DataFrame:
@@ -92,22 +132,59 @@ def _hashable(column: Column, kind: T.DataType) -> Column:
     return column
 
 
-def fingerprint_aggregates(df: DataFrame) -> list[Column]:
+def fast_hash(df: DataFrame, seed: int) -> Column:
+    """64 bits of a row; a mask of nulls is among what is hashed, so that swapped nulls show."""
+    columns = [_hashable(df[f.name], f.dataType) for f in df.schema.fields]
+    mask = F.concat(F.lit(""), *[F.when(df[f.name].isNull(), "1").otherwise("0") for f in df.schema.fields])
+    return F.xxhash64(F.lit(seed), mask, *columns)
+
+
+def exact_double(x: Column) -> Column:
+    """A double as sign, exponent and 52 bits of fraction: the same text in every engine."""
+    x = x.cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    low = F.pow(F.lit(2.0), guess.cast("double"))
+    # A logarithm may be off by one at a power of two; the quotient by one is exact.
+    exponent = guess + F.when(size / low < 1, -1).when(size / low >= 2, 1).otherwise(0)
+    fraction = ((size / F.pow(F.lit(2.0), exponent.cast("double")) - 1) * 2.0**52).cast("long")
+    text = F.concat(F.when(x < 0, "-").otherwise("+"), exponent.cast("string"), F.lit(":"), fraction.cast("string"))
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("+inf")).when(x == 0, "0").otherwise(text)
+
+
+def portable_hash(df: DataFrame, seed: int) -> Column:
+    """60 bits of the MD5 of a row's canonical text: what another engine can compute too.
+
+    Fields in order, each ``length:text``, null ``-``; doubles exact, times in microseconds.
+    """
+    texts = []
+    for f in df.schema.fields:
+        c = df[f.name]
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = exact_double(c)
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.unix_micros(c.cast("timestamp")).cast("string")
+        elif isinstance(f.dataType, T.AtomicType):
+            c = c.cast("string")
+        else:
+            raise TypeError(f"{f.name!r} has no portable text: {f.dataType.simpleString()}")
+        texts.append(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed};"), *texts)), 1, 15), 16, 10).cast("long")
+
+
+def fingerprint_aggregates(df: DataFrame, row_hash: Callable[[DataFrame, int], Column] = fast_hash) -> list[Column]:
     """n, a, b: a digest of the rows as a multiset, whatever their order or files.
 
-    Two seeded 64-bit hashes per row are summed as decimals, with a mask of nulls
-    among what is hashed, so that swapped nulls and repeated rows show. One pass,
+    Two seeded hashes per row are summed as decimals, so repeated rows show. One pass,
     partial sums only.
     """
-    columns = [_hashable(df[f.name], f.dataType) for f in df.schema.fields]
-    mask = F.concat(F.lit(""), *[F.when(df[f.name].isNull(), "1").otherwise("0") for f in df.schema.fields])
-    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), mask, *columns).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    total = lambda seed: F.coalesce(F.sum(row_hash(df, seed).cast("decimal(38,0)")), F.lit(0)).cast("string")
     return [F.count(F.lit(1)).alias("n"), total(17).alias("a"), total(42).alias("b")]
 
 
-def dataset_fingerprint(df: DataFrame) -> DataFrame:
+def dataset_fingerprint(df: DataFrame, row_hash: Callable[[DataFrame, int], Column] = fast_hash) -> DataFrame:
     """One row of :func:`fingerprint_aggregates`."""
-    return df.agg(*fingerprint_aggregates(df))
+    return df.agg(*fingerprint_aggregates(df, row_hash))
 
 
 def null_safe_equal(pairs: list[tuple[Column, Column]]) -> Column:

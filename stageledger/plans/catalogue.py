@@ -136,6 +136,20 @@ def _(s, d):
     return graph.levels(R.edges(s, d))
 
 
+@query(
+    "topo_levels_diamonds",
+    sql("edges", "dag") + ", walk(stage, level) as (select need, 0 from dag where need not in (select stage from dag) union select d.stage, w.level + 1 from walk w join dag d on d.need = w.stage) select stage, cast(max(level) as bigint) as level from walk group by stage",
+)
+def _(s, d):
+    return graph.levels(R.dag(s, d))
+
+
+@query("closure_diamonds", sql("edges", "dag") + ", reach(stage) as (select 's' || s_suppkey from supplier where s_suppkey % 50 = 0 union select d.stage from reach r join dag d on d.need = r.stage) select stage from reach")
+def _(s, d):
+    seeds = R.read(s, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("stage"))
+    return graph.closure(R.dag(s, d), seeds, up=False)
+
+
 @query("select_modes", sql("edges") + "select 'only' as mode, 'n3' as stage union all select 'upto', 'n3' union all select 'upto', need from edges where stage = 'n3' union all select 'downstream', 'n3' union all select 'downstream', stage from edges where need = 'n3'")
 def _(s, d):
     seed, edges = s.range(1).select(F.lit("n3").alias("stage")), R.edges(s, d)
@@ -204,19 +218,23 @@ def _(s, d):
     return keys.manifest(old.unionByName(old.where("path % 2 = 0")))
 
 
-@query("file_digest_view", sql("whole") + "select name, 'sha256:' || sha256(string_agg(path || '|' || kind || '|' || content_hash, chr(10) order by path)) as fingerprint, count(*) as members from whole_old group by name")
+#: Members of a node in the queries' digest trees, so few that small groups have several levels.
+_FAN = 16
+
+
+@query("file_digest_view", sql("whole") + R.tree("whole_old", "name", "path", "path || '|' || kind || '|' || content_hash"))
 def _(s, d):
-    return keys.digest_view(R.snapshot(s, d, False))
+    return keys.digest_view(R.snapshot(s, d, False), _FAN)
 
 
-@query("artifact_tree_hash", sql("whole") + "select name, 'sha256:' || sha256(string_agg(path || ':' || content_hash, chr(10) order by path)) as fingerprint, count(*) as members from whole_new group by name")
+@query("artifact_tree_hash", sql("whole") + R.tree("whole_new", "name", "path", "path || ':' || content_hash"))
 def _(s, d):
-    return keys.ordered_hash(R.snapshot(s, d, True), ["name"], ["path"], F.concat_ws(":", F.col("path").cast("string"), "content_hash"))
+    return keys.ordered_hash(R.snapshot(s, d, True), ["name"], ["path"], F.concat_ws(":", F.col("path").cast("string"), "content_hash"), _FAN)
 
 
-@query("materialization_hash", sql("items") + "select stage, 'sha256:' || sha256(string_agg(idx || '=' || content_hash, chr(10) order by idx)) as fingerprint, count(*) as members from items group by stage")
+@query("materialization_hash", sql("items") + R.tree("items", "stage", "idx", "idx || '=' || content_hash"))
 def _(s, d):
-    return keys.ordered_hash(R.items(s, d), ["stage"], ["index"], F.concat_ws("=", F.col("index").cast("string"), "content_hash"))
+    return keys.ordered_hash(R.items(s, d), ["stage"], ["index"], F.concat_ws("=", F.col("index").cast("string"), "content_hash"), _FAN)
 
 
 @query("component_diff", sql("man") + "select coalesce(o.name, n.name) as name, coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' else 'changed' end as change from man_old o full join man_new n on o.name = n.name and o.path = n.path where o.path is null or n.path is null or o.content_hash is distinct from n.content_hash")
@@ -482,7 +500,28 @@ def _(s, d):
     return batch.adopt(rows.where("index % 2 = 0").withColumn("origin", F.lit("current")), rows.withColumn("origin", F.lit("projected")), ["stage", "index"])
 
 
-@query("dataset_fingerprint")
+_EXACT = """case when {c} is null then '-' else length({x}) || ':' || {x} end"""
+
+
+def _double(c: str) -> str:
+    e = f"(floor(log2(abs({c}))) + case when abs({c}) / pow(2, floor(log2(abs({c})))) < 1 then -1 when abs({c}) / pow(2, floor(log2(abs({c})))) >= 2 then 1 else 0 end)"
+    return f"case when {c} = 0 then '0' else case when {c} < 0 then '-' else '+' end || cast({e} as bigint) || ':' || cast((abs({c}) / pow(2, {e}) - 1) * 4503599627370496 as bigint) end"
+
+
+def _fingerprint_sql() -> str:
+    texts = {c: f"{c}::varchar" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")} | {c: _double(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+    texts |= {c: c for c in ("l_returnflag", "l_linestatus")} | {"l_shipdate": "epoch_us(l_shipdate)::varchar"}
+    row = " || ".join(_EXACT.format(c=c, x=f"({x})") for c, x in texts.items())
+    total = lambda seed: f"cast(sum(cast('0x' || substr(md5('{seed};' || row), 1, 15) as bigint)) as varchar)"
+    return f"with rows as (select {row} as row from lineitem) select count(*) as n, {total(17)} as a, {total(42)} as b from rows"
+
+
+@query("dataset_fingerprint", _fingerprint_sql())
+def _(s, d):
+    return keys.dataset_fingerprint(R.read(s, d, "lineitem"), keys.portable_hash)
+
+
+@query("dataset_fingerprint_fast")
 def _(s, d):
-    """Beyond SQL: the hash is Spark's own."""
+    """Beyond SQL: the hash is Spark's own; what the engine takes of each artifact as it is written."""
     return keys.dataset_fingerprint(R.read(s, d, "lineitem"))

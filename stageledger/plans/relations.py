@@ -72,6 +72,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("position", F.lit(0).cast("long"))
 
 
+def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stage, need) with diamonds: orders need their customer and parts, parts their suppliers, both lead to a nation."""
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    parts = lines.select(key("o", "l_orderkey").alias("stage"), key("p", "l_partkey").alias("need"))
+    suppliers = lines.select(key("p", "l_partkey").alias("stage"), key("s", "l_suppkey").alias("need"))
+    customers = orders.select(key("o", "o_orderkey").alias("stage"), key("c", "o_custkey").alias("need"))
+    return edges(spark, sf_dir).select("stage", "need").unionByName(parts).unionByName(suppliers).unionByName(customers)
+
+
 def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other way round: a nation needs its suppliers and customers, by name."""
     e = edges(spark, sf_dir).select(F.col("need").alias("stage"), F.col("stage").alias("need"))
@@ -115,11 +125,20 @@ SQL = {
     "edges": """edges as (select 'n' || n_nationkey as stage, 'r' || n_regionkey as need from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier
       union all select 'c' || c_custkey, 'n' || c_nationkey from customer),
     back as (select need as stage, stage as need, row_number() over (partition by need order by stage) - 1 as position from edges)""",
+    "dag": """dag as (select stage, need from edges union select 'o' || l_orderkey, 'p' || l_partkey from lineitem union select 'p' || l_partkey, 's' || l_suppkey from lineitem
+      union select 'o' || o_orderkey, 'c' || o_custkey from orders)""",
     "lbl": """lbl as (select d.doc_id, cast(floor(d.doc_id / 3) as bigint) as base, n_chars, case quality when 1 then 'reuse' when 0 then 'invalidate' end as decision,
       case when n_chars % 2 = 1 then 'changed' else 'current' end as relationship from documents d left join labels l on d.doc_id = l.doc_id)""",
     "flags": "flags as (select doc_id, " + ", ".join(f"(doc_id >> {i}) % 2 = 1 as {n}" for i, n in enumerate(["failed", "attempted", "partial", "success", "key_match", "missing", "mismatch"])) + ", 'config: f' || (doc_id % 3) as reason from documents)",
 }
 
 
+def tree(source: str, by: str, order: str, item: str) -> str:
+    """A digest tree of fan 16 over ``source``, four levels: groups of at most 65536 members."""
+    level = """, t{k} as (select {by}, at >> 4 as at, case when count(*) = 1 and {k} > 1 then min(h) else 'sha256:' || sha256(string_agg(h, chr(10) order by at)) end as h, sum(m) as m from t{j} group by {by}, at >> 4)"""
+    leaves = f", t0 as (select {by}, row_number() over (partition by {by} order by {order}) - 1 as at, {item} as h, 1 as m from {source})"
+    return leaves + "".join(level.format(k=k, j=k - 1, by=by) for k in range(1, 5)) + f" select {by}, h as fingerprint, cast(m as bigint) as members from t4"
+
+
 def sql(*names: str) -> str:
     return "with recursive " + ", ".join(SQL[n] for n in names) + " "

@@ -1,9 +1,13 @@
-"""Written tables in the folder that driver and executors share: how lineage is cut."""
+"""Written tables in the folder that driver and executors share: how lineage is cut; code for executors."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +59,20 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stageledger_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="stageledger-code-")
+    target = os.path.join(folder, "stageledger_code.zip")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    Path(target).write_bytes(buffer.getvalue())
+    sc.addPyFile(target)
+    sc._stageledger_shipped = True

@@ -93,3 +93,97 @@ def test_cycles(spark):
     assert {r.stage for r in graph.closure(edges, spark.createDataFrame([("a",)], "stage string")).collect()} == {"a", "b", "c"}
     with pytest.raises(ValueError, match="cycle"):
         graph.levels(spark.createDataFrame([("a", "root"), ("a", "b"), ("b", "a")], "stage string, need string"))
+
+
+@pytest.mark.parametrize("block", [500_000, 40])
+def test_levels_and_closures_by_blocks(spark, monkeypatch, block):
+    """Deep and dense graphs, in one block and in many, against plain Python."""
+    monkeypatch.setattr(graph, "BLOCK", block)
+    n = 1000 if block > 100 else 100
+    edges = [(f"c{i + 1:04d}", f"c{i:04d}") for i in range(n)] + [(f"d{i:02d}", f"d{j:02d}") for i in range(16) for j in range(i)]
+    edges += [("d03", f"c{n:04d}"), ("w", "c0003"), ("w", "c0003"), ("w", "d05"), (None, "c0001"), ("c0001", None), ("e1", "w"), ("e2", "e1")]
+    needs = {}
+    for s, u in edges:
+        if s and u:
+            needs.setdefault(s, set()).add(u)
+    level = {}
+    for s in [f"c{i:04d}" for i in range(n + 1)] + [f"d{i:02d}" for i in range(16)] + ["w", "e1", "e2"]:
+        level[s] = 1 + max((level[u] for u in needs.get(s, ())), default=-1)
+    df = spark.createDataFrame(edges, "stage string, need string")
+    assert dict(map(tuple, graph.levels(df).collect())) == level
+    found, stack = {"e1"}, ["e1"]
+    while stack:
+        for u in needs.get(stack.pop(), ()):
+            if u not in found:
+                found.add(u)
+                stack.append(u)
+    assert sorted(r.stage for r in graph.closure(df, spark.createDataFrame([("e1",), (None,)], "stage string")).collect()) == sorted(found)
+
+
+def test_dense_graph(spark):
+    edges = spark.createDataFrame([(f"s{i}", f"s{j}") for i in range(300) for j in range(i)], "stage string, need string")
+    assert dict(map(tuple, graph.levels(edges).collect())) == {f"s{i}": i for i in range(300)}
+
+
+@pytest.mark.parametrize("block", [500_000, 2])
+@pytest.mark.parametrize("cycle", [[("a", "b"), ("b", "a"), ("x", "r")], [("a", "b"), ("b", "c"), ("c", "a")], [("a", "a")], [("a", "b"), ("b", "c"), ("c", "a"), ("a", "r"), ("b", "r"), ("c", "r"), ("z", "a")]])
+def test_cycles_are_named(spark, monkeypatch, block, cycle):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    with pytest.raises(ValueError, match="cycle.*: .*a"):
+        graph.levels(spark.createDataFrame(cycle, "stage string, need string"))
+
+
+def test_no_edges(spark):
+    none = spark.createDataFrame([], "stage string, need string")
+    assert graph.levels(none).collect() == [] and graph.closure(none, none).collect() == []
+
+
+def plain_tree(items, fan):
+    import hashlib
+
+    digest = lambda part: "sha256:" + hashlib.sha256("\n".join(part).encode()).hexdigest()
+    nodes = [digest(items[i : i + fan]) for i in range(0, len(items), fan)]
+    while len(nodes) > 1:
+        nodes = [p[0] if len(p) == 1 else digest(p) for p in (nodes[i : i + fan] for i in range(0, len(nodes), fan))]
+    return nodes[0]
+
+
+def test_digest_tree(spark):
+    groups = {"one": 1, "full": 8, "more": 9, "many": 700, None: 5}
+    rows = [(g, i, f"item {i}" if i % 5 else None) for g, n in groups.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, item string").repartition(6)
+    got = {r.g: (r.fingerprint, r.members) for r in keys.ordered_hash(df, ["g"], ["k"], F.col("item"), 8).collect()}
+    assert got == {g: (plain_tree([f"item {i}" if i % 5 else "" for i in range(n)], 8), n) for g, n in groups.items()}
+
+
+def test_digest_tree_of_a_large_group(spark):
+    """A million members of one group; no row ever holds more than a node's digests."""
+    df = spark.range(1_000_000).select(F.lit("g").alias("g"), F.col("id").alias("k"))
+    row = keys.ordered_hash(df, ["g"], ["k"], F.col("k").cast("string")).first()
+    assert (row.fingerprint, row.members) == (plain_tree([str(i) for i in range(1_000_000)], 1024), 1_000_000)
+
+
+def test_portable_doubles(spark):
+    import math
+    import random
+
+    rng = random.Random(9)
+    values = [0.0, -0.0, 1.0, -1.0, 0.1, 2.0**52, 2.0**-1022, 5e-324, 1.7976931348623157e308, math.inf, -math.inf, math.nan, None]
+    values += [rng.choice([-1, 1]) * math.ldexp(rng.random(), rng.randint(-1000, 1000)) for _ in range(200)] + [math.nextafter(2.0**k, 0) for k in range(-1000, 1000, 37)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", keys.exact_double(F.col("x")).alias("t")).collect()
+    for r in got:
+        if r.x is None or r.x != r.x or math.isinf(r.x) or r.x == 0:
+            assert r.t == (None if r.x is None else "nan" if r.x != r.x else "0" if r.x == 0 else "+inf" if r.x > 0 else "-inf")
+        else:
+            sign, e, bits = r.t[0], *map(int, r.t[1:].split(":"))
+            assert (1 + bits / 2**52) * 2.0**e * (-1 if sign == "-" else 1) == r.x if e > -1023 else True
+    assert len({r.t for r in got}) == len({str(v) if v else "0" if v is not None else None for v in values})
+
+
+def test_portable_fingerprint(spark):
+    one = spark.createDataFrame([(1, None, 2.5), (None, "a", None), (1, None, 2.5)], "x long, y string, z double")
+    swapped = spark.createDataFrame([(1, "a", 2.5), (None, None, None), (1, None, 2.5)], "x long, y string, z double")
+    take = lambda df: tuple(keys.dataset_fingerprint(df, keys.portable_hash).first())
+    assert take(one) == take(one.repartition(3)) != take(swapped) and take(one)[1:] != take(one.distinct())[1:]
+    with pytest.raises(TypeError, match="portable"):
+        keys.portable_hash(spark.range(1).select(F.array("id").alias("a")), 1)
