@@ -1,19 +1,13 @@
-"""Shared plumbing: tables, code shipping, partition counts."""
+"""Shared plumbing: tables, names, partition counts."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import discard, fresh_path, materialize, shared_dir
+from ..sources.tables import discard, fresh_path, materialize, shared_dir, ship
 
-__all__ = ["discard", "fresh_path", "materialize", "shared_dir"]
+__all__ = ["discard", "fresh_path", "materialize", "shared_dir", "ship"]
 
 #: The white space that separates words in every contract of this package.
 SPACE = "\\x20\\x09-\\x0D"
@@ -23,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_stageledger_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="stageledger-code-")
-    target = os.path.join(folder, "stageledger_code.zip")
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    Path(target).write_bytes(buffer.getvalue())
-    sc.addPyFile(target)
-    sc._stageledger_shipped = True
-
-
 def free_name(name: str, df: DataFrame) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
