@@ -135,8 +135,8 @@ SQL = {
 
 def tree(source: str, by: str, order: str, item: str) -> str:
     """A digest tree of fan 16 over ``source``, four levels: groups of at most 65536 members."""
-    level = """, t{k} as (select {by}, at >> 4 as at, case when count(*) = 1 and {k} > 1 then min(h) else 'sha256:' || sha256(string_agg(h, chr(10) order by at)) end as h, sum(m) as m from t{j} group by {by}, at >> 4)"""
-    leaves = f", t0 as (select {by}, row_number() over (partition by {by} order by {order}) - 1 as at, {item} as h, 1 as m from {source})"
+    level = """, t{k} as (select {by}, place >> 4 as place, case when count(*) = 1 and {k} > 1 then min(h) else 'sha256:' || sha256(string_agg(h, chr(10) order by place)) end as h, sum(m) as m from t{j} group by {by}, place >> 4)"""
+    leaves = f", t0 as (select {by}, row_number() over (partition by {by} order by {order}) - 1 as place, {item} as h, 1 as m from {source})"
     return leaves + "".join(level.format(k=k, j=k - 1, by=by) for k in range(1, 5)) + f" select {by}, h as fingerprint, cast(m as bigint) as members from t4"
 
 
