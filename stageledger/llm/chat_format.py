@@ -11,7 +11,8 @@ participants of the conversation, which is what the renderings hold.
 Defined cases: rows repeated with equal conv_id, turn, role and text count once;
 a null turn sorts before all others (as -1); a null role is ``unknown``, a null text
 empty; a null conv_id is a conversation of its own; turns of one number are ordered
-by role, then by the text's MD5; ``<|`` in a text becomes ``< |`` so that no text can end a turn;
+by role, then by the text's MD5; ``<|`` in a text or a role becomes ``< |``, and a line's end in a
+role a space, so that neither can end a turn or open one (roles that are the same after it are one);
 roles in ``NOT_SPEAKERS`` are rendered under their own name for everybody and get no
 perspective; other columns are not read.
 """
@@ -33,7 +34,7 @@ def turns(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("speaker"),
+        F.translate(F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("< |")), "\n\r", "  ").alias("speaker"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     ).distinct()
 
@@ -97,7 +98,7 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 with own as (
-  select distinct cast(conv_id as bigint) conv_id, coalesce(cast(turn as bigint), -1) turn, coalesce(role, 'unknown') speaker,
+  select distinct cast(conv_id as bigint) conv_id, coalesce(cast(turn as bigint), -1) turn, translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10) || chr(13), '  ') speaker,
     replace(coalesce(text, ''), '<|', '< |') txt
   from conversations
 ), speakers as (

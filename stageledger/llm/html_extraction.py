@@ -56,6 +56,8 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 BOILER_NAMES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside widget ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup comment comments disqus respond reply replies share sharing social related recommended breadcrumb breadcrumbs pagination pager login search toolbar copyright".split()
 )
+#: A class with one of these says what a page has or lacks, not what the element is.
+QUALIFIERS = frozenset("has no with without is".split())
 #: Elements of an article's own running text, where they have no class or id.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ARTICLE_NAMES = frozenset("article post entry story content main body text".split())
@@ -73,6 +75,12 @@ class Node:
     path: str
     boiler: bool = False
     article: bool = False
+    #: Numbers of the elements above, itself among them, that are boilerplate by name only.
+    named: tuple[int, ...] = ()
+    #: Whether an element above, or itself, is boilerplate by what it is.
+    hard: bool = False
+    #: Whether it is an article's own element.
+    root: bool = False
 
 
 @dataclass
@@ -89,27 +97,53 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _role(tag: str, attributes: dict[str, str], inside: bool) -> tuple[bool, bool, str]:
-    """(boilerplate, article, name for the path) of an element; ``inside``: within an article."""
+def _role(tag: str, attributes: dict[str, str], inside: bool, spared: bool) -> tuple[bool, bool, bool, str]:
+    """(boilerplate by kind, by name, article, name for the path) of an element.
+
+    ``inside``: within an article; ``spared``: its names don't count.
+    """
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = set(_NAME.findall(_CAMEL.sub(r"\1 \2", names).lower()))
+    words = {w for token in _CAMEL.sub(r"\1 \2", names).lower().split() if not (own := set(_NAME.findall(token))) & QUALIFIERS for w in own}
     role = attributes.get("role", "").lower()
     article = tag in ("article", "main") or role in ("main", "article")
-    boiler = tag in BOILER_TAGS or role in BOILER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-    if tag not in ("html", "body", "main") and words & BOILER_NAMES:
-        boiler = boiler or tag == "article" or not words & ARTICLE_NAMES
-    if inside and boiler and (tag == "header" or "header" in words and not words & (BOILER_NAMES - {"header"})) and role not in BOILER_ROLES:
-        boiler = False  # an article's own heading
+    hard = tag in BOILER_TAGS - {"form"} or role in BOILER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+    named = tag == "form" or tag not in ("html", "body", "main") and bool(words & BOILER_NAMES) and (tag == "article" or not words & ARTICLE_NAMES)
+    named = named and not spared
+    if inside and (hard or named) and (tag == "header" or "header" in words and not words & (BOILER_NAMES - {"header"})) and role not in BOILER_ROLES:
+        hard = named = False  # an article's own heading
     kind = re.sub(r"\d+", "0", ".".join(sorted(names.split()))).replace("/", "\\")
     if len(kind) > 60:
         kind = f"{kind[:60]}~{_hash(kind):x}"
     # The verdicts are part of the name, so that all elements at one path have the same.
-    return boiler, article, "-" * boiler + "+" * article + (f"{tag}.{kind}" if kind else tag)
+    return hard, named, article, "-" * (hard or named) + "+" * article + (f"{tag}.{kind}" if kind else tag)
+
+
+def _to_spare(items: list[tuple[Node, str, bool]]) -> frozenset[int]:
+    """Elements whose names would blank the whole page: around all of its articles, or around all of its text."""
+    roots = [node for node, _, opens in items if opens and node.root]
+    if roots:
+        if any(not node.boiler for node in roots):
+            return frozenset()
+        return frozenset(x for node in roots if not node.hard for x in node.named)
+    texts = [node for node, text, opens in items if not opens and text.strip()]
+    wraps = {node.named[0] if node.named and not node.hard else None for node in texts if not node.hard}
+    prose = any(node.tag in PROSE for node in texts if not node.hard)
+    return frozenset(wraps) if len(wraps) == 1 and None not in wraps and prose else frozenset()
+
+
+def segments(html: str | None) -> list[tuple[Node, str, bool]]:
+    """(node, text, break before it) in page order; also (node, '', True) when an element opens.
+
+    A name is a hint: where names alone leave nothing of a page's articles, or of a page
+    without articles, the elements that bear them are read again without.
+    """
+    items = list(_walk(html, frozenset()))
+    spared = _to_spare(items)
+    return list(_walk(html, spared)) if spared else items
 
 
-def segments(html: str | None) -> Iterator[tuple[Node | None, str, bool]]:
-    """(node, text, break before it) in page order; also (node, '', True) when an element opens."""
-    html = html or ""
+def _walk(html: str | None, spared: frozenset[int]) -> Iterator[tuple[Node, str, bool]]:
+    html, number = html or "", 0
     root = Node("", "")
     stack = [root]
     at, n = 0, len(html)
@@ -173,11 +207,14 @@ def segments(html: str | None) -> Iterator[tuple[Node | None, str, bool]]:
                     break
         top = stack[-1]
         if tag in INLINE and "=" not in m[3]:
-            node = Node(tag, top.path, top.boiler, top.article)
+            node = Node(tag, top.path, top.boiler, top.article, top.named, top.hard)
         else:
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])}
-            boiler, article, name = _role(tag, attributes, top.article)
-            node = Node(tag, top.path if tag in INLINE and not boiler and not article else f"{top.path}/{name}", top.boiler or boiler, top.article or article and not boiler)
+            number += 1
+            hard, named, article, name = _role(tag, attributes, top.article, number in spared)
+            boiler = hard or named
+            path = top.path if tag in INLINE and not boiler and not article else f"{top.path}/{name}"
+            node = Node(tag, path, top.boiler or boiler, top.article or article and not boiler, top.named + (number,) * named, top.hard or hard, article)
         if tag not in INLINE:
             yield node, "", True
         if tag not in VOID and not m[3].endswith("/"):

@@ -1,3 +1,5 @@
+import pytest
+
 from stageledger.llm import html_extraction as hx
 
 PAGE = '<html><head><title>T</title><script>x("<p>")</script></head><body><nav><a href="/">m{i}</a></nav><div class="ad">buy {i}</div><article><h1>Head {i}</h1><p>One &amp; <b>two</b>three<br>four<p>five  \n six<div class="comments">no {i}</div></article><footer>&copy; {i}</footer>'
@@ -52,3 +54,22 @@ def test_copies_of_a_page_count_once(spark):
     same = "<body><nav>menu {i}</nav><p>The whole text</p></body>"
     rows = [(i, f"http://h.example/{i}", same.replace("{i}", str(i))) for i in range(4)] + [(9, "http://a", same)] * 3
     assert texts(spark, rows) == {i: "The whole text" for i in (0, 1, 2, 3, 9)}
+
+
+STORY = "<h1>The harbour</h1><p>Boats came in at dawn, and the market opened.</p>"
+WRAPPERS = ["site has-sidebar", "layout no-sidebar", "social-science", "page-with-menu", "search-page", "cookies-recipe"]
+
+
+@pytest.mark.parametrize("body", [f'<div class="{w}"><article>{STORY}</article></div>' for w in WRAPPERS] + [f'<form id="aspnetForm"><article>{STORY}</article></form>', f'<article class="related-story">{STORY}</article>', f'<div class="social-science"><div>{STORY}</div></div>', f'<div class="site has-sidebar"><div>{STORY}</div></div>'])
+def test_a_name_never_blanks_a_page(body):
+    page = f'<body><nav>Menu one two</nav>{body.replace("</h1>", "</h1><div class=share-buttons>Share this</div>")}<footer>Imprint</footer></body>'
+    kept = {p for p, b in hx.branches(page).items() if not b.boiler}
+    assert hx.extract(page, kept) == "The harbour Boats came in at dawn, and the market opened."
+
+
+def test_names_still_judge_what_is_beside_an_article():
+    page = f'<body><div class="sidebar"><article class="teaser">Other news</article><p>More</p></div><article>{STORY}</article><div class="social-links">Follow</div><form>Mail <input></form></body>'
+    kept = {p for p, b in hx.branches(page).items() if not b.boiler}
+    assert hx.extract(page, kept) == "The harbour Boats came in at dawn, and the market opened."
+    for bare in ('<div class="menu">Home Shop</div><div class="footer">Imprint</div>', '<div class="menu">Home Shop</div>', f'<div hidden><article>{STORY}</article></div>'):
+        assert hx.extract(bare, {p for p, b in hx.branches(bare).items() if not b.boiler}) == ""
