@@ -32,17 +32,23 @@ def _top(config: Any) -> dict[str, Any]:
     return dict(config or {})
 
 
+def _itself(config: Any) -> Any:
+    return config
+
+
 class RecordingConfig:
     """Attribute and item access by top-level field.
 
     What can't be told apart latches all fields: a name that is no field (it may become
-    one), ``__dict__``, methods of the mapping, iteration, length, membership, equality,
-    text, copies and pickles.
+    one), ``__dict__``, methods and properties of the config, iteration, length,
+    membership, equality, text, copies and pickles. All of these are the config's own: a
+    typed one keeps its methods, and a copy or pickle of it is of its type.
     """
 
-    __slots__ = ("_data", "_read")  # no instance dict, so that ``__dict__`` comes by __getattr__
+    __slots__ = ("_config", "_data", "_read")  # no instance dict, so that ``__dict__`` comes by __getattr__
 
     def __init__(self, config: Any):
+        object.__setattr__(self, "_config", config if dataclasses.is_dataclass(config) else dict(config or {}))
         object.__setattr__(self, "_data", _top(config))
         object.__setattr__(self, "_read", set())
 
@@ -50,7 +56,7 @@ class RecordingConfig:
         if name in self._data:
             return self[name]
         data = dict(self._all())
-        return data if name == "__dict__" else getattr(data, name)
+        return data if name == "__dict__" else getattr(self._config, name)
 
     def __getitem__(self, name: str) -> Any:
         if name not in self._data:
@@ -76,15 +82,18 @@ class RecordingConfig:
         return name in self._all()
 
     def __eq__(self, other: object) -> bool:
-        return self._all() == other
+        other = other._config if isinstance(other, RecordingConfig) else other
+        return self._all() == other or self._config == other
 
     __hash__ = None
 
     def __repr__(self) -> str:
-        return repr(self._all())
+        self._all()
+        return repr(self._config)
 
     def __reduce_ex__(self, protocol: int):
-        return dict, (self._all(),)
+        self._all()
+        return _itself, (self._config,)
 
     def recorded(self) -> list[str] | None:
         """Fields read so far, sorted; None for all."""

@@ -50,14 +50,18 @@ def overlay(status: Column, reason: Column, forced: Column, invalidated: Column,
     )
 
 
-def first_difference(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(stage, reason) from (stage, kind, name, value) of both sides: by priority, then name."""
+def first_difference(old: DataFrame, new: DataFrame, text: Column | None = None) -> DataFrame:
+    """(stage, reason) from (stage, kind, name, value) of both sides: by priority, then name.
+
+    ``text`` words it, over kind, name and the values ``_o`` and ``_n``.
+    """
     rank = F.lit(len(PRIORITY))
     for i, kind in enumerate(PRIORITY):
         rank = F.when(F.col("kind") == kind, i).otherwise(rank)
     a = old.select("stage", "kind", "name", F.col("value").alias("_o"))
     b = new.select("stage", "kind", "name", F.col("value").alias("_n"))
-    text = F.concat(F.col("kind"), F.lit(": "), F.col("name"), F.lit(" "), F.coalesce("_o", F.lit("absent")), F.lit(" -> "), F.coalesce("_n", F.lit("absent")))
+    if text is None:
+        text = F.concat(F.col("kind"), F.lit(": "), F.col("name"), F.lit(" "), F.coalesce("_o", F.lit("absent")), F.lit(" -> "), F.coalesce("_n", F.lit("absent")))
     differs = a.join(b, ["stage", "kind", "name"], "full_outer").where("not (_o <=> _n)")
     return differs.groupBy("stage").agg(F.min(F.struct(rank.alias("p"), "name", text.alias("t"))).alias("f")).select("stage", F.col("f.t").alias("reason"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +35,20 @@ def overview(spark: SparkSession, engines: Iterable[Engine]) -> DataFrame:
 def run_all(engines: Iterable[Engine]) -> int:
     """Run stores that are neither complete, nor wait for a review, nor can't be evaluated.
 
-    0: all are complete afterwards; 2: only reviews are pending; else 1.
+    0: all are complete afterwards; 2: only reviews are pending; else 1, also without a
+    store. What stops a store is warned of, and the next one still runs.
     """
+    engines = list(engines)
+    if not engines:
+        return 1
     statuses: set[str] = set()
     for e in engines:
         before = {p["status"] for p in e.probe()}
         if before != {"hit"} and not before & {"needs-review", "error"}:
             try:
                 e.run()
-            except Exception:  # its failure is recorded; the next store still runs
-                pass
+            except Exception as x:
+                warnings.warn(f"{e.store.root}: {type(x).__name__}: {x}", stacklevel=2)
         statuses |= {p["status"] for p in e.probe()}
     left = statuses - {"hit"}
     return 0 if not left else 2 if left == {"needs-review"} else 1

@@ -1,7 +1,8 @@
 """Probe, run, review and clean one output root.
 
 No key depends on another stage's decision, only on what is recorded and stored, so
-a probe gathers its flags on the driver and decides all stages in one Spark plan.
+a probe lays down relations and keys and decides all stages in one Spark plan
+(``stageledger.plans.probe``).
 Execution is serial; each artifact goes to a fresh folder, and its record flips last.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import json
 import time
 import warnings
 from collections.abc import Iterable
@@ -23,11 +25,9 @@ from pyspark.sql import functions as F
 from ..api import Dependencies, Graph, Pipeline, Stage
 from ..functions import config_access, source_code, typed
 from ..functions.config_access import RecordingConfig
-from ..operators import batch, decide, keys, rollup
+from ..operators import batch, keys, rollup
 from ..sources.store import Store, canonical, digest, input_entries, listing
-
-FLAGS = "stage string, base string, failed boolean, attempted boolean, partial boolean, success boolean, key_match boolean, missing boolean, mismatch boolean, reason string, baseline string, review string, decision string, error string, orphan boolean, elapsed double, ord long"
-
+from . import probe
 
 class PendingReview(RuntimeError):
     """Source changes that need a decision: reuse or invalidate."""
@@ -131,34 +131,28 @@ def _current(spark: SparkSession, artifact: dict[str, Any], rehash: bool) -> str
         return "unreadable"
 
 
-def root_fingerprint(fingerprints: list[tuple[str, str]]) -> str:
-    return digest([[i, n, f] for i, (n, f) in enumerate(fingerprints)])
-
-
 class Snapshot:
-    """What one session of probes has read: each record, artifact, source and input once.
+    """What one session of probes has read: each record, checkpoint, artifact, source and input once.
 
     A stage that ran is read anew, nothing else is.
     """
 
     def __init__(self, engine: "Engine", rehash: bool = False):
         self.engine, self.rehash = engine, rehash
-        self.observed: dict[str, tuple[str, str]] = {}
-        self.inputs: dict[str, Any] = {}
+        self.bases: dict[str, dict[str, Any]] = {}
         self.sources = source_code.Sources()
         self.records: dict[str, dict[str, Any] | None] = {}
-        self.now: dict[str, list[str | None]] = {}
-        self.roots: dict[str, str] = {}
+        self.partial: dict[str, dict[str, dict[int, dict[str, Any]]]] = {}
+        self.now: dict[str, str | None] = {}
         for n in engine.graph.order:
             self.read(n)
 
     def read(self, n: str) -> None:
-        r = self.records[n] = self.engine.store.read("stages", n)
-        self.now.pop(n, None)
-        self.roots.pop(n, None)
-        if r:
-            self.now[n] = [_current(self.engine.spark, a, self.rehash) for a in r["artifacts"]]
-            self.roots[n] = root_fingerprint([(a["name"], c or a["fingerprint"]) for a, c in zip(r["artifacts"], self.now[n], strict=True)])
+        store = self.engine.store
+        r = self.records[n] = store.read("stages", n)
+        self.partial[n] = store.partials(n) if self.engine.graph.stages[n].kind == "batch" else {}
+        for a in [*(r["artifacts"] if r else []), *(a for found in self.partial[n].values() for x in found.values() for a in x["artifacts"])]:
+            self.now[a["path"]] = _current(self.engine.spark, a, self.rehash)
 
 
 class Engine:
@@ -179,46 +173,48 @@ class Engine:
     def _dependencies(self, s: Stage) -> Dependencies:
         return self.graph.pipeline.depends.merged(s.depends)
 
-    def _observed(self, snapshot: Snapshot, s: Stage) -> tuple[str, str]:
-        if s.base not in snapshot.observed:  # cells share their callable
-            d = self._dependencies(s)
-            snapshot.observed[s.base] = source_code.observe(s.func, self._staged, d.sources, d.review_sources, snapshot.sources)
-        return snapshot.observed[s.base]
-
-    def _parts(self, s: Stage, access: list[str] | None, rerun: str, roots: dict[str, str], inputs_memo: dict) -> dict[str, Any]:
-        d, call = self._dependencies(s), lambda v: v(self.config) if callable(v) else v
-        inputs = {}
-        for name, value in d.inputs.items():
-            value = call(value)
-            found = []
-            for path in dict.fromkeys(map(str, value if isinstance(value, (list, tuple)) else [value])):
-                if path not in inputs_memo:
-                    inputs_memo[path] = input_entries(path, self._stamps)
-                found.append([path, inputs_memo[path]])
-            inputs[name] = sorted(found)
-        fan = any(len(c) > 1 for _, c in s.need_cells)
-        upstreams = {n: ({"fingerprint": roots[n], "position": str(i)} if fan else {"fingerprint": roots[n]}) for _, cells in s.need_cells for i, n in enumerate(cells)}
-        values = {n: call(v) for n, v in d.values.items()} | ({"matrix-layout": "1"} if s.cell else {})
-        return {"config": config_access.project(config_access.as_dict(self.config), access), "inputs": inputs, "values": values, "upstreams": upstreams, "source": rerun}
-
-    @staticmethod
-    def _flat(parts: dict[str, Any]) -> list[tuple[str, str, str]]:
-        rows = [("source", "code", parts["source"])]
-        for kind, name in (("config", "config"), ("value", "values"), ("input", "inputs"), ("upstream", "upstreams")):
-            rows += [(kind, k, canonical(v)) for k, v in parts[name].items()]
-        return rows
-
-    def _reason(self, old: dict[str, Any], new: dict[str, Any]) -> str:
-        """First difference by priority, then name."""
-        a, b = ({(k, n): v for k, n, v in self._flat(x)} for x in (old, new))
-        changed = [(decide.PRIORITY.index(k), n, k) for k, n in a.keys() | b.keys() if a.get((k, n)) != b.get((k, n))]
-        if not changed:
-            return "key changed"
-        _, name, kind = min(changed)
-        if kind == "upstream":
-            return f"upstream '{name}' changed"
-        short = lambda v: "absent" if v is None else v[:40]
-        return f"{kind}: {name} {short(a.get((kind, name)))} -> {short(b.get((kind, name)))}"
+    def _base(self, snapshot: Snapshot, s: Stage, inputs_memo: dict | None = None) -> dict[str, Any]:
+        """What the cells of a base share: source fingerprints, config fields, inputs, values, as JSON; or what went wrong."""
+        out: dict[str, Any] = {"rerun": None, "review": None, "config": {}, "inputs": {}, "values": {}, "error": None}
+        try:
+            d, call = self._dependencies(s), lambda v: v(self.config) if callable(v) else v
+            out["rerun"], out["review"] = source_code.observe(s.func, self._staged, d.sources, d.review_sources, snapshot.sources)
+            memo = {} if inputs_memo is None else inputs_memo
+            for name, value in d.inputs.items():
+                value, found = call(value), []
+                for path in dict.fromkeys(map(str, value if isinstance(value, (list, tuple)) else [value])):
+                    if path not in memo:
+                        memo[path] = input_entries(path, self._stamps)
+                    found.append([path, memo[path]])
+                out["inputs"][name] = canonical(sorted(found))
+            values = {n: call(v) for n, v in d.values.items()} | ({"matrix-layout": "1"} if s.cell else {})
+            out["values"] = {n: canonical(v) for n, v in values.items()}
+            out["config"] = {n: canonical(v) for n, v in config_access.as_dict(self.config).items()}
+        except Exception as e:
+            out["error"] = f"{type(e).__name__}: {e}"
+        return out
+
+    def _state(self, n: str, at: int, snapshot: Snapshot, shared: dict[str, Any]) -> tuple:
+        s, r = self.graph.stages[n], snapshot.records[n] or {}
+        attempt, failure = self.store.read("attempts", n) or {}, self.store.read("failures", n) or {}
+        decided = self.store.read("reviews", s.base) or {}
+        return (
+            n, s.base, s.kind, at, shared["rerun"], shared["review"], shared["error"], not r and self.store.outdated("stages", n), shared["config"], shared["inputs"], shared["values"],
+            bool(r), r.get("key"), r.get("access"), r.get("rerun"), r.get("review"), r.get("elapsed"),
+            attempt.get("key"), attempt.get("review"), failure.get("key"), failure.get("review"), decided.get("decision"), decided.get("review"),
+        )
+
+    def _around(self, names: list[str], snapshot: Snapshot) -> tuple[DataFrame, DataFrame]:
+        """(needs, artifacts): of these stages and what they need."""
+        needs, near = {}, dict.fromkeys(names)
+        for n in names:
+            s = self.graph.stages[n]
+            fan = any(len(c) > 1 for _, c in s.need_cells)
+            needs |= {(n, u): i if fan else None for _, cells in s.need_cells for i, u in enumerate(cells)}
+            near |= dict.fromkeys(s.concrete_needs)
+        known = [(n, r) for n in near if (r := snapshot.records[n])]
+        rows = [(n, probe.MARK, "", "", "") for n, _ in known] + [(n, i, a["name"], a["fingerprint"], snapshot.now[a["path"]]) for n, r in known for i, a in enumerate(r["artifacts"])]
+        return probe.relation(self.spark, [(*k, i) for k, i in needs.items()], probe.NEEDS), probe.relation(self.spark, rows, probe.ARTIFACTS)
 
     # Probe
 
@@ -227,75 +223,41 @@ class Engine:
         snapshot = snapshot or Snapshot(self, rehash)
         only = None if stages is None else set(stages)
         wanted = [n for n in self.graph.order if only is None or n in only]
-        rows, extra = [], {}
+        rows, memo = [], {}
         for at, n in enumerate(wanted):
-            row, extra[n] = self._flags(n, snapshot)
-            rows.append((*row, at))
-        return [x | extra[x["stage"]] for x in map(lambda row: row.asDict(), self._decided(rows, force).orderBy("ord").collect())]
-
-    def _flags(self, n: str, snapshot: Snapshot) -> tuple[tuple, dict[str, Any]]:
-        """What a stage's decision is made of, and what its execution needs."""
-        s, r, error, reason, key, parts, rerun, review = self.graph.stages[n], snapshot.records[n], None, "no-cache", None, None, None, None
-        failure, attempt = self.store.read("failures", n), self.store.read("attempts", n)
-        if not r and self.store.outdated("stages", n):
-            reason = "schema-migration"
-        orphan, partial = any(u not in snapshot.roots for u in s.concrete_needs), {}
-        try:
-            rerun, review = self._observed(snapshot, s)
-            if not orphan:
-                access = r["access"] if r and r["rerun"] == rerun else None
-                parts = self._parts(s, access, rerun, snapshot.roots, snapshot.inputs)
-                key = digest(parts)
-                if s.kind == "batch":
-                    partial = self._valid_partial(n, s, key)
-                    mark = attempt or failure
-                    if access is not None and not partial and mark and mark["key"] != key:
-                        # What was begun under the whole config is taken up under it.
-                        whole = self._parts(s, None, rerun, snapshot.roots, snapshot.inputs)
-                        if mark["key"] == digest(whole) and (begun := self._valid_partial(n, s, digest(whole))):
-                            parts, key, partial = whole, digest(whole), begun
-                if r and key != r["key"]:
-                    reason = self._reason(r["parts"], parts)
-        except Exception as e:
-            error = f"{type(e).__name__}: {e}"
-        now = snapshot.now.get(n, [])
-        gone = any(c is None for c in now)
-        differs = bool(r) and any(c is not None and c != a["fingerprint"] for a, c in zip(r["artifacts"], now, strict=True))
-        baseline = None
-        for mark in (attempt, failure):
-            if mark and baseline is None and mark["key"] == key:
-                baseline = mark["review"]
-        if baseline is None and r and not gone and not differs and r["key"] == key:
-            baseline = r["review"]
-        decided = self.store.read("reviews", s.base)
-        decision = decided["decision"] if decided and decided["review"] == review else None
-        row = (n, s.base, bool(failure), bool(attempt), bool(partial), bool(r), bool(r) and r["key"] == key, gone, differs, reason, baseline, review, decision, error, orphan, r["elapsed"] if r else None)
-        return row, {"key": key, "parts": parts, "review_fingerprint": review, "partial": partial, "rerun": rerun, "record": r}
-
-    def _decided(self, rows: list[tuple], force: bool) -> DataFrame:
-        c = F.col
-        flags = self.spark.createDataFrame(rows, FLAGS)
-        made = decide.decide(*[c(x) for x in ("failed", "attempted", "partial", "success", "key_match", "missing", "mismatch", "reason")])
-        lost = F.struct(F.lit("needs-run").alias("status"), F.lit("no-cache").alias("reason"))
-        wrong = F.struct(F.lit("error").alias("status"), c("error").alias("reason"))
-        outdated = F.struct(F.lit("needs-run").alias("status"), F.lit("schema-migration").alias("reason"))
-        made = F.when(c("orphan"), lost).otherwise(made)
-        made = F.when((made["reason"] == "no-cache") & (c("reason") == "schema-migration"), outdated).otherwise(made)
-        d = flags.withColumn("d", F.when(c("error").isNotNull(), wrong).otherwise(made))
-        d = d.withColumn("relationship", decide.relationship(c("baseline"), c("review")))
-        invalidated = (c("relationship") == "changed") & c("decision").eqNullSafe("invalidate")
-        d = d.withColumn("x", decide.overlay(c("d.status"), c("d.reason"), F.lit(force), invalidated, c("partial")))
-        return d.select(
-            "stage", "base", "ord", "elapsed", "relationship", "decision",
-            c("d.status").alias("execution"), c("d.reason").alias("execution_reason"),
-            c("x.status").alias("action"), c("x.reason").alias("action_reason"),
-            decide.effective(c("d.status"), c("relationship"), c("decision")).alias("status"),
-            decide.effective_reason(c("d.reason"), c("relationship"), c("decision")).alias("reason"),
-        )
-
-    def _valid_partial(self, n: str, s: Stage, key: str) -> dict[int, dict[str, Any]]:
-        """Checkpoints whose every artifact still is what was recorded."""
-        return {i: r for i, r in self.store.partial(n, key).items() if all(_current(self.spark, a, False) == a["fingerprint"] for a in r["artifacts"])}
+            s = self.graph.stages[n]
+            if s.base not in snapshot.bases:
+                snapshot.bases[s.base] = self._base(snapshot, s, memo)
+            rows.append(self._state(n, at, snapshot, snapshot.bases[s.base]))
+        partial = [(n, k, i, a["path"], a["fingerprint"], snapshot.now[a["path"]]) for n in wanted for k, found in snapshot.partial[n].items() for i, x in found.items() for a in x["artifacts"]]
+        make = lambda rows, schema: probe.relation(self.spark, rows, schema)
+        relations = probe.Relations(make(rows, probe.STATE), *self._around(wanted, snapshot), make(partial, probe.PARTIAL) if partial else None)
+        found = sorted((row.asDict() for row in probe.probed(relations, force).collect()), key=lambda p: p["ord"])
+        reasons = ("execution_reason", "action_reason", "reason")
+        if moved := [p for p in found if any(p[x] == probe.MOVED for x in reasons)]:
+            parts = [(p["stage"], *row) for p in moved for row in _part_rows(snapshot.records[p["stage"]]["parts"])]
+            now = [tuple(p[c] for c in ("stage", "rerun", "projected", "inputs", "values", "up")) for p in moved]
+            told = {x.stage: x.reason for x in probe.changes(make(now, probe.FOUND), make(parts, probe.PARTS)).collect()}
+            for p in moved:
+                p |= {x: told[p["stage"]] for x in reasons if p[x] == probe.MOVED and p["stage"] in told}
+        return [self._told(p, snapshot) for p in found]
+
+    def _told(self, p: dict[str, Any], snapshot: Snapshot) -> dict[str, Any]:
+        """A probe's row with the records that it speaks of."""
+        checkpoints = lambda key, indexes: {i: snapshot.partial[p["stage"]][key][i] for i in indexes or []}
+        return p | {"record": snapshot.records[p["stage"]], "parts": _parts(p, "projected"), "partial": checkpoints(p["key"], p["indexes"]), "whole_partial": checkpoints(p["whole"], p["whole_indexes"])}
+
+    def _final(self, n: str, access: list[str] | None, rerun: str, snapshot: Snapshot) -> tuple[str, dict[str, Any]]:
+        """Key and parts of a stage that ran, by the fields that it read; inputs are read again."""
+        s = self.graph.stages[n]
+        shared = self._base(snapshot, s) | {"rerun": rerun}
+        if shared["error"]:
+            raise RuntimeError(shared["error"])
+        row = list(self._state(n, 0, snapshot, shared))
+        row[probe.ACCESS], row[probe.RERUN] = access, rerun
+        needs, artifacts = self._around([n], snapshot)
+        found = probe.keyed(probe.relation(self.spark, [tuple(row)], probe.STATE), needs, probe.stored(artifacts)).first().asDict()
+        return found["key"], _parts(found, "projected")
 
     def status(self, selector: str | None = None, rehash: bool = False, expand: bool = False) -> DataFrame:
         """Per base stage, or per cell (``expand``): effective status, cells, recorded seconds. Probed whole, then filtered."""
@@ -346,7 +308,7 @@ class Engine:
             self.store.drop_partial(n)
             p["partial"] = {}
         elif p["relationship"] == "changed" and p["record"] and p["record"]["access"] is not None:
-            p = self._whole_config(n, s, p, snapshot)
+            p = self._whole_config(n, s, p)
         began = time.monotonic()
         mark = {"key": p["key"], "rerun": p["rerun"], "review": p["review_fingerprint"], "at": _now()}
         self.store.write(mark, "attempts", n)
@@ -362,27 +324,25 @@ class Engine:
             raise
         previous = p["record"]
         access = config_access.merge(config.recorded(), previous["access"] if previous else None, bool(previous), bool(previous) and previous["rerun"] == p["rerun"])
-        parts = self._parts(s, access, p["rerun"], snapshot.roots, {})
+        key, parts = self._final(n, access, p["rerun"], snapshot)
         elapsed = time.monotonic() - began
-        self.store.write({"key": digest(parts), "parts": parts, "access": access, "rerun": p["rerun"], "review": p["review_fingerprint"], "artifacts": artifacts, "elapsed": elapsed, "at": _now()}, "stages", n)
+        self.store.write({"key": key, "parts": parts, "access": access, "rerun": p["rerun"], "review": p["review_fingerprint"], "artifacts": artifacts, "elapsed": elapsed, "at": _now()}, "stages", n)
         for kind in ("attempts", "failures"):
             self.store.drop(kind, n)
         self.store.drop_partial(n)
         return {"stage": n, "status": p["action"], "reason": p["action_reason"], "ran": True, "elapsed": elapsed}
 
-    def _whole_config(self, n: str, s: Stage, p: dict[str, Any], snapshot: Snapshot) -> dict[str, Any]:
+    def _whole_config(self, n: str, s: Stage, p: dict[str, Any]) -> dict[str, Any]:
         """Under reused source that changed, execution starts from the whole config; a batch's
         checkpoints of the projected key are adopted there, those of the whole key win."""
-        parts = self._parts(s, None, p["rerun"], snapshot.roots, snapshot.inputs)
-        key = digest(parts)
-        if key == p["key"]:
+        if p["whole"] == p["key"]:
             return p
         partial = p["partial"]
         if s.kind == "batch":
-            partial = partial | self._valid_partial(n, s, key)
+            partial = partial | p["whole_partial"]
             for i, r in partial.items():
-                self.store.write(r, "partial", n, key, str(i))
-        return p | {"parts": parts, "key": key, "partial": partial}
+                self.store.write(r, "partial", n, p["whole"], str(i))
+        return p | {"parts": _parts(p, "config"), "key": p["whole"], "partial": partial}
 
     def _refresh(self, n: str, record: dict[str, Any]) -> None:
         """Same content under other files or stamps: only the listings are renewed."""
@@ -480,5 +440,18 @@ def _drive(items: Any) -> Iterable[Any]:
         loop.close()
 
 
+def _parts(p: dict[str, Any], config: str) -> dict[str, Any]:
+    """What a key is made of, as recorded."""
+    plain = lambda m: {k: json.loads(v) for k, v in m.items()}
+    return {"config": plain(p[config]), "inputs": plain(p["inputs"]), "values": plain(p["values"]), "upstreams": dict(p["up"]), "source": p["rerun"]}
+
+
+def _part_rows(parts: dict[str, Any]) -> Iterable[tuple[str, str, str]]:
+    yield "source", "code", parts["source"]
+    for kind, name in (("config", "config"), ("value", "values"), ("input", "inputs")):
+        yield from ((kind, k, canonical(v)) for k, v in parts[name].items())
+    yield from (("upstream", k, v) for k, v in parts["upstreams"].items())
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()

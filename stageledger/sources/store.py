@@ -14,7 +14,8 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
-SCHEMA = 1
+#: 2: keys are canonical JSON of JSON texts, roots are sums.
+SCHEMA = 2
 
 
 def canonical(value: Any) -> str:
@@ -116,6 +117,12 @@ class Store:
         folder = self._path("partial", stage, key, "x").parent
         return {int(p.stem): r for p in sorted(folder.glob("[0-9]*.json")) if (r := self.read("partial", stage, key, p.stem))}
 
+    def partials(self, stage: str) -> dict[str, dict[int, dict[str, Any]]]:
+        """Checkpoints of a stage under every key."""
+        folder = self._path("partial", stage, "x").parent
+        found = {p.name: self.partial(stage, p.name) for p in sorted(folder.iterdir())} if folder.is_dir() else {}
+        return {k: v for k, v in found.items() if v}
+
     def drop_partial(self, stage: str) -> None:
         shutil.rmtree(self._path("partial", stage, "x").parent, ignore_errors=True)
 

@@ -1,3 +1,5 @@
+import copy
+import dataclasses
 import importlib.util
 import os
 import pickle
@@ -139,3 +141,31 @@ def test_reads_that_cannot_be_told_apart_latch_all():
         assert c.recorded() is None, name
     with pytest.raises(AttributeError):
         c.a = 2
+
+
+@dataclasses.dataclass(frozen=True)
+class Sized:
+    width: int = 2
+    height: int = 3
+    name: str = "box"
+
+    @property
+    def area(self):
+        return self.width * self.height
+
+    def scaled(self, by):
+        return dataclasses.replace(self, width=self.width * by)
+
+
+def test_typed_configs_keep_their_own():
+    one = RecordingConfig(Sized())
+    assert one.width == 2 and one["height"] == 3 and one.recorded() == ["height", "width"]
+    assert one.area == 6 and one.recorded() is None
+    other = RecordingConfig(Sized())
+    assert other.scaled(4).width == 8 and other.recorded() is None
+    for read in (pickle.loads(pickle.dumps(RecordingConfig(Sized()))), copy.deepcopy(RecordingConfig(Sized()))):
+        assert isinstance(read, Sized) and read.area == 6
+    assert RecordingConfig(Sized()) == Sized() and repr(RecordingConfig(Sized())) == repr(Sized())
+    assert isinstance(pickle.loads(pickle.dumps(RecordingConfig({"a": 1}))), dict)
+    with pytest.raises(AttributeError):
+        RecordingConfig(Sized()).depth
