@@ -391,3 +391,45 @@ def test_signatures_of_cells():
     for pipeline in (Bad, Plain):
         with pytest.raises(TypeError, match="exactly its axes"):
             Graph(pipeline)
+
+
+def _jobs(spark, group, act):
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        found = act()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def _wide(cells):
+    class Wide(Pipeline):
+        @matrix(Axis("cell", [f"c{i:04d}" for i in range(cells)]))
+        @stage()
+        def part(ctx, cell):
+            return ctx.spark.range(1)
+
+        @stage(needs=part)
+        def whole(ctx):
+            return ctx.union("part")
+
+    return Wide
+
+
+def test_a_probe_is_one_plan_whatever_the_cells(spark, tmp_path):
+    """1,000 cells with records take as many Spark jobs as 10, and each is judged on its own."""
+    jobs = {}
+    for cells in (10, 1000):
+        root = tmp_path / f"out{cells}"
+        e = Engine(spark, _wide(cells), str(root), {"n": 1})
+        first = e.probe()
+        assert len(first) == cells + 1 and {p["reason"] for p in first} == {"no-cache"}
+        e.store.initialize(e.name)
+        for i, p in enumerate(first[:-1]):
+            key, parts = (p["key"], p["parts"]) if i % 5 else ("sha256:other", p["parts"] | {"config": {"n": i}})
+            e.store.write({"key": key, "parts": parts, "access": None, "rerun": p["rerun"], "review": p["review_fingerprint"], "artifacts": [], "elapsed": 1.0, "at": "now"}, "stages", p["stage"])
+        found, jobs[cells] = _jobs(spark, f"probe-{cells}", e.probe)
+        assert [p["status"] for p in found[:-1]] == ["hit" if i % 5 else "needs-run" for i in range(cells)]
+        assert found[5]["reason"] == "config: n 5 -> 1" and found[-1]["status"] == "needs-run"
+    assert jobs[1000] <= jobs[10] + 1, jobs
