@@ -187,5 +187,31 @@ def dataset_fingerprint(df: DataFrame, row_hash: Callable[[DataFrame, int], Colu
     return df.agg(*fingerprint_aggregates(df, row_hash))
 
 
+SUMS = "file string, size long, stamp long, n long, a decimal(38,0), b decimal(38,0)"
+
+
+def file_sums(df: DataFrame, row_hash: Callable[[DataFrame, int], Column] = fast_hash) -> DataFrame:
+    """``SUMS``: :func:`fingerprint_aggregates` for each file of a dataset that is read from files, in one pass."""
+    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.unix_micros("_metadata.file_modification_time").alias("stamp"), *[row_hash(df, seed).cast("decimal(38,0)").alias(f"_{seed}") for seed in (17, 42)])
+    return rows.groupBy("file", "size", "stamp").agg(F.count("*").alias("n"), F.sum("_17").alias("a"), F.sum("_42").alias("b"))
+
+
+def summed(sums: DataFrame) -> DataFrame:
+    """The dataset's fingerprint from its files' sums: that of :func:`dataset_fingerprint`."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").cast("string").alias(c)
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), total("a"), total("b"))
+
+
+def renewed_sums(known: DataFrame, current: DataFrame, read: Callable[[list[str]], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """(sums of the files that are there now, files read): added and rewritten files are read, removed ones fall out.
+
+    ``current`` (file, size, stamp) is the listing; ``read`` opens some files.
+    """
+    same = ["file", "size", "stamp"]
+    kept = known.join(current.select(*same), same, "left_semi")
+    fresh = [r.file for r in current.join(known.select(*same), same, "left_anti").select("file").collect()]
+    return (kept.unionByName(file_sums(read(fresh))), fresh) if fresh else (kept, fresh)
+
+
 def null_safe_equal(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in pairs))

@@ -525,3 +525,9 @@ def _(s, d):
 def _(s, d):
     """Beyond SQL: the hash is Spark's own; what the engine takes of each artifact as it is written."""
     return keys.dataset_fingerprint(R.read(s, d, "lineitem"))
+
+
+@query("file_sums", _fingerprint_sql())
+def _(s, d):
+    """The fingerprint from its files' sums, as a later pass would add them up."""
+    return keys.summed(keys.file_sums(R.read(s, d, "lineitem"), keys.portable_hash))

@@ -26,9 +26,16 @@ from ..api import Dependencies, Graph, Pipeline, Stage
 from ..functions import config_access, source_code, typed
 from ..functions.config_access import RecordingConfig
 from ..operators import batch, keys, rollup
-from ..sources.store import Store, canonical, digest, input_entries, listing
+from ..sources import manifest
+from ..sources.recordlog import RecordLog
+from ..sources.store import Store, canonical, digest, listing
+from ..sources.tables import discard
 from . import probe
 
+#: Commits of input digests before they are compacted.
+COMPACT = 20
+
+
 class PendingReview(RuntimeError):
     """Source changes that need a decision: reuse or invalidate."""
 
@@ -165,14 +172,40 @@ class Engine:
         self.config, self.args = typed_("Config", config), typed_("Args", args)
         self.temporary = temporary
         self._staged = list({s.base: s.func for s in self.graph.stages.values()}.values())
-        #: path -> stamp and hash of input files, kept between runs
-        self._stamps: dict[str, list[Any]] = (self.store.read("files", "stamps") or {"files": {}})["files"]
+        #: Digests of input files by path, size and stamp: a log that runs add to, and what isn't in it yet.
+        self._files = RecordLog(spark, f"{self.store.root.resolve().as_uri()}/files")
+        self._unsaved: list[DataFrame] = []
 
     # Keys
 
     def _dependencies(self, s: Stage) -> Dependencies:
         return self.graph.pipeline.depends.merged(s.depends)
 
+    def _content(self, path: str) -> str:
+        """Digest of an input file or tree; only files that changed since their digest was taken are read."""
+        known = self._files.state(kind="file").select(F.col("name").alias("path"), F.from_json("body", "size long, stamp long, version int, content_hash string").alias("b")).select("path", "b.*")
+        for newer in self._unsaved:
+            known = newer.unionByName(known.join(newer.select("path"), "path", "left_anti"))
+        found = manifest.listed(self.spark, path)
+        entries, fresh = manifest.hashed(found, known)
+        out = manifest.digest(entries)
+        discard(found)
+        if not fresh.isEmpty():
+            self._unsaved.append(fresh)
+        return out
+
+    def _save_digests(self) -> None:
+        """Into the log, in one commit; the log is compacted now and then."""
+        if self._unsaved:
+            rows = self._unsaved[-1]
+            for older in reversed(self._unsaved[:-1]):
+                rows = rows.unionByName(older.join(rows.select("path"), "path", "left_anti"))
+            body = F.to_json(F.struct("size", "stamp", "version", "content_hash"))
+            self._files.append(rows.select(F.lit("file").alias("kind"), F.col("path").alias("name"), body.alias("body")))
+            self._unsaved = []
+            if len(self._files.commits()) > COMPACT:
+                self._files.vacuum(self._files.compact())
+
     def _base(self, snapshot: Snapshot, s: Stage, inputs_memo: dict | None = None) -> dict[str, Any]:
         """What the cells of a base share: source fingerprints, config fields, inputs, values, as JSON; or what went wrong."""
         out: dict[str, Any] = {"rerun": None, "review": None, "config": {}, "inputs": {}, "values": {}, "error": None}
@@ -184,7 +217,7 @@ class Engine:
                 value, found = call(value), []
                 for path in dict.fromkeys(map(str, value if isinstance(value, (list, tuple)) else [value])):
                     if path not in memo:
-                        memo[path] = input_entries(path, self._stamps)
+                        memo[path] = self._content(path)
                     found.append([path, memo[path]])
                 out["inputs"][name] = canonical(sorted(found))
             values = {n: call(v) for n, v in d.values.items()} | ({"matrix-layout": "1"} if s.cell else {})
@@ -291,7 +324,7 @@ class Engine:
                 if outcomes[-1]["ran"]:
                     ran.add(n)
                     snapshot.read(n)
-            self.store.write({"files": self._stamps}, "files", "stamps")
+            self._save_digests()
             return outcomes
 
     def _execute(self, n: str, p: dict[str, Any], snapshot: Snapshot, force: bool) -> dict[str, Any]:

@@ -137,46 +137,6 @@ def listing(path: str) -> list[list[Any]]:
     return [[str(p.relative_to(root)), p.stat().st_size, p.stat().st_mtime_ns] for p in sorted(root.rglob("*")) if p.is_file()] if root.is_dir() else []
 
 
-TRIES = 3
-
-
-def _stamp(p: Path) -> list[int]:
-    st = p.stat()
-    return [st.st_ino, st.st_size, st.st_mtime_ns]
-
-
-def file_hash(p: Path, cache: dict[str, list[Any]] | None = None) -> str:
-    """SHA-256 of a file that stayed the same while it was read; reused while its stamp does."""
-    cache = {} if cache is None else cache
-    for _ in range(TRIES):
-        before = _stamp(p)
-        known = cache.get(str(p))
-        if known and known[:3] == before:
-            return known[3]
-        h = hashlib.sha256()
-        with p.open("rb") as f:
-            while block := f.read(1 << 20):
-                h.update(block)
-        if _stamp(p) == before:
-            cache[str(p)] = [*before, f"sha256:{h.hexdigest()}"]
-            return cache[str(p)][3]
-    raise RuntimeError(f"{p} changes while it is read")
-
-
-def input_entries(path: str, cache: dict[str, list[Any]] | None = None) -> list[list[str]]:
-    """(relative path, kind, hash) of a file or of a folder and all below it; links are refused."""
-    root = Path(path)
-    if not root.exists():
-        raise FileNotFoundError(f"input {path!r} doesn't exist")
-    found = []
-    for p in [root, *sorted(root.rglob("*"))] if root.is_dir() else [root]:
-        if p.is_symlink():
-            raise ValueError(f"an input is a link: {p}")
-        name = "." if p == root else str(p.relative_to(root))
-        found.append([name, "dir", ""] if p.is_dir() else [name, "file", file_hash(p, cache)])
-    return found
-
-
 _BRANCH = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
 
