@@ -38,6 +38,25 @@ class Axis:
             raise ValueError(f"axis {name!r} needs ids, each once")
 
 
+@dataclass(frozen=True)
+class Outputs:
+    """Several outputs of one frame, written in one pass over it.
+
+    ``parts``: name -> (condition, columns), in order; or a function without arguments
+    that gives them, called after the body.
+    """
+
+    frame: Any
+    parts: Any
+
+    def resolved(self) -> dict[str, tuple[Any, list[Any]]]:
+        found = dict(self.parts() if callable(self.parts) else self.parts)
+        for name in found:
+            if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
+                raise ValueError(f"not an output's name: {name!r}")
+        return found
+
+
 @dataclass(frozen=True)
 class Dependencies:
     """``inputs``: paths; ``values``: JSON values; both may be callables of the context.

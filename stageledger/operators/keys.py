@@ -172,14 +172,15 @@ def portable_hash(df: DataFrame, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed};"), *texts)), 1, 15), 16, 10).cast("long")
 
 
-def fingerprint_aggregates(df: DataFrame, row_hash: Callable[[DataFrame, int], Column] = fast_hash) -> list[Column]:
+def fingerprint_aggregates(df: DataFrame, row_hash: Callable[[DataFrame, int], Column] = fast_hash, where: Column | None = None, prefix: str = "") -> list[Column]:
     """n, a, b: a digest of the rows as a multiset, whatever their order or files.
 
     Two seeded hashes per row are summed as decimals, so repeated rows show. One pass,
-    partial sums only.
+    partial sums only. With ``where``, of those rows alone.
     """
-    total = lambda seed: F.coalesce(F.sum(row_hash(df, seed).cast("decimal(38,0)")), F.lit(0)).cast("string")
-    return [F.count(F.lit(1)).alias("n"), total(17).alias("a"), total(42).alias("b")]
+    only = lambda c: c if where is None else F.when(where, c)
+    total = lambda seed: F.coalesce(F.sum(only(row_hash(df, seed).cast("decimal(38,0)"))), F.lit(0)).cast("string")
+    return [F.count(only(F.lit(1))).alias(f"{prefix}n"), total(17).alias(f"{prefix}a"), total(42).alias(f"{prefix}b")]
 
 
 def dataset_fingerprint(df: DataFrame, row_hash: Callable[[DataFrame, int], Column] = fast_hash) -> DataFrame:

@@ -22,7 +22,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..api import Dependencies, Graph, Pipeline, Stage
+from ..api import Dependencies, Graph, Outputs, Pipeline, Stage
 from ..functions import config_access, source_code, typed
 from ..functions.config_access import RecordingConfig
 from ..operators import batch, keys, rollup
@@ -32,6 +32,8 @@ from ..sources.store import Store, canonical, digest, listing
 from ..sources.tables import discard
 from . import probe
 
+#: Tags rows of a stage with several outputs.
+OUTPUT = "_output"
 #: Commits of input digests before they are compacted.
 COMPACT = 20
 
@@ -74,13 +76,13 @@ class Ctx:
 
     def inputs(self, need: str) -> list[DataFrame]:
         """All artifacts of a need in order: cells, then indexes, then names."""
-        return [self.spark.read.parquet(p) for c in self._needed(need) for p in _paths(self.artifacts[c])]
+        return [_opened(self.spark, a) for c in self._needed(need) for a in self.artifacts[c]["artifacts"]]
 
     def input(self, need: str) -> DataFrame:
-        paths = [p for c in self._needed(need) for p in _paths(self.artifacts[c])]
-        if len(paths) != 1:
-            raise ValueError(f"{need!r} has {len(paths)} artifacts; input() takes one, inputs() or union() all")
-        return self.spark.read.parquet(paths[0])
+        found = [a for c in self._needed(need) for a in self.artifacts[c]["artifacts"]]
+        if len(found) != 1:
+            raise ValueError(f"{need!r} has {len(found)} artifacts; input() takes one, inputs() or union() all")
+        return _opened(self.spark, found[0])
 
     def union(self, need: str) -> DataFrame:
         """All artifacts of a need in one frame, with their position."""
@@ -100,8 +102,10 @@ class Ctx:
         return [items[i] for i in self._resumed]
 
 
-def _paths(record: dict[str, Any]) -> list[str]:
-    return [a["path"] for a in record["artifacts"]]
+def _opened(spark: SparkSession, artifact: dict[str, Any]) -> DataFrame:
+    """What is stored of an artifact; of one that was written among others, its own columns."""
+    found = spark.read.parquet(artifact["path"])
+    return found.select(*[found[c] for c in artifact["columns"]]) if "columns" in artifact else found
 
 
 def _digest(df: DataFrame, row: dict[str, Any]) -> str:
@@ -125,6 +129,41 @@ def _write(spark: SparkSession, df: DataFrame, path: str, name: str) -> dict[str
         raise Unfingerprinted(f"{name}: {type(e).__name__}: {e}") from e
 
 
+def _write_split(spark: SparkSession, outputs: Outputs, folder: str) -> list[dict[str, Any]]:
+    """Several outputs of one frame in one job: a row goes to each output that takes it.
+
+    Files hold the columns of all outputs, those of others null; rows are tagged, dealt
+    out by tag as they are written, and digested by tag on their way.
+    """
+    parts = outputs.resolved()
+    frames = {name: outputs.frame.select(*columns) for name, (_, columns) in parts.items()}
+    kinds: dict[str, Any] = {}
+    for name, frame in frames.items():
+        for f in frame.schema.fields:
+            if kinds.setdefault(f.name, f.dataType) != f.dataType:
+                raise TypeError(f"column {f.name!r} has two types among the outputs: return a dict of frames")
+    if OUTPUT in kinds:
+        raise ValueError(f"no output may have a column {OUTPUT!r}")
+    rows = []
+    for name, (where, columns) in parts.items():
+        own = dict(zip(frames[name].columns, [F.col(c) if isinstance(c, str) else c for c in columns], strict=True))
+        fields = [own.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+        rows.append(F.when(F.expr(where) if isinstance(where, str) else where, F.struct(F.lit(name).alias(OUTPUT), *fields)))
+    tagged = outputs.frame.select(F.inline(F.array_compact(F.array(*rows))))
+    aggregates = [a for i, (name, frame) in enumerate(frames.items()) for a in keys.fingerprint_aggregates(tagged.select(*frame.columns), where=tagged[OUTPUT] == name, prefix=f"{i}_")]
+    seen = Observation()
+    tagged.observe(seen, *aggregates).write.partitionBy(OUTPUT).parquet(folder)
+    out, totals = [], seen.get
+    for i, (name, frame) in enumerate(frames.items()):
+        path = f"{folder}/{OUTPUT}={name}"
+        if not listing(path):  # no row went there
+            frame.limit(0).write.parquet(path)
+        made = {"name": name, "path": path, "columns": frame.columns, "listing": listing(path)}
+        row = {x: totals.get(f"{i}_{x}") for x in "nab"}
+        out.append(made | {"fingerprint": _digest(_opened(spark, made), row) if None not in row.values() else fingerprint(_opened(spark, made))})
+    return out
+
+
 def _current(spark: SparkSession, artifact: dict[str, Any], rehash: bool) -> str | None:
     """Fingerprint of what is stored now: by its listing if unchanged, else from the data; None if gone."""
     now = listing(artifact["path"])
@@ -133,7 +172,7 @@ def _current(spark: SparkSession, artifact: dict[str, Any], rehash: bool) -> str
     if not rehash and now == artifact["listing"]:
         return artifact["fingerprint"]
     try:
-        return fingerprint(spark.read.parquet(artifact["path"]))
+        return fingerprint(_opened(spark, artifact))
     except Exception:  # files that no longer are a dataset
         return "unreadable"
 
@@ -394,6 +433,8 @@ class Engine:
         made, folder = s.func(ctx, **dict(s.cell)), self.store.fresh(n)
         if inspect.iscoroutine(made):
             made = asyncio.run(made)
+        if isinstance(made, Outputs):
+            return _write_split(self.spark, made, folder)
         return [_write(self.spark, df, f"{folder}/{name}", name) for name, df in self._frames(made, s.base)]
 
     def _batch(self, n: str, s: Stage, ctx: Ctx, key: str) -> list[dict[str, Any]]:
