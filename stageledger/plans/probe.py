@@ -8,9 +8,11 @@ is joined and decided here, by the same operators as over any other tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,20 +61,46 @@ def relation(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(entries(c, f.type), f.type) for c, f in zip(columns, fields, strict=True)], names=fields.names))
 
 
-def stored(artifacts: DataFrame) -> DataFrame:
-    """(stage, root, gone, differs): a digest of a stage's artifacts with their places, and what became of them.
+def _once(make: Callable[..., list[Column]]) -> Callable[..., list[Column]]:
+    """Columns by name don't depend on a plan: they are made once per Spark application."""
+    made: dict[tuple, list[Column]] = {}
 
-    Sums of hashes, so a batch of any number of indexes is no row of its own; places are
-    hashed, so order counts.
-    """
+    def found(*args: bool) -> list[Column]:
+        at = (SparkContext._active_spark_context.applicationId, *args)
+        if at not in made:
+            made[at] = make(*args)
+        return made[at]
+
+    return found
+
+
+@_once
+def _stored_columns() -> list[Column]:
     now = F.coalesce("now", "recorded")
     total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "place", "name", now).cast("decimal(38,0)")).cast("string")
     real = F.col("place") != MARK
-    return artifacts.groupBy("stage").agg(
+    return [
         F.concat_ws(":", F.count("*").cast("string"), total(17), total(42)).alias("root"),
         F.bool_or(real & F.col("now").isNull()).alias("gone"),
         F.bool_or(real & F.col("now").isNotNull() & (F.col("now") != F.col("recorded"))).alias("differs"),
-    )
+    ]
+
+
+def stored(artifacts: DataFrame) -> DataFrame:
+    """(stage, root, gone, differs): a digest of a stage's artifacts with their places, and what became of them.
+
+    Sums of hashes, so a batch of any number of indexes is no row of its own; places are
+    hashed, so order counts.
+    """
+    return artifacts.groupBy("stage").agg(*_stored_columns())
+
+
+@_once
+def _around_columns() -> list[Column]:
+    text = F.concat("root", F.coalesce(F.concat(F.lit("@"), F.col("position").cast("string")), F.lit("")))
+    entries = F.array_sort(F.collect_list(F.when(~F.col("own") & F.col("root").isNotNull(), F.struct("need", text.alias("value")))))
+    own = lambda c: F.coalesce(F.bool_or(F.col("own") & F.col(c)), F.lit(False)).alias(c)
+    return [F.map_from_entries(entries).alias("up"), F.bool_or(~F.col("own") & F.col("root").isNull()).alias("orphan"), own("gone"), own("differs")]
 
 
 def around(state: DataFrame, needs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -82,22 +110,28 @@ def around(state: DataFrame, needs: DataFrame, roots: DataFrame) -> DataFrame:
     """
     every = needs.withColumn("own", F.lit(False)).unionByName(state.select("stage", F.col("stage").alias("need"), F.lit(None).cast("long").alias("position"), F.lit(True).alias("own")))
     both = every.join(roots.withColumnRenamed("stage", "need"), "need", "left")
-    text = F.concat("root", F.coalesce(F.concat(F.lit("@"), F.col("position").cast("string")), F.lit("")))
-    entries = F.array_sort(F.collect_list(F.when(~F.col("own") & F.col("root").isNotNull(), F.struct("need", text.alias("value")))))
-    own = lambda c: F.coalesce(F.bool_or(F.col("own") & F.col(c)), F.lit(False)).alias(c)
-    return both.groupBy("stage").agg(F.map_from_entries(entries).alias("up"), F.bool_or(~F.col("own") & F.col("root").isNull()).alias("orphan"), own("gone"), own("differs"))
+    return both.groupBy("stage").agg(*_around_columns())
 
 
 def key(config: Column) -> Column:
     return keys.input_key(keys.canonical_json(config), keys.canonical_json(F.col("inputs")), keys.canonical_json(F.col("values")), keys.canonical_json(F.col("up")), F.col("rerun"))
 
 
-def keyed(state: DataFrame, needs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``state`` with access, projected config, up, orphan, gone, differs, and the keys of the projected and of the whole config."""
+@_once
+def _access_columns() -> list[Column]:
     access = F.when(F.col("recorded_rerun").eqNullSafe(F.col("rerun")), F.col("recorded_access"))
-    found = state.join(around(state, needs, roots), "stage").select(*state.columns, "up", "orphan", "gone", "differs", access.alias("access"), keys.project(F.col("config"), access).alias("projected"))
+    return [access.alias("access"), keys.project(F.col("config"), access).alias("projected")]
+
+
+@_once
+def _key_columns() -> list[Column]:
     known = F.col("error").isNull() & ~F.col("orphan")
-    return found.select("*", F.when(known, key(F.col("projected"))).alias("key"), F.when(known, key(F.col("config"))).alias("whole"))
+    return [F.when(known, key(F.col("projected"))).alias("key"), F.when(known, key(F.col("config"))).alias("whole")]
+
+
+def keyed(state: DataFrame, needs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``state`` with access, projected config, up, orphan, gone, differs, and the keys of the projected and of the whole config."""
+    return state.join(around(state, needs, roots), "stage").select("*", *_access_columns()).select("*", *_key_columns())
 
 
 def valid_partial(partial: DataFrame) -> DataFrame:
@@ -136,29 +170,57 @@ def changes(found: DataFrame, parts: DataFrame) -> DataFrame:
     return decide.first_difference(parts, parts_of(found), text)
 
 
-def probed(r: Relations, force: bool = False) -> DataFrame:
-    """One row per stage of ``state``: statuses, reasons, and what an execution needs.
+def _result(status: str, reason: Column) -> Column:
+    return F.struct(F.lit(status).alias("status"), reason.alias("reason"))
 
-    The reason ``MOVED`` stands for a first difference, which :func:`changes` words.
-    """
+
+@_once
+def _match_columns() -> list[Column]:
+    return [F.coalesce(F.col("recorded_key") == F.col("key"), F.lit(False)).alias("matches"), F.col("indexes").isNotNull().alias("begun")]
+
+
+@_once
+def _decided_columns() -> list[Column]:
     c = F.col
-    found = taken_up(keyed(r.state, r.needs, stored(r.artifacts)), valid_partial(r.partial) if r.partial is not None else None)
-    found = found.select("*", F.coalesce(c("recorded_key") == c("key"), F.lit(False)).alias("matches"), c("indexes").isNotNull().alias("begun"))
-    result = lambda status, reason: F.struct(F.lit(status).alias("status"), reason.alias("reason"))
     made = decide.decide(c("failure_key").isNotNull(), c("attempt_key").isNotNull(), c("begun"), c("success"), c("matches"), c("gone"), c("differs"), F.lit(MOVED))
-    made = F.when(c("orphan"), result("needs-run", F.lit("no-cache"))).otherwise(made)
+    made = F.when(c("orphan"), _result("needs-run", F.lit("no-cache"))).otherwise(made)
     reusable = c("success") & ~c("gone") & ~c("differs") & c("matches")
     baseline = decide.provenance(c("key"), c("attempt_key"), c("attempt_review"), c("failure_key"), c("failure_review"), c("recorded_review"), reusable)
-    found = found.select("*", made.alias("m"), decide.relationship(baseline, c("review")).alias("relationship"), F.when(c("decided_review") == c("review"), c("decided")).alias("decision"))
-    made = F.when(c("error").isNotNull(), result("error", c("error"))).when(c("outdated") & (c("m.reason") == "no-cache"), result("needs-run", F.lit("schema-migration"))).otherwise(c("m"))
+    return [made.alias("m"), decide.relationship(baseline, c("review")).alias("relationship"), F.when(c("decided_review") == c("review"), c("decided")).alias("decision")]
+
+
+@_once
+def _error_columns() -> list[Column]:
+    c = F.col
+    return [F.when(c("error").isNotNull(), _result("error", c("error"))).when(c("outdated") & (c("m.reason") == "no-cache"), _result("needs-run", F.lit("schema-migration"))).otherwise(c("m")).alias("d")]
+
+
+@_once
+def _overlay_columns(force: bool) -> list[Column]:
+    c = F.col
     invalidated = (c("relationship") == "changed") & c("decision").eqNullSafe("invalidate")
-    found = found.select("*", made.alias("d"))
-    found = found.select("*", decide.overlay(c("d.status"), c("d.reason"), F.lit(force), invalidated, c("begun")).alias("x"))
-    return found.select(
-        "stage", "base", "ord", "elapsed", "relationship", "decision", "rerun", "key", "whole", "indexes", "whole_indexes",
-        "projected", "config", "inputs", "values", "up", c("review").alias("review_fingerprint"),
+    return [decide.overlay(c("d.status"), c("d.reason"), F.lit(force), invalidated, c("begun")).alias("x")]
+
+
+@_once
+def _told_columns() -> list[Column]:
+    c = F.col
+    return [
+        *map(c, "stage base ord elapsed relationship decision rerun key whole indexes whole_indexes projected config inputs values up".split()),
+        c("review").alias("review_fingerprint"),
         c("d.status").alias("execution"), c("d.reason").alias("execution_reason"),
         c("x.status").alias("action"), c("x.reason").alias("action_reason"),
         decide.effective(c("d.status"), c("relationship"), c("decision")).alias("status"),
         decide.effective_reason(c("d.reason"), c("relationship"), c("decision")).alias("reason"),
-    )
+    ]
+
+
+def probed(r: Relations, force: bool = False) -> DataFrame:
+    """One row per stage of ``state``: statuses, reasons, and what an execution needs.
+
+    The reason ``MOVED`` stands for a first difference, which :func:`changes` words.
+    """
+    found = taken_up(keyed(r.state, r.needs, stored(r.artifacts)), valid_partial(r.partial) if r.partial is not None else None)
+    for columns in (_match_columns(), _decided_columns(), _error_columns(), _overlay_columns(force)):
+        found = found.select("*", *columns)
+    return found.select(*_told_columns())
