@@ -13,7 +13,7 @@ import inspect
 import json
 import time
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
@@ -62,6 +62,9 @@ class Ctx:
     done: dict[int, Any] = field(default_factory=dict)
     _resumed: list[int] | None = None
     _total: int | None = None
+    #: (index, folder) of the items whose rows are there as they were committed; of a batch by rows.
+    _valid: Callable[[], DataFrame] | None = None
+    _by_rows: bool = False
 
     @property
     def cell(self) -> dict[str, str]:
@@ -102,6 +105,18 @@ class Ctx:
         return [items[i] for i in self._resumed]
 
 
+    def remaining(self, items: DataFrame) -> DataFrame:
+        """Those of ``items`` (index, ...) that have no valid rows yet; nothing comes to the driver.
+
+        The body then yields frames with a column ``index``, of as many items as it likes:
+        each frame is written in one job, by index, and committed with its items' sums. A
+        later run does again what is missing or was altered. An item that makes no row is
+        done each time.
+        """
+        self._by_rows = True
+        return batch.remaining(items, self._valid(), ["index"])
+
+
 def _opened(spark: SparkSession, artifact: dict[str, Any]) -> DataFrame:
     """What is stored of an artifact; of one that was written among others, its own columns."""
     found = spark.read.parquet(artifact["path"])
@@ -386,6 +401,7 @@ class Engine:
         self.store.write(mark, "attempts", n)
         config = RecordingConfig(self.config)
         ctx = Ctx(self.spark, config, self.args, s, {u: snapshot.records[u] for u in s.concrete_needs}, p["partial"])
+        ctx._valid = lambda: self._valid_rows(n, p["key"])
         try:
             artifacts = self._batch(n, s, ctx, p["key"]) if s.kind == "batch" else self._single(n, s, ctx)
         except Unfingerprinted:  # the attempt's mark stays: interrupted
@@ -438,8 +454,11 @@ class Engine:
         return [_write(self.spark, df, f"{folder}/{name}", name) for name, df in self._frames(made, s.base)]
 
     def _batch(self, n: str, s: Stage, ctx: Ctx, key: str) -> list[dict[str, Any]]:
-        found = {i: r["artifacts"] for i, r in ctx.done.items()}
+        found = {i: r["artifacts"] for i, r in ctx.done.items() if "sums" not in r}
         for count, made in enumerate(_drive(s.func(ctx, **dict(s.cell)))):
+            if ctx._by_rows:
+                self._commit_rows(n, key, made, s.base)
+                continue
             if ctx._resumed is None:  # a body that doesn't resume starts over
                 if not count:
                     warnings.warn(f"batch stage {n} yields without ctx.resume: nothing of it is resumed", stacklevel=2)
@@ -448,8 +467,66 @@ class Engine:
             folder = self.store.fresh(n)
             found[index] = [_write(self.spark, df, f"{folder}/index={index}/{name}", name) for name, df in self._frames(made, s.base)]
             self.store.write({"artifacts": found[index], "at": _now(), "total": ctx._total}, "partial", n, key, str(index))
+        if ctx._by_rows:
+            return self._rows_artifacts(n, key)
         return [a | {"name": f"{i}/{a['name']}"} for i in sorted(found) for a in found[i]]
 
+    # Batches by rows
+
+    def _row_sums(self, folders: list[str]) -> DataFrame:
+        """(folder, index, n, a, b) of what is stored, in one pass over all folders."""
+        df = self.spark.read.option("recursiveFileLookup", "true").parquet(*folders)
+        path = F.col("_metadata.file_path")
+        at = df.select(F.element_at(F.split(path, "/"), -3).alias("folder"), F.regexp_extract(path, "/index=([0-9]+)/", 1).cast("long").alias("index"), "*")
+        return at.groupBy("folder", "index").agg(*keys.fingerprint_aggregates(at.drop("folder", "index")))
+
+    def _commits(self, n: str, key: str) -> dict[int, dict[str, Any]]:
+        return {i: r for i, r in self.store.partial(n, key).items() if "sums" in r}
+
+    def _commit_rows(self, n: str, key: str, frame: DataFrame, name: str) -> None:
+        """Data, then its sums, then the record that names both."""
+        folder = self.store.fresh(n)
+        frame.write.partitionBy("index").parquet(folder)
+        sums = f"{folder}-sums"
+        if not self._held(folder):  # no rows
+            return
+        self._row_sums([folder]).write.parquet(sums)
+        made = [{"name": name, "path": folder, "fingerprint": fingerprint(self.spark.read.parquet(folder)), "listing": listing(folder)}]
+        number = max(self._commits(n, key), default=-1) + 1
+        self.store.write({"sums": sums, "path": folder, "artifacts": made, "at": _now(), "total": None}, "partial", n, key, str(number))
+
+    @staticmethod
+    def _held(folder: str) -> bool:
+        return any(x[0].startswith("index=") for x in listing(folder))
+
+    def _valid_rows(self, n: str, key: str) -> DataFrame:
+        """(index, folder) of committed items whose stored rows have the sums that were committed."""
+        commits = self._commits(n, key).values()
+        folders = [r["path"] for r in commits if self._held(r["path"])]
+        if not folders:
+            return self.spark.createDataFrame([], "index long, folder string")
+        recorded = self.spark.read.parquet(*[r["sums"] for r in commits])
+        return recorded.join(self._row_sums(folders), ["folder", "index", "n", "a", "b"], "left_semi").select("index", "folder")
+
+    def _rows_artifacts(self, n: str, key: str) -> list[dict[str, Any]]:
+        """The commits' folders without what is no longer valid; what was redone stands in a later one."""
+        import shutil
+
+        commits = self._commits(n, key)
+        valid = self._valid_rows(n, key)
+        folders = [r["path"] for r in commits.values() if self._held(r["path"])]
+        stale = self._row_sums(folders).join(valid, ["folder", "index"], "left_anti").select("folder", F.col("index").alias("i")).collect() if folders else []
+        for x in stale:  # as many as were altered
+            shutil.rmtree(Path(folders[0]).parent / x.folder / f"index={x.i}", ignore_errors=True)
+        out = []
+        for i, r in commits.items():
+            shutil.rmtree(r["sums"], ignore_errors=True)
+            if self._held(r["path"]):
+                a = r["artifacts"][0]
+                now = listing(r["path"])
+                out.append(a | {"name": str(i), "listing": now, "fingerprint": a["fingerprint"] if now == a["listing"] else fingerprint(self.spark.read.parquet(r["path"]))})
+        return out
+
     def progress(self) -> DataFrame:
         """stage, done, total, progress of every batch stage with checkpoints under its current key."""
         rows = [(p["stage"], i, r.get("total")) for p in self.probe() for i, r in p["partial"].items()]
