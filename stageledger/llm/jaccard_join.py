@@ -49,6 +49,8 @@ THRESHOLD = (17, 20)
 #: A band's largest size is so many times its least; few sets are then in two instances.
 BAND = 2
 SLICE_BYTES = 1 << 20
+#: Rows of a batch that are turned into Python's texts at once.
+PIECE = 256
 #: Slices of the signatures' domain, shuffled one after the other: what a slice shuffles is gone before the next one's.
 SLICES = 2
 #: Rounds of stars about other centres before the members still apart are paired.
@@ -208,32 +210,37 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int] = THRESHOLD)
 
 def _set_rows(size: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                n, ids, own = [], [], []
-                for grams in shingle_sets(part.column("text").to_pylist(), size):
-                    n.append(len(grams))
-                    ids.append(set_id(grams) if len(grams) else None)
-                    own.append(signatures(grams, threshold).view(np.int64))
-                ends = np.concatenate((np.zeros(1, np.int32), np.cumsum([len(x) for x in own]))).astype(np.int32)
-                sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), sigs], names=["doc_id", "t", "n_shingles", "v", "sigs"])
+        for part in _pieces(batches):
+            n, ids, own = [], [], []
+            for grams in shingle_sets(part.column("text").to_pylist(), size):
+                n.append(len(grams))
+                ids.append(set_id(grams) if len(grams) else None)
+                own.append(signatures(grams, threshold).view(np.int64))
+            ends = np.concatenate((np.zeros(1, np.int32), np.cumsum([len(x) for x in own]))).astype(np.int32)
+            sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), sigs], names=["doc_id", "t", "n_shingles", "v", "sigs"])
 
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of few rows: only a piece's texts are held twice, in Arrow's form and in Python's."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PIECE):
+            yield batch.slice(lo, PIECE)
+
+
 def _check(size: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = ("", np.empty(0, _U))
-        for batch in batches:
+        for part in _pieces(batches):
             keep = []
-            others = shingle_sets(batch.column("text_b").to_pylist(), size)
-            for text, b in zip(batch.column("text_a").to_pylist(), others, strict=True):
+            others = shingle_sets(part.column("text_b").to_pylist(), size)
+            for text, b in zip(part.column("text_a").to_pylist(), others, strict=True):
                 if text != last[0]:
                     last = (text, next(shingle_sets([text], size)))
                 keep.append(linked(last[1], b, threshold))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -439,8 +446,8 @@ def _block_links(size: int, threshold: tuple[int, int]):
             found = solve(rows) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for c, i, j, block, v, root, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for part in _pieces(batches):
+            for c, i, j, block, v, root, text in zip(*(x.to_pylist() for x in part.columns), strict=True):
                 if (c, i, j) != key:
                     if rows:
                         yield flush()
@@ -461,9 +468,9 @@ def _texts(docs: DataFrame, holders: DataFrame, size: int) -> DataFrame:
     """(v, text) with one text for each vertex of ``holders`` (v, doc_id, t), null ids included."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [set_id(x) if len(x) else None for x in shingle_sets(batch.column("text").to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("text"), pa.array(ids, pa.int64())], names=["v", "text", "own"])
+        for part in _pieces(batches):
+            ids = [set_id(x) if len(x) else None for x in shingle_sets(part.column("text").to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([part.column("v"), part.column("text"), pa.array(ids, pa.int64())], names=["v", "text", "own"])
 
     held = holders.select("v", F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
     # Shuffled at every size: a small table of holders, broadcast, would only make small runs look cheaper than large ones.
