@@ -9,6 +9,9 @@ Sentences in ``SENTENCES`` and ``HEADERS`` become their identifiers, others fall
 are matched against ``RULES``, in their order: an earlier rule takes its identifiers
 before a later one sees them, so whole texts go before single lines.
 
+Sentences have slots (``SLOTS``): an organisation's name in a BSD clause, a program's in a
+GPL header, SPDX tags joined by OR or AND, each of which is a sentence of its own then.
+
 Defined cases: a null or empty text has no sentences and no licence; repeated
 sentences count each time; repeated rows and null doc_ids keep a row each; a text of
 any length stays in its row; other columns are not read.
@@ -16,6 +19,7 @@ any length stays in its row; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,6 +156,28 @@ for _licence in sorted({r[1] for r in RULES if r[1] != "Proprietary"}):
     HEADERS[_id] = "spdx license identifier " + _licence.lower().replace("-", " ").replace(".", " ")
     HEADER_RULES.append((_id, _licence, [_id]))
 
+#: Slots: a name, an organisation or a list of tags stands in a sentence. (what must be there, pattern,
+#: what takes its place), in order; a space of a pattern may be a line's end, ``\\1`` is a group.
+_NAMED = "(?:[^ \\n]+ ){1,%d}?"
+_ACROSS = "(?:[^ \\n]+ +){1,%d}?"  # also over stops, as in "Inc."
+_TAGS = "|".join(sorted((s.removeprefix("spdx license identifier ") for i, s in HEADERS.items() if i.startswith("spdx-")), key=len, reverse=True))
+_TAG_PAIR = (f"(spdx license identifier (?:{_TAGS})) (?:or|and) ({_TAGS})(\\n|$)", "\\1\nspdx license identifier \\2\\3")
+_TAG_LIST = (f"(spdx license identifier (?:{_TAGS})) (?:or|and) ((?:{_TAGS}) (?:or|and) )", "\\1\nspdx license identifier \\2")
+SLOTS = [
+    ("neither", f"neither the name of {_ACROSS % 12}nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("endorse", f"(^|\\n)the name of {_ACROSS % 12}may not be used to endorse", "\\1neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    ("free software", f"(^|\\n){_NAMED % 6}is free software you can redistribute it and or modify it under the terms of the gnu (affero )?general", "\\1this program is free software you can redistribute it and or modify it under the terms of the gnu \\2general"),
+    ("free software", f"(^|\\n){_NAMED % 6}is free software you can redistribute it and or modify it under the terms of the gnu lesser", "\\1this library is free software you can redistribute it and or modify it under the terms of the gnu lesser"),
+    ("spdx", *_TAG_LIST),
+    ("spdx", *_TAG_PAIR),
+]
+
+
+def _pattern(text: str) -> str:
+    """A space is a space or a line's end, outside of brackets."""
+    return re.sub(r"(\[[^\]]*\])| ", lambda m: m[1] or "[ \\n]", text)
+
+
 STOPS = r"[.!?]+([ \t\n\f\r]|$)"
 SIGNS = r"[^\p{L}\p{N}\n]+"
 
@@ -162,6 +188,13 @@ def pieces(text: Column) -> Column:
     return F.trim(F.regexp_replace(cut, " ?\n ?", "\n"))
 
 
+def filled(cut: Column) -> Column:
+    """``pieces`` with each slot's sentence in its listed wording."""
+    for need, pattern, wording in SLOTS:
+        cut = F.when(cut.contains(need), F.regexp_replace(cut, _pattern(pattern), wording.replace("\\", "$"))).otherwise(cut)
+    return cut
+
+
 def known(cut: Column) -> Column:
     """Identifiers of the known sentences of ``pieces``, in order, as ``<id>`` joined."""
     every = {s: i for i, s in (SENTENCES | HEADERS).items()}
@@ -182,7 +215,7 @@ def scan(docs: DataFrame) -> DataFrame:
     licence = F.create_map(*[F.lit(x) for r in HEADER_RULES + RULES for x in r[:2]])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text")).alias("_s"))
     n = F.size(F.filter(F.split("_s", "\n"), lambda s: s != ""))
-    rows = rows.select("doc_id", n.cast("long").alias("n_sentences"), known(F.col("_s")).alias("identifiers"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_sentences"), known(filled(F.col("_s"))).alias("identifiers"))
     rows = rows.withColumn("rules", F.regexp_extract_all(rules(F.col("identifiers")), F.lit(r"\[([^\]]+)\]"), F.lit(1)))
     return rows.withColumn("licences", F.array_distinct(F.transform("rules", lambda r: F.element_at(licence, r))))
 
@@ -195,6 +228,7 @@ def op4_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """The same in DuckDB, whose patterns can't look around: line ends are doubled, so that neighbours don't share one."""
     every = {s: i for i, s in (SENTENCES | HEADERS).items()}
+    own = reduce(lambda left, x: f"regexp_replace({left}, '{_pattern(x[1])}', '{x[2]}', 'g')", SLOTS, "s")
     words = "|".join(s.replace("|", "\0").replace(" ", "(?: |\\n\\n)").replace("\0", "(?:\\n\\n){2,}") for s in sorted(every, key=len, reverse=True))
     ids = " ".join(f"when '{s}' then '<{i}>'" for s, i in every.items())
     taken = reduce(lambda left, r: f"replace({left}, '{''.join(f'<{i}>' for i in r[2])}', '[{r[0]}]')", HEADER_RULES + RULES, "identifiers")
@@ -206,7 +240,7 @@ with cut as (
   from documents
 ), found as (
   select doc_id, cast(len(list_filter(string_split(s, chr(10)), lambda x: x <> '')) as bigint) n_sentences,
-    regexp_extract_all(chr(10) || replace(s, chr(10), chr(10) || chr(10)) || chr(10), '\\n({words})\\n', 1) k
+    regexp_extract_all(chr(10) || replace({own}, chr(10), chr(10) || chr(10)) || chr(10), '\\n({words})\\n', 1) k
   from cut
 ), named as (
   select doc_id, n_sentences,

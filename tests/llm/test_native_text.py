@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from oracle import database, same
 
@@ -189,3 +190,43 @@ def test_more_notices_and_the_sql_twin(spark, tmp_path):
     connection = duckdb.connect()
     connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
     assert same(license_scan.op4_sentence_rules(spark, str(tmp_path)), connection, license_scan.ORACLE) == len(rows)
+
+
+_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+_GPL = """{} is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+SLOTTED = [
+    (_BSD + "3. Neither the name of the Free Widget\n   Society, Inc. nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.", "BSD-3-Clause"),
+    (_BSD + "The name of Jane Doe may not be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+    (_BSD, "BSD-2-Clause"),
+    (_GPL.format("Foo"), "GPL-3.0-or-later"),
+    (_GPL.format("The Bar Tool Chain"), "GPL-3.0-or-later"),
+    (_GPL.format("This program"), "GPL-3.0-or-later"),
+    ("libfoo is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("// SPDX-License-Identifier: Apache-2.0 OR MIT\nint main;", "Apache-2.0,MIT"),
+    ("# SPDX-License-Identifier: MIT AND Apache-2.0 AND BSD-3-Clause", "MIT,Apache-2.0,BSD-3-Clause"),
+    ("Nobody said that this is free software or that you can use it", ""),
+]
+
+
+def test_slots_of_sentences(spark, tmp_path):
+    frame = pd.DataFrame({"doc_id": range(len(SLOTTED)), "text": [t for t, _ in SLOTTED]})
+    frame.to_parquet(tmp_path / "documents.parquet")
+    df = queries.queries()["op4_sentence_rules"](spark, str(tmp_path))
+    assert {r.doc_id: r.licences for r in df.collect()} == {i: licences for i, (_, licences) in enumerate(SLOTTED)}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert same(df, c, license_scan.ORACLE) == len(SLOTTED)
