@@ -9,6 +9,9 @@ Sequential covering grows each rule there: conditions ``feature <= t`` or
 rises, then dropped again, last first, while the precision on the pruning third
 doesn't fall. The rules come out as one ordered ``CASE WHEN`` expression.
 
+A text of more than ``LONG`` bytes is counted from pieces of ``LONG_PIECE`` characters
+instead, with the same result: its words, lines and windows are rows, never arrays in one.
+
 Defined cases: a null or empty text has zero statistics and fails the base rule;
 labels that are null are not learned from, repeated labels count once each; with no
 usable labels the list is empty and all that pass the base rule are kept.
@@ -18,10 +21,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, table
+from .common import SPACE, discard, free_name, materialize, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -29,6 +32,8 @@ MAX_REPEAT_PERCENT = 50
 BINS = 6
 MAX_RULES = 12
 MAX_CONDITIONS = 3
+#: Bytes beyond which a text is counted from pieces, and a piece's characters, about.
+LONG, LONG_PIECE = 1 << 20, 1 << 17
 #: A rule must reject this share of the labelled bad rows.
 MIN_COVER_SHARE = 0.01
 #: Of what a rule rejects, this share must be bad; and, few rows counting less, as Laplace estimates it.
@@ -52,12 +57,75 @@ def windows(w: Column) -> Column:
 
 
 def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_upper, n_marks."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_upper, n_marks.
+
+    One pass looks for long texts and writes their pieces; only if there are any do they
+    meet the others' statistics.
+    """
+    long = F.octet_length("text") > LONG
+    pieces = materialize(_pieces(docs.where(long)), "pieces")
+    if pieces.isEmpty():
+        discard(pieces)
+        return _short_statistics(docs, *keep)
+    stats = materialize(_long_statistics(pieces), "long-statistics")
+    discard(pieces)
+    short = _short_statistics(docs.where(~F.coalesce(long, F.lit(False))), *keep)
+    key, counted = free_name("_k", docs), [c for c in short.columns if c not in (*keep, "doc_id")]
+    rows = docs.where(long).select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias(key))
+    return short.unionByName(rows.join(stats.withColumnRenamed("key", key), key).select(*keep, "doc_id", *counted))
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(key, by, i, piece) of each different text: pieces that end with a word ('words') and with a line ('lines')."""
+    cut = lambda by, end: F.struct(F.lit(by).alias("by"), F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{LONG_PIECE}}}[^{end}]*"), F.lit(0)).alias("pieces"))
+    rows = docs.select(F.sha2("text", 256).alias("key"), "text")
+    rows = rows.select("key", F.explode(F.array(cut("words", SPACE), cut("lines", r"\n"))).alias("c")).select("key", "c.by", F.posexplode("c.pieces").alias("i", "piece"))
+    return rows.groupBy("key", "by", "i").agg(F.first("piece").alias("piece"))
+
+
+def _long_statistics(pieces: DataFrame) -> DataFrame:
+    """The statistics of each key of ``pieces``."""
+    words = pieces.where("by = 'words'").select("key", "i", "piece", _words("piece").alias("w"))
+    sums = words.select("key", F.size("w").alias("n"), *_counts("piece")).groupBy("key").agg(F.sum("n").alias("n_words"), *[F.sum(c).alias(c) for c in ("word_chars", "n_symbols", "n_marks", "n_upper")])
+    # Where each piece's words begin, and the two words after them.
+    order = Window.partitionBy("key").orderBy("i")
+    heads = words.select("key", "i", F.size("w").alias("n"), F.slice("w", 1, 2).alias("head"))
+    following = F.slice(F.flatten(F.collect_list("head").over(order.rowsBetween(1, Window.unboundedFollowing))), 1, 2)
+    placed = heads.select("key", "i", (F.sum("n").over(order) - F.col("n")).alias("start"), following.alias("after"))
+    grams = words.select("key", "i", "w").join(placed, ["key", "i"]).select("key", "start", F.concat("w", "after").alias("w")).select("key", "start", F.posexplode(windows(F.col("w"))).alias("p", "h"))
+    grams = grams.select("key", "h", (F.col("start") + F.col("p")).alias("p"))
+    repeated = grams.groupBy("key", "h").agg(F.count("*").alias("m")).where("m > 1").select("key", "h")
+    covered = grams.join(repeated, ["key", "h"]).select("key", F.explode(F.array("p", F.col("p") + 1, F.col("p") + 2)).alias("p")).distinct()
+    lines = pieces.where("by = 'lines'").select("key", F.explode(_lines("piece")).alias("line")).groupBy("key", F.sha2("line", 256).alias("line")).agg(F.count("*").alias("m"))
+    found = sums.join(covered.groupBy("key").agg(F.count("*").alias("n_repeat_words")), "key", "left").join(lines.groupBy("key").agg(F.sum(F.col("m") - 1).alias("n_dup_lines")), "key", "left")
+    return found.na.fill(0, ["n_repeat_words", "n_dup_lines"])
+
+
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
+
+
+def _lines(text: str) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+
+
+def _counts(text: str) -> list[Column]:
+    """What is counted character by character."""
+    return [
+        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit("[!?]")).cast("long").alias("n_marks"),
+        F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+    ]
+
+
+def _short_statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """Statistics from arrays of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t"))
     rows = rows.select(*keep, "doc_id", "_t", F.translate("_t", "\t\n\x0b\x0c\r", "     ").alias("_s"))
     rows = rows.select(*keep, "doc_id", "_t", F.length(F.replace("_s", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"), F.array_remove(F.split("_s", " "), "").alias("_w"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     rows = rows.select(
         *keep,
         "doc_id",
@@ -66,7 +134,7 @@ def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.regexp_count("_t", F.lit("[!?]")).cast("long").alias("n_marks"),
         F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        lines.alias("_l"),
+        _lines("_t").alias("_l"),
         windows(F.col("_w")).alias("_h"),
     )
     counted = [*keep, "doc_id", "n_words", "word_chars", "n_symbols", "n_marks", "n_upper"]

@@ -24,6 +24,23 @@ def test_base_statistics(spark, odd, none):
     assert qr.base_statistics(none).count() == 0
 
 
+def test_statistics_of_long_texts(spark, odd, monkeypatch):
+    """Counted from pieces: words, lines and windows that pieces cut, blank pieces, copies."""
+    texts = ["w" * 90 + " a b c a b c", " " * 70 + "a b" + "\n" * 70 + "a b c\na b c", "é ñ\x0bÜ! " * 40, "a\tb\r\n" * 30 + "a b", "no repeats #here? & " + " ".join(map(str, range(60))), "\U0001f600 x " * 30, " \n" * 60]
+    extra = spark.createDataFrame([(900 + i % 5, t) for i, t in enumerate([*texts, *texts[:2]])] + [(None, texts[3])], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(extra)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_marks", "n_upper", "n_dup_lines", "n_repeat_words", "text"]
+    rows = lambda: Counter(tuple(r) for r in qr.base_statistics(docs, "text").select(*names).collect())
+    whole = rows()
+    made, windows = [], qr._long_statistics
+    monkeypatch.setattr(qr, "_long_statistics", lambda pieces: made.append(pieces.count()) or windows(pieces))
+    for piece in (7, 40):
+        monkeypatch.setattr(qr, "LONG", 50)
+        monkeypatch.setattr(qr, "LONG_PIECE", piece)
+        assert rows() == whole
+    assert made[0] > made[1] > 100
+
+
 def labelled(spark):
     good = [(i, f"Word{i % 7} " + " ".join(f"alpha{(i * 7 + j) % 53} beta{j}" for j in range(40)) + ".") for i in range(300)]
     junk = [(300 + i, " ".join(f"gam{(i * 3 + j) % 31}*** del{j}###" for j in range(40))) for i in range(150)]
